@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import query_rules, query_urls
+from rivulet.llm import query_mixing, query_rules, query_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": query_urls.op1_url_filters,
+    "op4_mixing_sources": query_mixing.op4_mixing_sources,
     "op5_quality_rules": query_rules.op5_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": query_urls.OP1_SQL,
+    "op4_mixing_sources": query_mixing.OP4_SQL,
     "op5_quality_rules": query_rules.OP5_SQL,
 }

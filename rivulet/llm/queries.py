@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import query_mixing, query_quality, query_rules, query_urls
+from rivulet.llm import query_mixing, query_quality, query_rules, query_tokens, query_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": query_urls.op1_url_filters,
     "op4_mixing_sources": query_mixing.op4_mixing_sources,
     "op5_quality_rules": query_rules.op5_quality_rules,
     "op8_quality_classifier": query_quality.op8_quality_classifier,
+    "op10_token_output": query_tokens.op10_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {

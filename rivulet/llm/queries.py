@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": query_urls.op1_url_filters,
     "op4_mixing_sources": query_mixing.op4_mixing_sources,
     "op5_quality_rules": query_rules.op5_quality_rules,
+    "op6_sentencepiece": query_tokens.op6_sentencepiece,
     "op8_quality_classifier": query_quality.op8_quality_classifier,
     "op10_token_output": query_tokens.op10_token_output,
 }

@@ -62,7 +62,7 @@ RULES = (
     Rule("few_words", "n_words < 10", base=True),
     Rule("repeated_words", "100 * n_repeat_words > 20 * n_words", base=True),
     Rule("symbols", "10 * n_symbols > 3 * n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("shouting", "10 * n_upper > 5 * word_chars"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 25 * n_words"),
 )

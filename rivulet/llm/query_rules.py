@@ -39,7 +39,7 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > 3 * n_words
-    OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_upper > 5 * word_chars
+    OR 2 * n_dup_lines > n_lines OR 10 * n_upper > 5 * word_chars
     OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
 FROM f
 """

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import query_mixing, query_quality, query_rules, query_tokens, query_urls
+from rivulet.llm import query_chat, query_mixing, query_quality, query_rules, query_tokens, query_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": query_urls.op1_url_filters,
+    "op2_token_counts": query_tokens.op2_token_counts,
     "op4_mixing_sources": query_mixing.op4_mixing_sources,
     "op5_quality_rules": query_rules.op5_quality_rules,
     "op6_sentencepiece": query_tokens.op6_sentencepiece,
     "op8_quality_classifier": query_quality.op8_quality_classifier,
+    "op9_chat_formatting": query_chat.op9_chat_formatting,
     "op10_token_output": query_tokens.op10_token_output,
 }
 
@@ -21,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": query_urls.OP1_SQL,
     "op4_mixing_sources": query_mixing.OP4_SQL,
     "op5_quality_rules": query_rules.OP5_SQL,
+    "op9_chat_formatting": query_chat.OP9_SQL,
 }

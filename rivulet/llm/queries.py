@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import query_chat, query_mixing, query_quality, query_rules, query_tokens, query_urls
+from rivulet.llm import query_chat, query_embeddings, query_mixing, query_quality, query_rules, query_tokens, query_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": query_urls.op1_url_filters,
     "op2_token_counts": query_tokens.op2_token_counts,
+    "op3_embedding_near_dedup": query_embeddings.op3_embedding_near_dedup,
     "op4_mixing_sources": query_mixing.op4_mixing_sources,
     "op5_quality_rules": query_rules.op5_quality_rules,
     "op6_sentencepiece": query_tokens.op6_sentencepiece,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import query_chat, query_embeddings, query_mixing, query_quality, query_rules, query_tokens, query_urls
+from rivulet.llm import query_chat, query_embeddings, query_mixing, query_near, query_quality, query_rules, query_tokens, query_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": query_urls.op1_url_filters,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing_sources": query_mixing.op4_mixing_sources,
     "op5_quality_rules": query_rules.op5_quality_rules,
     "op6_sentencepiece": query_tokens.op6_sentencepiece,
+    "op7_minhash_near_dedup": query_near.op7_minhash_near_dedup,
     "op8_quality_classifier": query_quality.op8_quality_classifier,
     "op9_chat_formatting": query_chat.op9_chat_formatting,
     "op10_token_output": query_tokens.op10_token_output,

@@ -14,10 +14,10 @@ from rivulet.llm.token_output import read_token_files, token_folder, write_token
 END_ID = 2
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded and decoded documents."""
     joined = F.array_join("ids", ",").cast("binary")
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), *more)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

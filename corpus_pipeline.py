@@ -1,15 +1,82 @@
-"""The corpus pipeline: classifier, rules, near-duplicates, mixing, encoding."""
+"""The corpus pipeline: classifier, rules, near-duplicates, mixture, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller
+may write and read again before the next one. All stages but the last return the
+columns they were given.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rivulet.llm.classifier import score
+from rivulet.llm.common import materialise, table
+from rivulet.llm.minhash import near_duplicate_classes
+from rivulet.llm.mixing import mix_sources
+from rivulet.llm.quality_rules import quality_rules
+from rivulet.llm.query_quality import THRESHOLD, trained
+from rivulet.llm.query_tokens import digests
+from rivulet.llm.sentencepiece_bpe import encode
+
+
+def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at the threshold or above."""
+    weights = trained(docs, table(spark, sf_dir, "labels"))
+    return score(docs, weights).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+
+
+def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass all quality rules."""
+    return quality_rules(docs).where("kept").select(*docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays, the one with the smallest text.
+    """
+    classes = near_duplicate_classes(docs.select("doc_id", "text"))
+    others = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    kept = docs.join(others, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
+    once = once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: a document that it takes twice is there twice."""
+    taken = mix_sources(docs).where("copies > 0")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id with its ids and digests of the ids and of the text decoded from them."""
+    found = encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded", drop_text=True)
+    return digests(found, "ids")
+
+
+STAGES = [
+    ("quality classifier", classified),
+    ("quality rules", ruled),
+    ("MinHash near-dedup", deduplicated),
+    ("mixing sources", mixed),
+    ("SentencePiece encoding", encoded),
+]
 
-STAGES = []
+#: Training, sampled signatures and merge rounds are beyond SQL; tests compare each stage with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages; what passes from one to the next is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{k}")
     return docs

@@ -120,7 +120,9 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     ordered = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
     new = {*features, "failed_rule", "kept", "_words"}
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    out = docs.select(*keep).withColumn("_words", F.expr(WORDS))
+    # explode() of one element is a barrier: a later filter on the verdict would otherwise
+    # be moved below the words, which would then be split again for each use
+    out = docs.select(*keep, F.explode(F.array(F.expr(WORDS))).alias("_words"))
     if features:
         out = out.select(*keep, "_words", *[F.expr(FEATURES[n]).alias(n) for n in features])
 

@@ -75,7 +75,7 @@ tree AS (SELECT full2.host, lex, n_labelled, n_bad, template FROM full2 JOIN mer
 t AS (SELECT host, template, sum(n_labelled) AS n_l, sum(n_bad) AS n_b FROM tree GROUP BY ALL),
 h AS (SELECT host, sum(n_l) AS h_l, sum(n_b) AS h_b FROM t GROUP BY 1),
 g AS (SELECT (sum(h_b) + 1.0::DOUBLE) / (sum(h_l) + 2.0::DOUBLE) AS g FROM h),
-v AS (SELECT t.host, template, (n_b + 5.0::DOUBLE * ((h_b + 5.0::DOUBLE * g) / (h_l + 5.0::DOUBLE))) / (n_l + 5.0::DOUBLE) >= 0.5 AS blocked FROM t JOIN h USING (host), g)
+v AS (SELECT t.host, template, (n_b + 5.0::DOUBLE * ((h_b + 5.0::DOUBLE * g) / (h_l + 5.0::DOUBLE))) / (n_l + 5.0::DOUBLE) >= 0.5 AND n_l > 0 AS blocked FROM t JOIN h USING (host), g)
 SELECT p.page_id, p.host, p.path, p.rule, tree.template,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN tree ON tree.host = p.host AND tree.lex = p.lex LEFT JOIN v ON v.host = p.host AND v.template = tree.template

@@ -12,7 +12,7 @@
    (two-sided z test).
 4. A template is blocked when its purity, the share of bad among labelled urls
    smoothed towards the host's and the host's towards the overall share,
-   reaches ``min_purity``.
+   reaches ``min_purity``. One without labelled urls never is.
 """
 
 from __future__ import annotations
@@ -95,8 +95,8 @@ def template_verdicts(tree: DataFrame, min_purity: float = 0.5, weight: float =
     hosts = templates.groupBy("host").agg(F.sum("n_l").alias("h_l"), F.sum("n_b").alias("h_b"))
     overall = hosts.agg(((F.coalesce(F.sum("h_b"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("h_l"), F.lit(0)) + 2.0)).alias("g"))  # one row
     hosts = hosts.join(F.broadcast(overall)).selectExpr("host", f"(h_b + {weight}D * g) / (h_l + {weight}D) AS h_rate")
-    out = templates.join(hosts, "host").selectExpr("host", "template", f"(n_b + {weight}D * h_rate) / (n_l + {weight}D) AS purity")
-    return out.withColumn("blocked", F.col("purity") >= min_purity)
+    out = templates.join(hosts, "host").selectExpr("host", "template", f"(n_b + {weight}D * h_rate) / (n_l + {weight}D) AS purity", "n_l")
+    return out.select("host", "template", "purity", ((F.col("purity") >= min_purity) & (F.col("n_l") > 0)).alias("blocked"))
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, **tree_options) -> DataFrame:

@@ -1,0 +1,416 @@
+"""Each operator against plain Python on small tables with every odd case."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from rivulet.llm import chat, classifier, embedding_dedup, minhash, mixing, quality_rules, query_quality, sentencepiece_bpe, token_counts, token_output, url_filter
+from rivulet.llm.common import only_ids, scratch_path, without_ids
+from rivulet.llm.components import components
+from rivulet.llm.hnsw import Hnsw
+from rivulet.llm.tokenfile import Reader, Writer
+
+PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words_of(text):
+    return WORD.findall(text or "")
+
+
+# 1
+
+
+def test_urls(spark):
+    urls = [
+        ("http://A.Example.org/en/12?x#y", "a.example.org", "/en/12", "example.org/en/1", "block"),
+        ("https://sub.shop.com/de/1", "sub.shop.com", "/de/1", "com/de/", "block"),
+        ("ftp://shop.com/fr/", "shop.com", "/fr/", "com/fr/", "allow"),
+        ("http://x.org", "x.org", "", None, "allow"),
+        ("http://x.org/", "x.org", "/", "org/", "allow"),
+        ("http://notexample.org/es/1", "notexample.org", "/es/1", "org/", "allow"),
+        ("x://a://b/c", "a:", "//b/c", None, "allow"),
+        ("no scheme.org/x", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+        ("", "", "", None, "allow"),
+        ("http://É.NET?q", "É.net", "", None, "allow"),
+        ("http://long.net/" + "a/" * 5000, "long.net", "/" + "a/" * 5000, None, "allow"),
+    ]
+    rows = [(i, u[0], 1, "mine") for i, u in enumerate([*urls, *urls[:2]])]
+    rows += [(100 + i, f"http://bad.net/spam/{i}", 1, "mine") for i in range(30)] + [(200 + i, f"http://bad.net/ham/{i}", 1, "mine") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, n long, verdict string")
+    labels = pages.where("page_id >= 100").select("url", (F.col("page_id") < 200).alias("bad"))
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, labels.unionByName(labels.limit(3))).collect()}
+    assert len(got) == len(rows)
+    for i, (_, host, path, rule, verdict) in enumerate(urls):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict), urls[i][0][:50] if urls[i][0] else None
+    assert {got[i]["verdict"] for i in range(100, 130)} == {"block"}
+    assert {got[i]["verdict"] for i in range(200, 230)} == {"allow"}
+    assert got[100]["template"] == "/spam/<n>"
+    assert url_filter.filter_urls(pages.limit(0), labels.limit(0)).count() == 0
+    assert {r["verdict"] for r in url_filter.filter_urls(pages.where("page_id >= 100"), labels.limit(0)).collect()} == {"allow"}
+
+
+def test_many_slugs_become_a_wildcard(spark):
+    pages = spark.createDataFrame([(i, f"http://blog.net/post/{chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(300)], "page_id long, url string")
+    templates = {r["template"] for r in url_filter.filter_urls(pages, pages.selectExpr("url", "false AS bad").limit(0), min_share=0.01).collect()}
+    assert templates == {"/*/*"}
+
+
+# 2
+
+
+def test_token_counts(documents, no_documents, texts):
+    model = token_counts.UnigramModel.from_sentencepiece(PIECES)
+
+    def brute(word):
+        word = "▁" + word
+        best = [(0.0, 0)] + [(-1e18, 0)] * len(word)
+        for end in range(1, len(word) + 1):
+            for start in range(end):
+                if (p := model.pieces.get(word[start:end])) is not None:
+                    best[end] = max(best[end], (best[start][0] + p, best[start][1] - 1))
+            if word[end - 1] not in model.pieces:
+                size = len(word[end - 1].encode())
+                best[end] = max(best[end], (best[end - 1][0] + size * model.byte_score, best[end - 1][1] - size))
+        return -best[-1][1]
+
+    known = {}
+    got = token_counts.count_tokens(documents, model).collect()
+    assert len(got) == documents.count()
+    for r in got:
+        words = [w for w in words_of(r["text"])]
+        if len(words) > 1000 or any(len(w) > 500 for w in words):
+            continue
+        assert r["n_pretokens"] == len(words)
+        assert r["n_tokens"] == sum(known.setdefault(w, brute(w)) for w in words)
+    trie = token_counts.TrieCounter(model)
+    trie.total(b"abcdef abcdeg abcdef")
+    assert trie.computed == len("▁abcdef") + 1  # the shared prefix once
+    assert trie.total(("x" * 400).encode())[1] == trie._insert("▁" + "x" * 400)
+    assert token_counts.count_tokens(no_documents, model).count() == 0
+
+
+# 3
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(0)
+    base = r.normal(size=(60, 16))
+    rows = [(i, v.astype(np.float32).tolist(), i % 2) for i, v in enumerate(base)]
+    rows += [(100 + i, (base[i] + r.normal(size=16) * 0.1).astype(np.float32).tolist(), i % 2) for i in range(30)]
+    rows += [(200 + i, base[0].astype(np.float32).tolist(), 0) for i in range(40)]
+    rows += [(300, None, 0), (301, [0.0] * 16, 0), (302, [None, *[1.0] * 15], 0), (303, [float("nan")] * 16, 0), (304, [float("inf")] * 16, 0), (305, rows[0][1], None), (306, rows[0][1][:8], 0), (307, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("mine"))
+    got = {x["vec_id"]: x for x in embedding_dedup.near_duplicates(df, shard_rows=30, block_rows=25).collect()}
+    usable = [(i, np.array(v, dtype=float), k) for i, v, k in rows if v and k is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    near = {i: {j for j, w, m in usable if j != i and m == k and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93} for i, v, k in usable}
+    assert len(got) == len(rows)
+    for i, _, _ in rows:
+        assert got[i]["n_links"] == len(near.get(i, ())), i
+        seen, todo = {i}, [i]
+        while todo:
+            new = near.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert got[i]["component_id"] == min(seen) and got[i]["kept"] == (min(seen) == i)
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_graph_recall():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, found = Hnsw.loads(Hnsw(x).dumps()).search(x[::30].astype(np.float32), 64)
+    truth = np.argsort(-(x[::30] @ x.T), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(truth, found, strict=True)]) >= 0.9
+
+
+def test_components(spark):
+    r = np.random.default_rng(2)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [tuple(map(int, r.integers(1000, 1400, 2))) for _ in range(250)] + [(5, 5), (7, None)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if b is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    assert {x["id"]: x["component"] for x in components(links).collect()} == {x: find(x) for x in parent}
+
+
+# 4
+
+
+def test_targets_and_mixture(spark, documents, no_documents):
+    got = mixing.mix_sources(documents).collect()
+    assert len(got) == documents.count()
+    sizes = Counter()
+    for r in got:
+        assert r["size"] == len(words_of(r["text"])) and 0 <= r["copies"] <= 2 and r["taken"] == r["copies"] * r["size"]
+        sizes[r["source"]] += r["size"]
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    budget, target = 1.5 * sum(sizes.values()), {}
+    open_ = dict(weight)
+    while open_:  # share out, stop those above twice their size, share out what is over
+        left = budget - sum(target.values())
+        share = {s: left * w / sum(open_.values()) for s, w in open_.items()}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 2.0 * sizes[s] for s in over}
+        open_ = {s: w for s, w in open_.items() if s not in over}
+    longest, taken = max(r["size"] for r in got), Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]])
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 2 * longest for s in sizes)
+    assert sum(taken.values()) <= budget + 1e-6
+    again = mixing.mix_sources(documents.repartition(3)).collect()
+    assert sorted((r["kept"] or "", r["taken"]) for r in again) == sorted((r["kept"] or "", r["taken"]) for r in got)
+    assert mixing.mix_sources(no_documents).count() == 0
+    assert {r["taken"] for r in mixing.mix_sources(documents.withColumn("text", F.lit(None).cast("string"))).collect()} == {0}
+
+
+# 5
+
+
+def test_quality_rules(documents, no_documents):
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
+    got = quality_rules.quality_rules(documents, features=counts).collect()
+    assert len(got) == documents.count()
+    for r in got:
+        text, words = r["text"] or "", words_of(r["text"])
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        n = Counter(windows)
+        repeated = {i + j for i, w in enumerate(windows) if n[w] > 1 for j in range(5)}
+        lines = [x for x in text.split("\n") if words_of(x)]
+        assert r["n_words"] == len(words) and r["word_chars"] == sum(map(len, words))
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in text)
+        assert r["n_dup_lines"] == len(lines) - len(set(lines)) and r["n_lines"] == len(lines)
+        assert r["n_repeat_words"] == len(repeated)
+        rejected = len(words) < 10 or 100 * len(repeated) > 20 * len(words) or 10 * r["n_symbols"] > 3 * len(words) or 2 * r["n_dup_lines"] > len(lines) or 2 * r["n_upper"] > r["word_chars"] or not 2 * len(words) <= r["word_chars"] <= 25 * len(words)
+        assert r["kept"] is not rejected and (r["failed_rule"] is not None) == rejected
+    short = quality_rules.quality_rules(documents).where("kept").count()
+    assert short == sum(r["kept"] for r in got)
+    assert quality_rules.quality_rules(no_documents).count() == 0
+    ordered = quality_rules.order_rules(documents)
+    assert {r for r, _, _ in ordered} == set(quality_rules.RULES) and all(0 <= s <= 1 and c > 0 for _, c, s in ordered)
+
+
+# 6
+
+
+def test_sentencepiece(documents, no_documents):
+    library = sentencepiece_bpe.BpeModel(PIECES).library
+    encoded = sentencepiece_bpe.encode(documents, PIECES, decoded="decoded")
+    got = encoded.collect()
+    assert len(got) == documents.count()
+    for r in got:
+        ids = library.encode(r["text"] or "")
+        assert r["ids"] == ids and r["decoded"] == library.decode(ids)
+    assert {(str(r["ids"]), r["decoded"]) for r in sentencepiece_bpe.decode(encoded.drop("decoded"), PIECES).collect()} == {(str(r["ids"]), r["decoded"]) for r in got}
+    assert sentencepiece_bpe.encode(no_documents, PIECES).count() == 0
+
+
+def test_merge_rounds_like_the_library():
+    import random
+
+    r = random.Random(5)
+    encoder = sentencepiece_bpe.Encoder(PIECES)
+    parts = ["a", "b", "ab", " ", "  ", "\n", "▁", "é", "梦", "😀", "\x00", "ing", "00", "==", "--", "<s>", "the "]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 80))) for _ in range(600)] + ["a" * 700, "=" * 999, " " * 50, "ab" * 300]
+    assert encoder.encode(texts) == [encoder.model.library.encode(t) for t in texts]
+
+
+# 7
+
+
+def weighted(text, idf):
+    from rivulet.llm.words import WordHashes
+
+    return minhash.weighted_shingles(WordHashes().of((text or "").encode()), idf)
+
+
+def test_minhash(documents, no_documents):
+    rows = documents.collect()
+    got = [(r["doc_id"], r["class_id"]) for r in minhash.near_duplicate_classes(documents).collect()]
+    assert Counter(i for i, _ in got) == Counter(r["doc_id"] for r in rows)
+    df, n = minhash.document_frequency(documents)
+    assert n == len(rows)
+    idf = minhash.idf_table(df, n)
+    sets = [(r["doc_id"], weighted(r["text"], idf)) for r in rows if r["doc_id"] is not None]
+    near = {i: {i} for i, _ in sets}
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and minhash.weighted_jaccard(a, b) >= 0.8:
+                near[i].add(j)
+                near[j].add(i)
+    for i, c in got:
+        if i is None:
+            assert c is None
+            continue
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert c == min(seen), i
+    assert minhash.near_duplicate_classes(no_documents).count() == 0
+
+
+def test_large_group_of_near_copies_is_one_class(spark):
+    """Copies that each differ from the first in their own place, so that the first one alone is near to all."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for k in range(1400):
+        words = list(base)
+        for j in range(3):
+            words[(k * 7 + j * 61) % 200] = f"new{k}x{j}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["class_id"] for r in minhash.near_duplicate_classes(docs).select("class_id").distinct().collect()} == {0}
+
+
+def test_samples_agree_like_weighted_jaccard():
+    r = np.random.default_rng(0)
+    keys = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sampler = minhash.Sampler(k=800)
+    a = (np.sort(keys[:300]), r.uniform(1, 3, 300))
+    b = (np.sort(keys[100:]), r.uniform(1, 3, 300))
+    share = np.mean(sampler.sample(*a) == sampler.sample(*b))
+    assert abs(share - minhash.weighted_jaccard(a, b)) < 0.06
+
+
+# 8
+
+
+def test_classifier(spark, documents, no_documents):
+    good = [(i, f"the quiet river runs past house number {i} and the old mill by the road", 1) for i in range(120)]
+    junk = [(1000 + i, f"BUY!! NOW!! {i} CHEAP!! PILLS!! CLICK!!", 0) for i in range(60)]
+    rows = spark.createDataFrame([*good, *junk], "doc_id long, text string, label int")
+    weights = classifier.fit(rows.unionByName(spark.createDataFrame([(5000, "none", None)], rows.schema)))
+    assert (classifier.fit(rows) == weights).all()
+    got = classifier.score(rows, weights).collect()
+    assert all((r["score"] >= 0.3) == (r["label"] == 1) for r in got)
+    odd = classifier.score(documents, weights).collect()
+    assert len(odd) == documents.count() and all(0 <= r["score"] <= 1 for r in odd)
+    assert len({r["score"] for r in odd if not words_of(r["text"])}) == 1
+    assert classifier.score(no_documents, weights).count() == 0
+    assert not classifier.fit(rows.limit(0)).any()
+    held = rows.select("doc_id", classifier.held_out().alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in held)
+
+
+def test_held_out_accuracy(spark):
+    p = query_quality.op8_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert p[p.quality == 1].score.median() > p[p.quality == 0].score.max() - 0.2
+
+
+# 9
+
+
+def test_chat(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, "c d", "first"), (1, 70, None, "late"), (2, 0, "system", "alone"), (None, 0, "ann", "who")]
+    rows += [(3, i, "ann" if i % 2 else "bob", f"turn {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
+    out = chat.perspectives(df).collect()
+    dialogues: dict = {}
+    for r in out:
+        dialogues.setdefault((r["conv_id"], r["perspective"]), []).append(r)
+    assert set(dialogues) == {(1, "ann"), (1, "bob"), (1, "c d"), (1, "unknown"), (None, "ann"), (3, "ann"), (3, "bob")}
+    for (conv, who), parts in dialogues.items():
+        parts.sort(key=lambda r: r["seq"])
+        assert [r["seq"] for r in parts] == list(range(sum(r[0] == conv for r in rows)))
+        text = "".join(r["segment"] for r in parts)
+        for r in parts:
+            assert text[r["start"] : r["end"]] == r["segment"]
+            learned = text[r["mask_start"] : r["mask_end"]]
+            if r["speaker"] == who:
+                assert r["segment"] == "<|assistant|>\n" + learned + "\n" and learned.endswith("<|end|>")
+            else:
+                assert learned == "" and (r["segment"].startswith("<|system|>") or r["segment"].startswith("<|user name="))
+        assert [r["turn"] is None for r in parts] == sorted((r["turn"] is None for r in parts), reverse=True)
+    assert "<|user name=c_d|>" in "".join(r["segment"] for r in dialogues[(1, "ann")])
+    assert chat.perspectives(df.limit(0)).count() == 0
+
+
+# 10
+
+
+def test_token_files(spark, documents, no_documents):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    folder = scratch_path(spark, "tokens")
+    files = token_output.write_token_files(documents, folder, WORDS, end_id=2, partitions=5)
+    got = token_output.read_token_files(files, folder).collect()
+    rows = sorted(documents.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
+    start, want = 0, []
+    for r in rows:
+        ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r)[:4] for r in got), key=lambda x: x[1]) == want
+    assert token_output.read_token_files(token_output.write_token_files(no_documents, scratch_path(spark, "none"), WORDS), folder).count() == 0
+
+
+def test_chunks_like_the_library():
+    import random
+
+    r = random.Random(4)
+    encoder = token_output.ChunkEncoder(WORDS)
+    parts = ["a", "B", " ", "\n", "É", "́", "<|startoftext|>", "<|endoftext|>", "\x1c", "\x85", "\u2003", "'s", "12", "!!", "日", "Σ", "ς", "İ", "\x0b", "Foo", "bar,"]
+    for k in (5, 20, 60):
+        texts = ["".join(r.choices(parts, k=k)) for _ in range(200)]
+        assert [x.tolist() for x in encoder.encode(texts)] == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_reader_fetches_only_what_it_needs(tmp_path):
+    path = tmp_path / "x.tok"
+    with open(path, "wb") as out:
+        w = Writer(out, frame_tokens=1000)
+        for i in range(200):
+            w.add(i if i else None, np.arange(i * 3, dtype=np.uint32))
+        w.close()
+    with open(path, "rb") as source:
+        reader = Reader(source)
+        before = reader.bytes_read
+        ((at, doc_id, ids),) = reader.documents([150])
+        assert (at, doc_id, ids.tolist()) == (150, 150, list(range(450)))
+        assert reader.bytes_read - before < path.stat().st_size / 10
+        assert [d for _, d, _ in reader.documents()][:2] == [None, 1]
+    raw = bytearray(path.read_bytes())
+    raw[20] ^= 255
+    path.write_bytes(raw)
+    with open(path, "rb") as source, pytest.raises(Exception, match="damaged|zstd|decompress"):
+        list(Reader(source).documents())
+
+
+# helpers
+
+
+def test_ids(spark):
+    rows, ids = spark.range(1000).withColumn("x", F.lit("wide")), spark.range(0, 1000, 7)
+    assert only_ids(rows, ids, "id").count() == 143
+    assert without_ids(rows, ids, "id").count() == 857
+
+
+def test_digests():
+    assert sentencepiece_bpe.sha256_hex("a") == hashlib.sha256(b"a").hexdigest()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,10 @@ from rivulet.llm.common import materialise, scratch_path
 from rivulet.llm.tokenfile import Reader, Writer
 
 #: Distinct chunks that a task remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+
+#: Latin letters that stand for themselves in every normal form, then ASCII marks other than the apostrophe.
+_LETTERS_THEN_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class ChunkEncoder:
@@ -35,27 +39,67 @@ class ChunkEncoder:
         self.tokenizer, self.by_chunk, self.seen = Tokenizer.from_file(path), by_chunk, {}
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.parts: dict[str, bytes] = {}
+        probe = "Ab, aB;\u00c9x? \u00e9X!"
+        self.cuts = self._whole(probe) == [i for part in ("ab", ",", "ab", ";", "\u00e9x", "?", "\u00e9x", "!") for i in self._whole(part)]
+        marks = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark_id, self.mark = (marks[0][0], marks[0][1].content) if marks else (None, None)
 
     @property
     def width(self) -> int:
         return 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Remembers the ids of new chunks.
+
+        With a tokenizer that lowers case and cuts words from punctuation, a chunk
+        of letters and then punctuation is looked up as those two parts.
+        """
+        texts = [c.decode() for c in chunks]
+        cut = [_LETTERS_THEN_MARKS.fullmatch(t) if self.cuts else None for t in texts]
+        parts = [(t,) if m is None else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),) for t, m in zip(texts, cut, strict=True)]
+        known = self.parts
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list({p for group in parts for p in group if p not in known})
+        for p, ids in zip(new, self._ids(new), strict=True):
+            known[p] = ids.tobytes()  # far smaller than a list
+        for chunk, group in zip(chunks, parts, strict=True):
+            self.seen[chunk] = b"".join([known[p] for p in group])
+
+    def _ids(self, chunks: list[str]) -> list[np.ndarray]:
+        """The ids of each chunk, from one call for all of them.
+
+        A special token cuts a text wherever it stands, so the chunks are
+        joined by one and the ids are cut at its id. Chunks that hold it
+        themselves are encoded one by one.
+        """
+        if not chunks:
+            return []
+        if self.mark is None or any(self.mark in c for c in chunks):
+            return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(chunks)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        cuts = np.flatnonzero(ids == self.mark_id)
+        starts, ends = np.append(0, cuts + 1), np.append(cuts, len(ids))
+        return [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; the chunks of a batch are encoded together."""
         if not self.by_chunk:
-            yield from (e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
+            yield from (np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
             return
         seen = self.seen
         if len(seen) > REMEMBERED:
             seen.clear()
         split = [t.encode().split() for t in texts]
         new = [c for c in set(itertools.chain.from_iterable(split)) if c not in seen]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                seen[chunk] = e.ids
+        for i in range(0, len(new), 16_384):
+            self._learn(new[i : i + 16_384])
         for chunks in split:
-            yield list(itertools.chain.from_iterable(map(seen.__getitem__, chunks)))
+            yield np.frombuffer(b"".join(map(seen.__getitem__, chunks)), dtype=np.uint32)
 
 
 def _out(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -87,15 +131,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         fs, root = _out(folder)
         encoder = ChunkEncoder(tokenizer, by_chunk)
         temporary, path = f"{root}/_{uuid.uuid4().hex}", f"{root}/part-{part:05d}.tok"
-        tail, documents, tokens = [] if end_id is None else [end_id], 0, 0
+        tail, documents, tokens = np.array([] if end_id is None else [end_id], dtype=np.uint32), 0, 0
         with fs.open_output_stream(temporary) as out:
             writer = Writer(out, width=encoder.width)
             for batch in itertools.chain([first], batches):
-                for at in range(0, batch.num_rows, 512):
-                    piece = batch.slice(at, 512)
+                for at in range(0, batch.num_rows, 128):
+                    piece = batch.slice(at, 128)
                     for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                        ids += tail
-                        writer.add(doc_id, np.array(ids, dtype=np.uint32))
+                        ids = np.concatenate([ids, tail])
+                        writer.add(doc_id, ids)
                         documents, tokens = documents + 1, tokens + len(ids)
             writer.close()
         fs.move(temporary, path)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 NO_PAIR = np.int64(1) << 60
 #: Words that a task remembers before it starts afresh, and how long they may be for that.
-REMEMBERED, LONG = 300_000, 64
+REMEMBERED, LONG = 250_000, 64
 
 
 class BpeModel:
@@ -190,17 +190,11 @@ class Encoder:
         split = [self.words(t) for t in texts]
         new = list({w for words in split for w in words if w not in seen})
         long = {}
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
             for w, ids in zip(part, self.model.encode_words(part), strict=True):
-                (seen if len(w) <= LONG else long)[w] = ids.tolist()
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += seen[w] if w in seen else long[w]
-            out.append(ids)
-        return out
+                (seen if len(w) <= LONG else long)[w] = ids.astype(np.int32).tobytes()  # far smaller than a list
+        return [np.frombuffer(b"".join([seen[w] if w in seen else long[w] for w in words]), dtype=np.int32).tolist() for words in split]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.library.decode(ids)

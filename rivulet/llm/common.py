@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What separates words everywhere in this subpackage: the ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -61,3 +62,33 @@ def release(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Ids are hashed to so many slots before a broadcast, which bounds its size whatever their number.
+SLOTS = 1 << 20
+
+
+def _slot(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+
+
+def _slots(ids: DataFrame, key: str) -> DataFrame:
+    return F.broadcast(ids.select(_slot(key).alias("_slot")).distinct())
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``ids`` (one column of that name and type).
+
+    Most other rows are left out by their slot before the join, so wide rows are
+    not shuffled only to be dropped. With far more ids than slots nearly all
+    rows pass the slots, and the join alone decides.
+    """
+    near = rows.withColumn("_slot", _slot(key)).join(_slots(ids, key), "_slot", "left_semi").drop("_slot")
+    return near.join(ids, key, "left_semi")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``ids``; rows whose slot holds no id are not shuffled."""
+    placed, slots = rows.withColumn("_slot", _slot(key)), _slots(ids, key)
+    near = placed.join(slots, "_slot", "left_semi").drop("_slot").join(ids, key, "left_anti")
+    return placed.join(slots, "_slot", "left_anti").drop("_slot").select(*rows.columns).unionByName(near.select(*rows.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.classifier import score
-from rivulet.llm.common import materialise, table
+from rivulet.llm.common import materialise, table, without_ids
 from rivulet.llm.minhash import near_duplicate_classes
 from rivulet.llm.mixing import mix_sources
 from rivulet.llm.quality_rules import quality_rules
@@ -38,9 +38,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Of rows that share a doc_id one stays, the one with the smallest text.
     """
     classes = near_duplicate_classes(docs.select("doc_id", "text"))
-    others = classes.where("doc_id <> class_id").select("doc_id").distinct()
+    others = materialise(classes.where("doc_id <> class_id").select("doc_id").distinct(), "others")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    kept = docs.join(others, "doc_id", "left_anti")
+    kept = without_ids(docs, others, "doc_id")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))

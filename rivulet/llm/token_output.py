@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import materialise, scratch_path
 from rivulet.llm.tokenfile import Reader, Writer
 
-#: Distinct chunks that a task remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Distinct chunks, and parts of chunks, that a Python worker remembers.
+REMEMBERED = 600_000
 
 #: Latin letters that stand for themselves in every normal form, then ASCII marks other than the apostrophe.
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
@@ -63,7 +63,7 @@ class ChunkEncoder:
         parts = [(t,) if m is None else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),) for t, m in zip(texts, cut, strict=True)]
         known = self.parts
         if len(known) > REMEMBERED:
-            known.clear()
+            self.parts = known = _first_half(known)
         new = list({p for group in parts for p in group if p not in known})
         for p, ids in zip(new, self._ids(new), strict=True):
             known[p] = ids.tobytes()  # far smaller than a list
@@ -91,9 +91,9 @@ class ChunkEncoder:
         if not self.by_chunk:
             yield from (np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
             return
+        if len(self.seen) > REMEMBERED:
+            self.seen = _first_half(self.seen)
         seen = self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
         split = [t.encode().split() for t in texts]
         new = [c for c in set(itertools.chain.from_iterable(split)) if c not in seen]
         for i in range(0, len(new), 16_384):
@@ -102,6 +102,21 @@ class ChunkEncoder:
             yield np.frombuffer(b"".join(map(seen.__getitem__, chunks)), dtype=np.uint32)
 
 
+def _first_half(known: dict) -> dict:
+    """What was met first is what is met most often."""
+    return dict(itertools.islice(known.items(), len(known) // 2))
+
+
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
+
+
+def worker_encoder(path: str, by_chunk: bool) -> ChunkEncoder:
+    """This Python worker's encoder. Workers outlive tasks, and what one task learned serves the next."""
+    if (path, by_chunk) not in _encoders:
+        _encoders[path, by_chunk] = ChunkEncoder(path, by_chunk)
+    return _encoders[path, by_chunk]
+
+
 def _out(uri: str) -> tuple[pafs.FileSystem, str]:
     fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
     fs.create_dir(path, recursive=True)
@@ -129,7 +144,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             return
         part = TaskContext.get().partitionId()
         fs, root = _out(folder)
-        encoder = ChunkEncoder(tokenizer, by_chunk)
+        encoder = worker_encoder(tokenizer, by_chunk)
         temporary, path = f"{root}/_{uuid.uuid4().hex}", f"{root}/part-{part:05d}.tok"
         tail, documents, tokens = np.array([] if end_id is None else [end_id], dtype=np.uint32), 0, 0
         with fs.open_output_stream(temporary) as out:

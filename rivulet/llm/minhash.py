@@ -14,6 +14,9 @@
    their pairs.
 4. Every proposed pair is verified on the whole texts by weighted Jaccard, and
    the links are united to classes.
+5. Crowded buckets are then gone over again: pairs that reach the share, were not
+   verified and join two classes are verified in rounds, the most alike of each
+   text first, until none is left.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import materialise, only_ids
@@ -168,15 +171,16 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(top), pa.int64()), pa.array([e["rep"] for e in top], pa.int64()), pa.array([e["sig"] for e in top], pa.binary())], names=["key", "rep", "sig"])
 
 
-def propose(members: list[dict], hubs: list[dict]) -> list[tuple[int, int]]:
-    """Pairs of a block that are to be verified, smaller id first."""
+def propose(members: list[dict], hubs: list[dict]) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of a block that are to be verified first, smaller id first, and whether others were put off."""
     every = {e["rep"]: e for e in [*members, *hubs]}
     entries = [every[k] for k in sorted(every)]
     ids = np.array([e["rep"] for e in entries])
     share = _equal_share(_sigs(entries))
     np.fill_diagonal(share, 0)
     i, j = np.nonzero(np.triu(share >= PROPOSED))
-    if len(i) > 4 * len(ids):
+    crowded = len(i) > 4 * len(ids)
+    if crowded:
         degree = (share >= 0.75).sum(axis=1)
         top = np.unique(np.append(np.argsort(-degree, kind="stable")[:4], np.flatnonzero(np.isin(ids, [h["rep"] for h in hubs]))))
         nearest = np.argsort(-share, axis=1, kind="stable")[:, :2]
@@ -185,21 +189,24 @@ def propose(members: list[dict], hubs: list[dict]) -> list[tuple[int, int]]:
         b = np.concatenate([nearest, to_hubs], axis=1).ravel()
         keep = share[a, b] >= PROPOSED
         i, j = a[keep], b[keep]
-    return sorted({(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for x, y in zip(i, j, strict=True) if x != y})
+    return sorted({(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for x, y in zip(i, j, strict=True) if x != y}), crowded
 
 
 def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs, and a row with the bucket alone for a block that put pairs off."""
     for batch in batches:
-        a, b = [], []
+        a, b, later = [], [], []
         for row in batch.to_pylist():
-            for x, y in propose(row["members"], row["hubs"] or []):
+            pairs, crowded = propose(row["members"], row["hubs"] or [])
+            for x, y, key in [*((x, y, None) for x, y in pairs), *([(None, None, row["key"])] if crowded else [])]:
                 a.append(x)
                 b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                later.append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(later, pa.int64())], names=["a", "b", "later"])
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b) to verify, from ``reps`` (rep, sig, bands)."""
+def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b) to verify first, from ``reps`` (rep, sig, bands), and the (key) of buckets with more."""
     placed = reps.select("rep", "sig", F.explode("bands").alias("key"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     placed = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK).cast("bigint")))
@@ -207,7 +214,29 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
     blocks = materialise(blocks, "blocks")
     hubs = blocks.where(F.col("n") > BLOCK).select("key", "members").mapInArrow(_hubs, "key long, rep long, sig binary")
     hubs = hubs.groupBy("key").agg(F.collect_list(F.struct("rep", "sig")).alias("hubs"))
-    return blocks.join(hubs, "key", "left").select("members", "hubs").mapInArrow(_proposals, "a long, b long").distinct()
+    found = materialise(blocks.join(hubs, "key", "left").select("key", "members", "hubs").mapInArrow(_proposals, "a long, b long, later long").distinct(), "pairs")
+    return found.where("a IS NOT NULL").select("a", "b"), found.where("later IS NOT NULL").select(F.col("later").alias("key"))
+
+
+def _unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a block that reach the share and are of two classes."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            members = batch.slice(at, 1).to_pylist()[0]["members"]
+            ids, classes = (np.array([e[name] for e in members], dtype=np.int64) for name in ("rep", "class"))
+            share = _equal_share(_sigs(members))
+            i, j = np.nonzero(np.triu(share >= PROPOSED, 1) & (classes[:, None] != classes))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(share[i, j])], names=["a", "b", "share"])
+
+
+def unjoined_pairs(reps: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct (a, b, share) of the buckets ``keys`` that join two of the ``classes`` (id, component)."""
+    placed = reps.select("rep", "sig", F.explode("bands").alias("key")).join(keys, "key", "left_semi")
+    placed = placed.join(classes, placed["rep"] == classes["id"], "left").select("key", "rep", "sig", F.coalesce("component", "rep").alias("class"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key", "n")
+    placed = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK).cast("bigint")))
+    blocks = placed.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "sig", "class")).alias("members"))
+    return blocks.select("members").mapInArrow(_unjoined, "a long, b long, share float").groupBy("a", "b").agg(F.max("share").alias("share"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
@@ -233,6 +262,14 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(compared, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
+def between_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b, share) of two classes, with the class of b."""
+    of = classes.select("id", "component")
+    for end in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("id").alias(end), F.col("component").alias("c")), end, "left").withColumn(f"{end}_class", F.coalesce("c", end)).drop("c")
+    return pairs.where("a_class <> b_class").select("a", "b", "share", "b_class")
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, class_id) for every row of ``docs`` (doc_id, text).
 
@@ -247,12 +284,26 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFram
     idf = idf_table(df, n)
     signed = materialise(signatures(docs, idf).where("doc_id IS NOT NULL"), "signatures")
     reps = signed.groupBy("copy").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x")).select("copy", F.col("x.doc_id").alias("rep"), "x.sig", "x.bands")
-    pairs = materialise(candidate_pairs(reps), "pairs")
-    involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "involved")
-    texts = only_ids(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), involved, "rep")
-    links = materialise(verified(pairs, texts, idf, similarity).select("a", "b").distinct(), "verified")
     same = signed.join(reps.select("copy", "rep"), "copy").select("doc_id", "rep")
     copies = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "involved")
+        texts = only_ids(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), involved, "rep")
+        return materialise(verified(pairs, texts, idf, similarity).select("a", "b").distinct(), "verified")
+
+    pairs, later = candidate_pairs(reps)
+    links = linked(pairs)
     joined = components(links.unionByName(copies))
+    if not later.isEmpty():
+        left = materialise(unjoined_pairs(reps, later, joined).join(pairs, ["a", "b"], "left_anti"), "unjoined")
+        most = 4
+        while not left.isEmpty():
+            at_once = Window.partitionBy("a", "b_class").orderBy(F.desc("share"), "b")
+            left = materialise(between_classes(left, joined).withColumn("k", F.row_number().over(at_once)), "ranked")
+            links = links.unionByName(linked(left.where(F.col("k") <= most).select("a", "b")))
+            joined = components(links.unionByName(copies))
+            left = materialise(between_classes(left.where(F.col("k") > most), joined).select("a", "b", "share"), "unjoined")
+            most *= 8
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     return rows.join(joined, rows["doc_id"] == joined["id"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))

@@ -14,9 +14,10 @@
    their pairs.
 4. Every proposed pair is verified on the whole texts by weighted Jaccard, and
    the links are united to classes.
-5. Crowded buckets are then gone over again: pairs that reach the share, were not
-   verified and join two classes are verified in rounds, the most alike of each
-   text first, until none is left.
+5. Crowded buckets and those of several blocks are then gone over again, each
+   block with each: pairs that reach the share, were not verified and join two
+   classes are verified in rounds, the most alike of each text first, until none
+   is left.
 """
 
 from __future__ import annotations
@@ -150,10 +151,11 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(signed, "doc_id long, copy string, sig binary, bands array<bigint>").where("sig IS NOT NULL")
 
 
-def _equal_share(sigs: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(sigs), len(sigs)), dtype=np.uint8)
+def _equal_share(sigs: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
+    others = sigs if others is None else others
+    total = np.zeros((len(sigs), len(others)), dtype=np.uint8)
     for k in range(sigs.shape[1]):
-        total += sigs[:, k][:, None] == sigs[:, k][None, :]
+        total += sigs[:, k][:, None] == others[:, k][None, :]
     return total / np.float32(sigs.shape[1])
 
 
@@ -206,7 +208,7 @@ def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b) to verify first, from ``reps`` (rep, sig, bands), and the (key) of buckets with more."""
+    """Distinct (a, b) to verify first, from ``reps`` (rep, sig, bands), and the (key) of crowded buckets and those of several blocks."""
     placed = reps.select("rep", "sig", F.explode("bands").alias("key"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     placed = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK).cast("bigint")))
@@ -215,18 +217,24 @@ def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     hubs = blocks.where(F.col("n") > BLOCK).select("key", "members").mapInArrow(_hubs, "key long, rep long, sig binary")
     hubs = hubs.groupBy("key").agg(F.collect_list(F.struct("rep", "sig")).alias("hubs"))
     found = materialise(blocks.join(hubs, "key", "left").select("key", "members", "hubs").mapInArrow(_proposals, "a long, b long, later long").distinct(), "pairs")
-    return found.where("a IS NOT NULL").select("a", "b"), found.where("later IS NOT NULL").select(F.col("later").alias("key"))
+    several = blocks.where(F.col("n") > BLOCK).select("key")
+    return found.where("a IS NOT NULL").select("a", "b"), found.where("later IS NOT NULL").select(F.col("later").alias("key")).unionByName(several).distinct()
 
 
 def _unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a block that reach the share and are of two classes."""
+    """All pairs within a block, or between two, that reach the share and are of two classes."""
     for batch in batches:
         for at in range(batch.num_rows):
             members = batch.slice(at, 1).to_pylist()[0]["members"]
-            ids, classes = (np.array([e[name] for e in members], dtype=np.int64) for name in ("rep", "class"))
-            share = _equal_share(_sigs(members))
-            i, j = np.nonzero(np.triu(share >= PROPOSED, 1) & (classes[:, None] != classes))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j])), pa.array(share[i, j])], names=["a", "b", "share"])
+            first = [e for e in members if e["first"]]
+            second = [e for e in members if not e["first"]] or first
+            sigs, (ids, classes) = _sigs(second), (np.array([e[name] for e in second], dtype=np.int64) for name in ("rep", "class"))
+            for low in range(0, len(first), 512):
+                part = first[low : low + 512]
+                own, of = (np.array([e[name] for e in part], dtype=np.int64) for name in ("rep", "class"))
+                share = _equal_share(_sigs(part), sigs)
+                i, j = np.nonzero((share >= PROPOSED) & (of[:, None] != classes) & ((own[:, None] < ids) if second is first else True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[i], ids[j])), pa.array(np.maximum(own[i], ids[j])), pa.array(share[i, j])], names=["a", "b", "share"])
 
 
 def unjoined_pairs(reps: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
@@ -234,8 +242,10 @@ def unjoined_pairs(reps: DataFrame, keys: DataFrame, classes: DataFrame) -> Data
     placed = reps.select("rep", "sig", F.explode("bands").alias("key")).join(keys, "key", "left_semi")
     placed = placed.join(classes, placed["rep"] == classes["id"], "left").select("key", "rep", "sig", F.coalesce("component", "rep").alias("class"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key", "n")
-    placed = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK).cast("bigint")))
-    blocks = placed.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "sig", "class")).alias("members"))
+    placed = placed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / (4 * BLOCK)).cast("bigint"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    blocks = placed.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    blocks = blocks.agg(F.collect_list(F.struct("rep", "sig", "class", (F.col("block") <= F.col("other")).alias("first"))).alias("members"))
     return blocks.select("members").mapInArrow(_unjoined, "a long, b long, share float").groupBy("a", "b").agg(F.max("share").alias("share"))
 
 

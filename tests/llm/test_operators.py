@@ -297,6 +297,16 @@ def test_pairs_in_a_crowd_of_texts_on_one_passage(spark):
     assert got == {k: k // 2 * 2 for k in range(200)}
 
 
+def test_pairs_in_a_bucket_of_many_blocks(spark, monkeypatch):
+    """In blocks of 16 most pairs are of two blocks; what is found does not depend on it."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    passage = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*passage, *(f"p{k // 2}x{j}" for j in range(8)), *(f"t{k}x{j}" for j in range(12))]) for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs).collect()}
+    assert got == {k: k // 2 * 2 for k in range(200)}
+
+
 def test_samples_agree_like_weighted_jaccard():
     r = np.random.default_rng(0)
     keys = r.integers(0, 1 << 63, 400, dtype=np.uint64)

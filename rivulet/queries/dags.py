@@ -18,13 +18,15 @@ def tag(letter, column):
     return F.concat(F.lit(letter), F.col(column).cast("string"))
 
 
-def edges(t):
+def edges(t, orders=None):
+    """The graph with these orders; without any, with those of the SQL."""
+    orders = t.orders.where("o_orderkey % 20 = 0") if orders is None else orders
     return dag.edges_of(
         [
             (t.nation, tag("r", "n_regionkey"), tag("n", "n_nationkey")),
             (t.customer, tag("n", "c_nationkey"), tag("c", "c_custkey")),
             (t.supplier, tag("n", "s_nationkey"), tag("s", "s_suppkey")),
-            (t.orders.where("o_orderkey % 20 = 0"), tag("c", "o_custkey"), tag("o", "o_orderkey")),
+            (orders, tag("c", "o_custkey"), tag("o", "o_orderkey")),
         ]
     )
 
@@ -139,8 +141,9 @@ def graph_coords(t):
 TIMES = "times AS (SELECT 'o' || o_orderkey AS id, o_orderkey % 13 + 1 AS t FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT 'c' || c_custkey, c_custkey % 5 + 1 FROM customer UNION ALL SELECT 'n' || n_nationkey, 2 FROM nation)"
 
 
-def times(t):
-    o = t.orders.where("o_orderkey % 20 = 0").select(tag("o", "o_orderkey").alias("id"), (F.col("o_orderkey") % 13 + 1).alias("time"))
+def times(t, orders=None):
+    orders = t.orders.where("o_orderkey % 20 = 0") if orders is None else orders
+    o = orders.select(tag("o", "o_orderkey").alias("id"), (F.col("o_orderkey") % 13 + 1).alias("time"))
     c = t.customer.select(tag("c", "c_custkey").alias("id"), (F.col("c_custkey") % 5 + 1).alias("time"))
     return o.unionByName(c).unionByName(t.nation.select(tag("n", "n_nationkey").alias("id"), F.lit(2).cast("bigint").alias("time")))
 
@@ -157,11 +160,11 @@ def predict_critical_path(t):
 
 @query("predict_workers")
 def predict_workers(t):
-    """Greedy list scheduling of the regions' and nations' graph on three workers."""
+    """Greedy list scheduling of the graph of all orders on three workers; what has no time takes none."""
     from rivulet.plans.schedule import simulate
 
-    e = [(r["src"], r["dst"]) for r in edges(t).where("dst LIKE 'n%'").collect()]  # a plan's graph, not data
-    known = {x: 1.0 + int(x[1:]) % 3 for pair in e for x in pair}
+    e = [(r["src"], r["dst"]) for r in edges(t, t.orders).collect()]  # the driver simulates one event after the other
+    known = {r["id"]: float(r["time"]) for r in times(t, t.orders).collect()}
     rows = simulate(e, known, jobs=3)[1]
     return t.spark.createDataFrame([(x["target"], x["worker"], x["start"], x["end"]) for x in rows], "target string, worker int, start double, end double")
 

@@ -18,16 +18,17 @@ BOTH = f"WITH {OLD}, {NEW}, m AS (SELECT n.doc_id, " + ", ".join(f"o.{c} AS old_
 FIELDS = ["command", "depend", "file_in", "format", "seed", "max_expand"]
 
 
-def sides(t):
+def sides(t, text="text"):
+    """Both states; the file fingerprint is that of ``text``."""
     d = t.documents
-    head = F.md5(F.substring("text", 1, 200))
+    file_in = F.md5(text)
     at = lambda k: F.col("doc_id") % k == 0
-    old = d.select("doc_id", F.md5("source").alias("command"), F.md5("lang").alias("depend"), head.alias("file_in"), F.lit("parquet").alias("format"), F.col("n_chars").cast("bigint").alias("seed"), F.lit(10).cast("bigint").alias("max_expand"))
+    old = d.select("doc_id", F.md5("source").alias("command"), F.md5("lang").alias("depend"), file_in.alias("file_in"), F.lit("parquet").alias("format"), F.col("n_chars").cast("bigint").alias("seed"), F.lit(10).cast("bigint").alias("max_expand"))
     new = d.where("doc_id % 43 <> 0").select(
         "doc_id",
         F.when(at(17), F.md5(F.concat("source", F.lit("!")))).otherwise(F.md5("source")).alias("command"),
         F.when(at(19), F.md5(F.concat(F.lit("x"), "lang"))).otherwise(F.md5("lang")).alias("depend"),
-        F.when(~at(23), head).alias("file_in"),
+        F.when(~at(23), file_in).alias("file_in"),
         F.when(at(29), "orc").when(~at(31), "parquet").alias("format"),
         (F.col("n_chars") + F.when(at(37), 1).otherwise(0)).cast("bigint").alias("seed"),
         F.when(at(41), 20).otherwise(10).cast("bigint").alias("max_expand"),
@@ -88,7 +89,8 @@ def trigger_modes(t):
 
 @query("deps_profile", f"{BOTH} " + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS name, old_{c} IS DISTINCT FROM new_{c} AS changed, old_{c} AS old, new_{c} AS new FROM m" for c in ("command", "depend", "file_in", "format")))
 def deps_profile(t):
-    old, new = sides(t)
+    """Returns the fingerprints, which in the SQL are those of 200 characters."""
+    old, new = sides(t, F.substring("text", 1, 200))
     return s.dependency_profile(old, new, "doc_id", ["command", "depend", "file_in", "format"]).select("doc_id", "name", "changed", "old", "new")
 
 

@@ -22,3 +22,12 @@ def test_predicted_workers_run_all_targets(spark):
     for worker in (1, 2, 3):
         busy = sorted((r["start"], r["end"]) for r in rows.values() if r["worker"] == worker)
         assert all(x[1] <= y[0] for x, y in zip(busy, busy[1:]))
+
+
+def test_file_fingerprint_is_of_the_whole_text(spark):
+    from rivulet.queries.states import sides
+
+    rows = [(k, "s", "en", "x" * 300 + str(k), 301) for k in (1, 2)]
+    t = SimpleNamespace(documents=spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, n_chars long"))
+    for side in sides(t):
+        assert len({r["file_in"] for r in side.collect()}) == 2

@@ -45,14 +45,15 @@ def closure(edges: DataFrame, start: DataFrame, max_order: int | None = None, di
     return reached.withColumn("order", F.col("order").cast("bigint"))
 
 
-def levels(edges: DataFrame, max_levels: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
     """(id, level): the longest path from a root, by peeling the nodes without unpeeled parents.
 
-    Raises ValueError where a cycle keeps nodes from being peeled.
+    Raises ValueError where a cycle keeps nodes from being peeled, and
+    RuntimeError where nodes are left after ``max_levels``.
     """
     nodes = _kept(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
     left_edges, done, level = _kept(edges), None, 0
-    while level < max_levels:
+    while max_levels is None or level < max_levels:
         free = _kept(nodes.join(left_edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level).cast("bigint")))
         if free.isEmpty():
             if not nodes.isEmpty():
@@ -62,14 +63,23 @@ def levels(edges: DataFrame, max_levels: int = 1000) -> DataFrame:
         nodes = _kept(nodes.join(free, "id", "left_anti"))
         left_edges = _kept(left_edges.join(free, left_edges["src"] == free["id"], "left_anti"))
         level += 1
+    else:
+        if not nodes.isEmpty():
+            raise RuntimeError(f"no end after {max_levels} levels")
     return done
 
 
-def cyclic(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(id): nodes on a cycle or between cycles, what is left after peeling from both ends."""
+def cyclic(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(id): nodes on a cycle or between cycles, what is left after peeling from both ends.
+
+    Raises RuntimeError where there is more to peel after ``max_rounds``.
+    """
     rest = _kept(edges)
-    n = rest.count()
-    for _ in range(max_rounds):
+    n, done = rest.count(), 0
+    while True:
+        if done == max_rounds:
+            raise RuntimeError(f"no end after {max_rounds} rounds")
+        done += 1
         rest = _kept(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         m = rest.count()
         if m == n:
@@ -131,7 +141,7 @@ def coordinates(level: DataFrame) -> DataFrame:
     return level.join(F.broadcast(ends)).select("id", "level", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-def longest_path(edges: DataFrame, times: DataFrame, max_levels: int = 1000) -> DataFrame:
+def longest_path(edges: DataFrame, times: DataFrame, max_levels: int | None = None) -> DataFrame:
     """(id, finish): earliest finish of each node (id, time) with unlimited workers."""
     order = levels(edges, max_levels)
     timed = _kept(order.join(times, "id", "left").withColumn("time", F.coalesce("time", F.lit(0))))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 from types import SimpleNamespace
 
+import pytest
+
+from rivulet.operators import dag
+
 SF = Path("/root/testdata/sf0.001")
 
 
@@ -31,3 +35,11 @@ def test_file_fingerprint_is_of_the_whole_text(spark):
     t = SimpleNamespace(documents=spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, n_chars long"))
     for side in sides(t):
         assert len({r["file_in"] for r in side.collect()}) == 2
+
+
+@pytest.mark.parametrize("f", [lambda e: dag.levels(e, 2), lambda e: dag.longest_path(e, e.selectExpr("src AS id", "1 AS time"), 2), lambda e: dag.cyclic(e, 1)])
+def test_bounds_are_not_silent(spark, f):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)], "src string, dst string")
+    with pytest.raises(RuntimeError, match="no end"):
+        f(chain)
+    assert dag.levels(chain).count() == 7 and dag.cyclic(chain).count() == 0

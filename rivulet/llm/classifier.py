@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.words import WordHashes, mixed, ngrams, texts_of
+from rivulet.llm.words import WordHashes, give_back, in_slices, mixed, ngrams, texts_of
 
 BITS = 18
 SHARDS = 4
@@ -38,12 +38,9 @@ _SAME, _OTHER = np.uint64(0x5A4E), np.uint64(0x07E2)
 class WordShapes(WordHashes):
     """Hash of a word's shape: letters, capitals and digits as classes, runs cut to one."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
+    def hash(self, word: bytes) -> int:
         shape = re.sub(r"(.)\1+", r"\1\1", "".join("a" if c.islower() else "A" if c.isupper() else c for c in word.decode("utf-8", "replace").translate(_SHAPES)))
-        self[word] = value = xxhash.xxh64_intdigest(shape.encode(), seed=1)
-        return value
+        return xxhash.xxh64_intdigest(shape.encode(), seed=1)
 
 
 def features(text: bytes, words: WordHashes, shapes: WordShapes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +90,10 @@ def _train(pdf: pd.DataFrame, bits: int, epochs: int) -> pd.DataFrame:
         for at, x, label in rows:
             model.learn(at, x, label)
     w = model.weights().astype(np.float32)
-    return pd.DataFrame({"n": [len(rows)], "w": [w.tobytes()]})
+    n = len(rows)
+    del rows
+    give_back()
+    return pd.DataFrame({"n": [n], "w": [w.tobytes()]})
 
 
 def fit(labelled: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int = 3, max_rows: int = MAX_TRAINING_ROWS) -> np.ndarray:
@@ -136,7 +136,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame
                 out[i] = 1.0 / (1.0 + np.exp(-np.clip(w[at].astype(np.float64) @ x, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*keep, "score"])
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(scored, schema)
+    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(in_slices(scored), schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:

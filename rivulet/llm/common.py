@@ -64,6 +64,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: A key with more than one in so many rows is hot; there are fewer hot keys than this.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``values``, joined by ``key``, without a hot task.
+
+    ``values`` has one row for each key and, in ``n``, how many of the ``total`` rows
+    hold it. Keys with more than total / HOT rows are fewer than HOT, so they
+    are broadcast; no other key has more rows than that.
+    """
+    often = F.col("n") > total / HOT
+    hot, rest = F.broadcast(values.where(often).drop("n")), values.where(~often).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 #: Ids are hashed to so many slots before a broadcast, which bounds its size whatever their number.
 SLOTS = 1 << 20
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import materialise
+from rivulet.llm.common import lookup, materialise
+from rivulet.llm.words import in_slices
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -46,23 +47,25 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     links with nulls join nothing. The component is its smallest id. Batches
     of links are contracted first; then each round points all larger neighbours
     of a node to the smallest one, and all smaller neighbours likewise, until
-    nothing changes. A round's links are written to the shared folder.
+    nothing changes. A round's links are written to the shared folder. The root of a
+    giant component is in a link with all its nodes, so such nodes are joined by broadcast.
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u <> v")
-    edges = materialise(edges.mapInArrow(_contracted, "u long, v long").distinct(), "links")
-    before = None
+    edges = materialise(edges.mapInArrow(in_slices(_contracted, 1 << 15), "u long, v long").distinct(), "links")
+    before, n = None, edges.count()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))).alias("e"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = materialise(lookup(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        small = lookup(large, lower, "u", large.count()).select(F.explode(F.when(F.col("v") == F.col("m"), F.slice(both, 2, 1)).otherwise(both)).alias("e"))
         edges = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             break
-        before = after
+        before, n = after, after[0]
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct()

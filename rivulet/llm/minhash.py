@@ -1,23 +1,23 @@
 """Near-duplicate texts by consistent weighted sampling of TF-IDF shingles.
 
-1. The document frequency of words, hashed to a fixed number of slots, is
-   counted over all documents. A shingle of five words weighs its number of
-   occurrences in the text times the mean inverse document frequency of its words.
+1. The document frequency of five-word shingles, hashed to a fixed number of
+   slots, is counted over all documents. A shingle weighs its occurrences in the
+   text times its inverse document frequency.
 2. Improved consistent weighted sampling draws BANDS x ROWS samples of each
    text; two texts share a sample with the probability of their weighted
-   Jaccard similarity. Equal samples in a band put texts in a bucket.
-3. Copies of a text are folded to one before buckets are formed. Buckets are
-   worked on in blocks; a block proposes pairs by the share of equal
-   samples. Crowded blocks propose a bounded number of pairs for each text: its
-   nearest ones and the best connected texts (hubs), and the hubs of a bucket
-   are shared by all its blocks, so groups of any size stay joined without all
-   their pairs.
-4. Every proposed pair is verified on the whole texts by weighted Jaccard, and
-   the links are united to classes.
-5. Crowded buckets and those of several blocks are then gone over again, each
-   block with each: pairs that reach the share, were not verified and join two
-   classes are verified in rounds, the most alike of each text first, until none
-   is left.
+   Jaccard similarity. Equal samples in a band put texts in a bucket. Copies of a
+   text are folded to one before.
+3. Texts of a bucket whose share of equal samples reaches the similarity less
+   MARGIN, and all texts of a bucket of more than BLOCK, are loosely tied. Ties need
+   no text; what they join is a neighbourhood, and every link lies within one.
+4. The texts of a neighbourhood meet in one task, once each, and every pair
+   that reaches the share is verified there on the whole texts by weighted
+   Jaccard, unless verified links have joined its two texts already.
+5. A neighbourhood too large for a task is cut into chunks. Each chunk is worked
+   on like a small neighbourhood; then its texts are compared with the best
+   connected texts (hubs) of all chunks, which joins the many variants of one text;
+   then, bucket by bucket, every pair that reaches the share and still lies between two
+   classes is verified in rounds until none is left. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -26,56 +26,78 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import materialise, only_ids
+from rivulet.llm.common import lookup, materialise, only_ids
 from rivulet.llm.components import components
-from rivulet.llm.words import WordHashes, mixed, ngrams, texts_of
-
-BANDS, ROWS, SHINGLE = 12, 5, 5
-IDF_BITS = 18
-#: Texts in a block of a bucket, the share of equal samples from which a pair is proposed.
-BLOCK, PROPOSED = 512, 0.6
+from rivulet.llm.words import WordHashes, give_back, in_slices, mixed, ngrams, texts_of
+
+BANDS, ROWS, SHINGLE = 15, 4, 5
+#: Slots of shingles; how much more the rarest shingle weighs than one of every document.
+IDF_BITS, IDF_RANGE = 20, 0.5
+#: Slots travel in rows of so many.
+_ROW = 1 << 10
+#: Texts compared in one task, and their bytes; hubs of a neighbourhood.
+BLOCK, BLOCK_BYTES, HUBS = 512, 4_000_000, 64
+#: A pair is verified if its share of equal samples is at most so far below the similarity (four standard deviations).
+MARGIN = 0.2
+#: Bytes of texts whose shingles a worker keeps while it verifies pairs.
+KEPT_BYTES = 4_000_000
 _SLOT = np.uint64(64 - IDF_BITS)
 
 
+def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every shingle of a text, in order. Fewer than five words are one shingle."""
+    return ngrams(hashes, min(SHINGLE, len(hashes))) if len(hashes) else np.empty(0, dtype=np.uint64)
+
+
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that hold a word of each slot, and all documents; 2 ** IDF_BITS numbers, whatever the corpus."""
+    """Documents that hold a shingle of each slot, and all documents; 2 ** IDF_BITS numbers, whatever the corpus."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, n = WordHashes(), np.zeros(1 << IDF_BITS, dtype=np.int64), 0
+        words, total, n = WordHashes(), np.zeros(1 << IDF_BITS, dtype=np.int32), 0
         for batch in batches:
             for t in texts_of(batch.column(0)):
-                total[np.unique(words.of(t) >> _SLOT).astype(np.int64)] += 1
+                total[np.unique(shingle_hashes(words.of(t)) >> _SLOT).astype(np.int64)] += 1
                 n += 1
-        slots = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1)), pa.array(np.append(total[slots], n))], names=["slot", "n"])
-
-    rows = docs.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # bounded by the slots
-    found = dict(zip(rows["slot"].tolist(), rows["n"].tolist(), strict=True))
-    n = found.pop(-1, 0)
-    df = np.zeros(1 << IDF_BITS, dtype=np.int64)
-    df[list(found)] = list(found.values())
-    return df, n
+        rows = total.reshape(-1, _ROW)
+        at = np.flatnonzero(rows.any(axis=1))
+        counts = [r.tobytes() for r in rows[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array([*counts, np.array([n], dtype=np.int32).tobytes()], pa.binary())], names=["at", "counts"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": pdf["at"].head(1), "counts": [sum(np.frombuffer(c, dtype="i4").astype(np.int64) for c in pdf["counts"]).tobytes()]})
+
+    partial = docs.select("text").mapInArrow(in_slices(counted), "at long, counts binary")
+    rows = partial.groupBy("at").applyInPandas(added, "at long, counts binary").collect()  # bounded by the slots
+    df, n = np.zeros((1 << IDF_BITS) // _ROW * _ROW, dtype=np.int64).reshape(-1, _ROW), 0
+    for r in rows:
+        counts = np.frombuffer(r["counts"], dtype=np.int64)
+        if r["at"] < 0:
+            n = int(counts[0])
+        else:
+            df[r["at"]] = counts
+    return df.ravel(), n
 
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    """1 for a word of every document to 2 for a word of none; the range does not depend on the corpus' size."""
-    return (1.0 + np.log((n + 1.0) / (df + 1.0)) / np.log(n + 2.0)).astype(np.float32)
+    """1 for a shingle of every document to 1 + IDF_RANGE for one of none.
+
+    The range is fixed, so that it does not depend on the corpus' size, and
+    narrow: what a large group of near copies shares is frequent because of the group,
+    and at full weight the few shingles that tell its members apart would
+    count for more than all they share.
+    """
+    return (1.0 + IDF_RANGE * np.log((n + 1.0) / (df + 1.0)) / np.log(n + 2.0)).astype(np.float32)
 
 
 def weighted_shingles(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, sorted, and their weights. Fewer than five words are one shingle."""
-    size = min(SHINGLE, len(hashes))
-    if not size:
-        return np.empty(0, dtype=np.uint64), np.empty(0)
-    grams = ngrams(hashes, size)
-    each = idf[(hashes >> _SLOT).astype(np.int64)].astype(np.float64)
-    mean = np.convolve(each, np.ones(size), "valid") / size
-    shingles, first, counts = np.unique(grams, return_index=True, return_counts=True)
-    return shingles, counts * mean[first]
+    """Distinct shingles, sorted, and their weights."""
+    shingles, counts = np.unique(shingle_hashes(hashes), return_counts=True)
+    return shingles, counts * idf[(shingles >> _SLOT).astype(np.int64)].astype(np.float64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -100,13 +122,13 @@ class Sampler:
         """One 64-bit sample for each key."""
         log_w = np.log(weights).astype(np.float32)[:, None]
         best, out = None, None
-        for at in range(0, len(shingles), 4096):
-            part = shingles[at : at + 4096]
+        for at in range(0, len(shingles), 2048):
+            part = shingles[at : at + 2048]
             x = mixed(part[:, None] * self.keys)
             low = np.uint64(0xFFFF)
             r = self.r[(x & low).astype(np.int32)]
             beta = self.beta[((x >> np.uint64(16)) & low).astype(np.int32)]
-            t = np.floor(log_w[at : at + 4096] / r + beta)
+            t = np.floor(log_w[at : at + 2048] / r + beta)
             value = self.log_c[((x >> np.uint64(32)) & low).astype(np.int32)] - r * (t - beta + 1)
             where = value.argmin(axis=0)
             columns = np.arange(len(self.keys))
@@ -121,14 +143,16 @@ class Sampler:
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
+    """One key a band for each row of samples."""
     keys = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+    bands = samples.astype(np.uint64).reshape(-1, BANDS, ROWS)
     for j in range(ROWS):
-        keys = mixed(keys * np.uint64(0xC2B2AE3D27D4EB4F) + samples.reshape(BANDS, ROWS)[:, j])
+        keys = mixed(keys * np.uint64(0xC2B2AE3D27D4EB4F) + bands[:, :, j])
     return keys.astype(np.int64)
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, copy, sig, bands) of texts with words; ``copy`` is the md5 of the text."""
+    """(doc_id, copy, sig, bytes) of texts with words; ``copy`` is the md5 of the text, ``bytes`` its length."""
     sent = docs.sparkSession.sparkContext.broadcast(idf)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.md5("text").alias("copy"))
@@ -136,19 +160,17 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sampler, known = WordHashes(), Sampler(), OrderedDict()
         for batch in batches:
-            sigs, bands = [], []
-            for t, copy in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            sigs, texts = [], texts_of(batch.column(1))
+            for t, copy in zip(texts, batch.column(2).to_pylist(), strict=True):
                 if copy not in known:
                     shingles, weights = weighted_shingles(words.of(t), sent.value)
-                    samples = sampler.sample(shingles, weights) if len(shingles) else None
-                    known[copy] = (None, None) if samples is None else ((samples & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), band_keys(samples))
+                    known[copy] = sampler.sample(shingles, weights).astype("<u4").tobytes() if len(shingles) else None
                     if len(known) > 2000:
                         known.popitem(last=False)
-                sigs.append(known[copy][0])
-                bands.append(known[copy][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "copy", "sig", "bands"])
+                sigs.append(known[copy])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sigs, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "copy", "sig", "bytes"])
 
-    return rows.mapInArrow(signed, "doc_id long, copy string, sig binary, bands array<bigint>").where("sig IS NOT NULL")
+    return rows.mapInArrow(in_slices(signed), "doc_id long, copy string, sig binary, bytes long").where("sig IS NOT NULL")
 
 
 def _equal_share(sigs: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
@@ -159,94 +181,222 @@ def _equal_share(sigs: np.ndarray, others: np.ndarray | None = None) -> np.ndarr
     return total / np.float32(sigs.shape[1])
 
 
-def _sigs(entries: list[dict]) -> np.ndarray:
-    return np.frombuffer(b"".join(e["sig"] for e in entries), dtype="<u4").reshape(len(entries), -1)
+def _sigs(entries: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(entries), dtype="<u4").reshape(len(entries), -1)
 
 
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The four best connected texts of each block."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            members = sorted(row["members"], key=lambda e: e["rep"])
-            degree = (_equal_share(_sigs(members)) >= 0.75).sum(axis=1)
-            top = [members[i] for i in np.argsort(-degree, kind="stable")[:4]]
-            yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(top), pa.int64()), pa.array([e["rep"] for e in top], pa.int64()), pa.array([e["sig"] for e in top], pa.binary())], names=["key", "rep", "sig"])
-
-
-def propose(members: list[dict], hubs: list[dict]) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of a block that are to be verified first, smaller id first, and whether others were put off."""
-    every = {e["rep"]: e for e in [*members, *hubs]}
-    entries = [every[k] for k in sorted(every)]
-    ids = np.array([e["rep"] for e in entries])
-    share = _equal_share(_sigs(entries))
-    np.fill_diagonal(share, 0)
-    i, j = np.nonzero(np.triu(share >= PROPOSED))
-    crowded = len(i) > 4 * len(ids)
-    if crowded:
-        degree = (share >= 0.75).sum(axis=1)
-        top = np.unique(np.append(np.argsort(-degree, kind="stable")[:4], np.flatnonzero(np.isin(ids, [h["rep"] for h in hubs]))))
-        nearest = np.argsort(-share, axis=1, kind="stable")[:, :2]
-        to_hubs = top[np.argsort(-share[:, top], axis=1, kind="stable")[:, :2]]
-        a = np.repeat(np.arange(len(ids)), nearest.shape[1] + to_hubs.shape[1])
-        b = np.concatenate([nearest, to_hubs], axis=1).ravel()
-        keep = share[a, b] >= PROPOSED
-        i, j = a[keep], b[keep]
-    return sorted({(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for x, y in zip(i, j, strict=True) if x != y}), crowded
-
-
-def _proposals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs, and a row with the bucket alone for a block that put pairs off."""
+class _Sets:
+    """A few hundred nodes and the sets they are joined to."""
+
+    def __init__(self, ids: np.ndarray):
+        _, self.root = np.unique(ids, return_inverse=True)  # equal ids are one node
+
+    def join(self, i: int, j: int) -> None:
+        self.root[self.root == self.root[j]] = self.root[i]
+
+
+# buckets to neighbourhoods
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, later = [], [], []
-        for row in batch.to_pylist():
-            pairs, crowded = propose(row["members"], row["hubs"] or [])
-            for x, y, key in [*((x, y, None) for x, y in pairs), *([(None, None, row["key"])] if crowded else [])]:
-                a.append(x)
-                b.append(y)
-                later.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(later, pa.int64())], names=["a", "b", "later"])
-
-
-def candidate_pairs(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct (a, b) to verify first, from ``reps`` (rep, sig, bands), and the (key) of crowded buckets and those of several blocks."""
-    placed = reps.select("rep", "sig", F.explode("bands").alias("key"))
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    placed = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK).cast("bigint")))
-    blocks = placed.groupBy("key", "block").agg(F.collect_list(F.struct("rep", "sig")).alias("members"), F.max("n").alias("n"))
-    blocks = materialise(blocks, "blocks")
-    hubs = blocks.where(F.col("n") > BLOCK).select("key", "members").mapInArrow(_hubs, "key long, rep long, sig binary")
-    hubs = hubs.groupBy("key").agg(F.collect_list(F.struct("rep", "sig")).alias("hubs"))
-    found = materialise(blocks.join(hubs, "key", "left").select("key", "members", "hubs").mapInArrow(_proposals, "a long, b long, later long").distinct(), "pairs")
-    several = blocks.where(F.col("n") > BLOCK).select("key")
-    return found.where("a IS NOT NULL").select("a", "b"), found.where("later IS NOT NULL").select(F.col("later").alias("key")).unionByName(several).distinct()
-
-
-def _unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs within a block, or between two, that reach the share and are of two classes."""
+        keys = band_keys(_sigs(batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel())], names=["rep", "key"])
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """(rep, key, size, least) for each text and each of its buckets that holds others too."""
+    placed = materialise(reps.select("rep", "sig").mapInArrow(in_slices(_banded, 2048), "rep long, key long"), "bands")
+    sizes = materialise(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").withColumn("size", F.col("n")), "bucket-sizes")
+    return materialise(lookup(placed, sizes, "key", placed.count()), "buckets")
+
+
+def _tied(low: float):
+    def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A forest over the texts of each bucket that ties all pairs with a share of ``low``."""
+        for batch in batches:
+            for at in range(batch.num_rows):
+                members = batch.slice(at, 1).to_pylist()[0]["members"]
+                ids = np.array([e["rep"] for e in members], dtype=np.int64)
+                near, sets, a, b = _equal_share(_sigs([e["sig"] for e in members])) >= low, _Sets(ids), [], []
+                for i in range(len(ids)):
+                    for j in np.flatnonzero(near[i]):
+                        if sets.root[i] != sets.root[j]:
+                            sets.join(i, j)
+                            a.append(ids[i])
+                            b.append(ids[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return tied
+
+
+def neighbourhoods(placed: DataFrame, reps: DataFrame, low: float) -> DataFrame:
+    """(id, component) of texts loosely tied to others."""
+    small = placed.where(F.col("size") <= BLOCK).select("rep", "key")
+    signed = small.join(reps.select("rep", "sig"), "rep").groupBy("key").agg(F.collect_list(F.struct("rep", "sig")).alias("members"))  # at most BLOCK
+    ties = signed.select("members").mapInArrow(_tied(low), "a long, b long")
+    stars = placed.where((F.col("size") > BLOCK) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    return components(ties.unionByName(stars))
+
+
+# verification within a task
+
+
+class _Verifier:
+    def __init__(self, idf: np.ndarray, similarity: float):
+        self.words, self.idf, self.similarity = WordHashes(), idf, similarity
+
+    def links(self, ids: np.ndarray, sigs: np.ndarray, texts: list[bytes], hubs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Verified links that join what all links of these texts join, and each text's number of near ones.
+
+        Rows marked as ``hubs`` are compared with all; if there are any, others
+        are not compared with each other. Best connected texts come first, which
+        joins most of a group at once; pairs already joined are not verified.
+        """
+        share = _equal_share(sigs)
+        degree = (share >= self.similarity - 0.05).sum(axis=1)
+        near, sets, found = share >= self.similarity - MARGIN, _Sets(ids), []
+        if hubs.any():
+            near &= hubs[:, None] | hubs
+        involved = np.flatnonzero((near & (sets.root[:, None] != sets.root)).any(axis=1))
+        if not len(involved):
+            return found, degree
+        shingles, weights = {}, {}
+        for i in involved.tolist():
+            shingles[i], weights[i] = weighted_shingles(self.words.of(texts[i]), self.idf)
+        known = np.unique(np.concatenate(list(shingles.values())))
+        shingles = {i: np.searchsorted(known, s).astype(np.int32) for i, s in shingles.items()}
+        total = {i: w.sum() for i, w in weights.items()}
+        own = np.zeros(len(known))
+        order = involved[np.argsort(-degree[involved], kind="stable")]
+        for i in (order[hubs[order]] if hubs.any() else order).tolist():
+            own[shingles[i]] = weights[i]
+            todo = np.flatnonzero(near[i] & (sets.root != sets.root[i]))
+            near[:, i] = False
+            for j in todo[np.argsort(-share[i, todo], kind="stable")].tolist():
+                if sets.root[j] != sets.root[i]:
+                    shared = np.minimum(own[shingles[j]], weights[j]).sum()
+                    if shared >= self.similarity * (total[i] + total[j] - shared):
+                        sets.join(i, j)
+                        found.append((int(ids[i]), int(ids[j])))
+            own[shingles[i]] = 0.0
+        return found, degree
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Consecutive rows that are equal in the first two columns."""
+    held, key = [], None
     for batch in batches:
-        for at in range(batch.num_rows):
-            members = batch.slice(at, 1).to_pylist()[0]["members"]
-            first = [e for e in members if e["first"]]
-            second = [e for e in members if not e["first"]] or first
-            sigs, (ids, classes) = _sigs(second), (np.array([e[name] for e in second], dtype=np.int64) for name in ("rep", "class"))
-            for low in range(0, len(first), 512):
-                part = first[low : low + 512]
-                own, of = (np.array([e[name] for e in part], dtype=np.int64) for name in ("rep", "class"))
-                share = _equal_share(_sigs(part), sigs)
-                i, j = np.nonzero((share >= PROPOSED) & (of[:, None] != classes) & ((own[:, None] < ids) if second is first else True))
+        first, second = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((first[1:] != first[:-1]) | (second[1:] != second[:-1])) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            here = (int(first[start]), int(second[start]))
+            if held and here != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = here
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def block_links(members: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b, degree) from ``members`` (component, chunk, rep, sig, text, hub), each chunk in one task.
+
+    Rows with a null degree are links. The others name, for each chunk, its
+    four best connected texts: a is the component, b the text.
+    """
+    sent = members.sparkSession.sparkContext.broadcast(idf)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            verifier = _Verifier(sent.value, similarity)
+            for (component, _), group in _groups(b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+                ids, hubs = group.column("rep").to_numpy(), group.column("hub").to_numpy()
+                texts = texts_of(group.column("text").combine_chunks())
+                pairs, degree = verifier.links(ids, _sigs(group.column("sig").to_pylist()), texts, hubs)
+                top = np.argsort(-degree, kind="stable")[:4]
+                a = [*(x for x, _ in pairs), *[component] * len(top)]
+                b = [*(y for _, y in pairs), *ids[top].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*[None] * len(pairs), *degree[top].tolist()], pa.int64())], names=["a", "b", "degree"])
+        finally:
+            verifier = group = texts = None
+            give_back()
+
+    rows = members.select("component", "chunk", "rep", "sig", "text", "hub")
+    rows = rows.repartition("component", "chunk").sortWithinPartitions("component", "chunk", "rep")
+    return rows.mapInArrow(linked, "a long, b long, degree long")
+
+
+def neighbour_links(near: DataFrame, reps: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float, repeats: bool) -> tuple[DataFrame, DataFrame]:
+    """Verified (a, b) within neighbourhoods ``near`` (id, component), and the texts (rep, sig) of those cut into chunks."""
+    placed = near.select(F.col("id").alias("rep"), "component").join(reps, "rep")
+    placed = materialise(placed, "neighbours")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    sizes = materialise(sizes.withColumn("chunks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("bigint")), "neighbourhood-sizes")
+    placed = lookup(placed, sizes.select("component", "n", "chunks"), "component", placed.count()).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
+    texts = only_ids(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), placed.select("rep"), "rep")
+    if repeats:  # each of several texts with one doc_id once, with its own samples
+        texts = texts.withColumn("copy", F.md5("text")).dropDuplicates(["rep", "copy"])
+        members = placed.join(texts, ["rep", "copy"])
+    else:
+        members = placed.join(texts, "rep")
+    large = not sizes.where("chunks > 1").isEmpty()
+    if large:  # their texts are read again
+        members = materialise(members, "members")
+    found = materialise(block_links(members.withColumn("hub", F.lit(False)), idf, similarity), "links")
+    links = found.where("degree IS NULL").select("a", "b")
+    cut = placed.where("chunks > 1")
+    if large:
+        best = Window.partitionBy("component").orderBy(F.desc("degree"), "rep")
+        hubs = found.where("degree > 1").select(F.col("a").alias("component"), F.col("b").alias("rep"), "degree").distinct()
+        hubs = hubs.join(sizes.where("chunks > 1").select("component"), "component", "left_semi").withColumn("k", F.row_number().over(best)).where(F.col("k") <= HUBS).select("rep")
+        hubs = materialise(hubs, "hubs")
+        cut_members = members.where("chunks > 1").select("component", "chunk", "chunks", "rep", "sig", "text")
+        everywhere = cut_members.join(hubs, "rep", "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        both = cut_members.join(hubs, "rep", "left_anti").withColumn("hub", F.lit(False)).unionByName(everywhere.withColumn("hub", F.lit(True)))
+        more = materialise(block_links(both, idf, similarity).where("degree IS NULL").select("a", "b"), "hub-links")
+        links = links.unionByName(more)
+    return links, cut.select("rep", "sig")
+
+
+# what large neighbourhoods leave
+
+
+def _unjoined(low: float):
+    def unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All pairs of a text of ``few`` and one of another class that reach the share."""
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                few, many = ([e for e in row["members"] if e["few"] == side] for side in (True, False))
+                if not few or not many:
+                    continue
+                (own, of), (ids, classes) = ([np.array([e[name] for e in part], dtype=np.int64) for name in ("rep", "class")] for part in (few, many))
+                share = _equal_share(_sigs([e["sig"] for e in few]), _sigs([e["sig"] for e in many]))
+                i, j = np.nonzero((share >= low) & (of[:, None] != classes))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[i], ids[j])), pa.array(np.maximum(own[i], ids[j])), pa.array(share[i, j])], names=["a", "b", "share"])
 
+    return unjoined
+
+
+def unjoined_pairs(placed: DataFrame, cut: DataFrame, classes: DataFrame, low: float) -> DataFrame:
+    """Distinct (a, b, share) of texts of ``cut`` that share a bucket and a share of ``low`` but no class.
 
-def unjoined_pairs(reps: DataFrame, keys: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct (a, b, share) of the buckets ``keys`` that join two of the ``classes`` (id, component)."""
-    placed = reps.select("rep", "sig", F.explode("bands").alias("key")).join(keys, "key", "left_semi")
-    placed = placed.join(classes, placed["rep"] == classes["id"], "left").select("key", "rep", "sig", F.coalesce("component", "rep").alias("class"))
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key", "n")
-    placed = placed.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / (4 * BLOCK)).cast("bigint"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    blocks = placed.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocks = blocks.agg(F.collect_list(F.struct("rep", "sig", "class", (F.col("block") <= F.col("other")).alias("first"))).alias("members"))
-    return blocks.select("members").mapInArrow(_unjoined, "a long, b long, share float").groupBy("a", "b").agg(F.max("share").alias("share"))
+    The texts outside a bucket's largest class are dealt to blocks, and each
+    block is compared with each block of the whole bucket.
+    """
+    rows = placed.select("rep", "key").join(cut, "rep").join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    rows = rows.select("key", "rep", "sig", F.coalesce("component", "rep").alias("class"))
+    by_class = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
+    sizes = by_class.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    sizes = sizes.select("key", "n", F.col("top.class").alias("largest"), F.ceil((F.col("n") - F.col("top.n")) / (2 * BLOCK)).cast("bigint").alias("fews"), F.ceil(F.col("n") / (8 * BLOCK)).cast("bigint").alias("manys"))
+    rows = materialise(rows, "unjoined-buckets")
+    rows = lookup(rows, materialise(sizes, "unjoined-sizes"), "key", rows.count())
+    many = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fews") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), "manys").alias("j"), F.lit(False).alias("few"))
+    few = rows.where(F.col("class") != F.col("largest")).select("*", F.pmod(F.xxhash64("rep", F.lit(1)), "fews").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("manys") - 1)).alias("j"), F.lit(True).alias("few"))
+    blocks = few.unionByName(many).groupBy("key", "i", "j").agg(F.collect_list(F.struct("rep", "sig", "class", "few")).alias("members"))
+    return blocks.select("members").mapInArrow(_unjoined(low), "a long, b long, share float").where("a <> b").groupBy("a", "b").agg(F.max("share").alias("share"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
@@ -255,21 +405,22 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
     joined = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text")), "b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = WordHashes(), OrderedDict()
+        words, known, held = WordHashes(), OrderedDict(), 0
 
-        def shingles(key: int, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-            if key not in known:
-                known[key] = weighted_shingles(words.of(text), sent.value)
-                if len(known) > 500:
-                    known.popitem(last=False)
-            return known[key]
+        def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
+            if text not in known:
+                known[text] = weighted_shingles(words.of(text), sent.value)
+                held += len(text)
+                while held > KEPT_BYTES and len(known) > 2:
+                    held -= len(known.popitem(last=False)[0])
+            return known[text]
 
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            s = [weighted_jaccard(shingles(x, t), shingles(y, u)) for x, t, y, u in zip(a, texts_of(batch.column(2)), b, texts_of(batch.column(3)), strict=True)]
+            s = [weighted_jaccard(shingles(t), shingles(u)) for t, u in zip(texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    return joined.select("a", "b", "a_text", "b_text").mapInArrow(compared, "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+    return joined.select("a", "b", "a_text", "b_text").mapInArrow(in_slices(compared, 32), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
 
 
 def between_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -286,32 +437,35 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFram
     class_id is the smallest doc_id that verified links reach. Texts without
     words (null, empty, blank) link with nothing, nor do rows without a doc_id.
     Texts of fewer than five words are one shingle, so only equal word sequences
-    link. Copies are in one class. Rows with the same doc_id and different
-    texts are rows of one document. Other columns are left aside; an empty
-    table gives an empty result.
+    link. Copies are in one class. Very long texts count whole, like any other.
+    Rows with the same doc_id and different texts are rows of one document.
+    Ties (equal shares) are settled by the smaller doc_id and change no class.
+    Other columns are left aside, whatever their names; an empty table gives an
+    empty result.
     """
+    docs, low = docs.select("doc_id", "text"), similarity - MARGIN
     df, n = document_frequency(docs)
     idf = idf_table(df, n)
     signed = materialise(signatures(docs, idf).where("doc_id IS NOT NULL"), "signatures")
-    reps = signed.groupBy("copy").agg(F.min(F.struct("doc_id", "sig", "bands")).alias("x")).select("copy", F.col("x.doc_id").alias("rep"), "x.sig", "x.bands")
-    same = signed.join(reps.select("copy", "rep"), "copy").select("doc_id", "rep")
-    copies = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "involved")
-        texts = only_ids(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), involved, "rep")
-        return materialise(verified(pairs, texts, idf, similarity).select("a", "b").distinct(), "verified")
-
-    pairs, later = candidate_pairs(reps)
-    links = linked(pairs)
+    folded = materialise(signed.groupBy("copy").agg(F.min(F.struct("doc_id", "sig", "bytes")).alias("x"), F.count("*").alias("n")), "texts")
+    reps = folded.select("copy", F.col("x.doc_id").alias("rep"), "x.sig", "x.bytes")
+    again = folded.where("n > 1").select("copy", F.col("x.doc_id").alias("rep"), "n")
+    copies = lookup(signed.select("doc_id", "copy"), again, "copy", signed.count()).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    repeats = not signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    placed = buckets(reps)
+    near = neighbourhoods(placed, reps, low)
+    links, cut = neighbour_links(near, reps, docs, idf, similarity, repeats)
     joined = components(links.unionByName(copies))
-    if not later.isEmpty():
-        left = materialise(unjoined_pairs(reps, later, joined).join(pairs, ["a", "b"], "left_anti"), "unjoined")
+    if not cut.isEmpty():
+        left = materialise(unjoined_pairs(placed, cut, joined, low), "unjoined")
         most = 4
         while not left.isEmpty():
             at_once = Window.partitionBy("a", "b_class").orderBy(F.desc("share"), "b")
             left = materialise(between_classes(left, joined).withColumn("k", F.row_number().over(at_once)), "ranked")
-            links = links.unionByName(linked(left.where(F.col("k") <= most).select("a", "b")))
+            pairs = left.where(F.col("k") <= most).select("a", "b")
+            involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "involved")
+            texts = only_ids(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), involved, "rep")
+            links = links.unionByName(materialise(verified(pairs, texts, idf, similarity).select("a", "b").distinct(), "verified"))
             joined = components(links.unionByName(copies))
             left = materialise(between_classes(left.where(F.col("k") > most), joined).select("a", "b", "share"), "unjoined")
             most *= 8

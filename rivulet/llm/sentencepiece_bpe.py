@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rivulet.llm.words import in_slices
+
 SPACE = "▁"
 NO_PAIR = np.int64(1) << 60
 #: Words that a task remembers before it starts afresh, and how long they may be for that.
-REMEMBERED, LONG = 250_000, 64
+REMEMBERED, LONG = 120_000, 64
 
 
 class BpeModel:
@@ -34,6 +36,9 @@ class BpeModel:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        probe = " \u00e9 e\u0301  \uff21\ufb01\u2460 x\ty "
+        if self.library.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError("only models that leave texts as they are, save for the space marks, are supported")
         size = self.library.vocab_size()
         kinds = [(self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i) or self.library.is_unused(i)) for i in range(size)]
         self.pieces = {self.library.id_to_piece(i): i for i in range(size) if not kinds[i]}
@@ -157,11 +162,21 @@ class BpeModel:
         return np.array(out_s, dtype=np.int64), np.array(out_w, dtype=np.int64)
 
 
+_models: dict[str, BpeModel] = {}
+
+
+def worker_model(path: str) -> BpeModel:
+    """This Python worker's model; building it takes a while, and workers outlive tasks."""
+    if path not in _models:
+        _models[path] = BpeModel(path)
+    return _models[path]
+
+
 class Encoder:
     """Encodes whole texts; remembers a bounded number of short words."""
 
     def __init__(self, path: str):
-        self.model, self.seen = BpeModel(path), {}
+        self.model, self.seen = worker_model(path), {}
 
     def words(self, text: str) -> list[str]:
         """The text, space marks put in, cut where no merge can cross."""
@@ -184,6 +199,10 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.tolist() for x in self.arrays(texts)]
+
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text as 32-bit numbers."""
         seen = self.seen
         if len(seen) > REMEMBERED:
             seen.clear()
@@ -194,7 +213,7 @@ class Encoder:
             part = new[i : i + 20_000]
             for w, ids in zip(part, self.model.encode_words(part), strict=True):
                 (seen if len(w) <= LONG else long)[w] = ids.astype(np.int32).tobytes()  # far smaller than a list
-        return [np.frombuffer(b"".join([seen[w] if w in seen else long[w] for w in words]), dtype=np.int32).tolist() for words in split]
+        return [np.frombuffer(b"".join([seen[w] if w in seen else long[w] for w in words]), dtype=np.int32) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.library.decode(ids)
@@ -205,7 +224,8 @@ def encode(docs: DataFrame, model: str, ids: str = "ids", decoded: str | None =
 
     ``model`` is the path of a BPE model file with byte pieces that every executor has.
     No begin or end ids are added. A null text counts as empty and gives no
-    ids. Other columns stay, save those with the names of new ones;
+    ids. Very long texts are encoded whole; words longer than LONG are not remembered.
+    Equal ranks are settled from the left. Other columns stay, save those with the names of new ones;
     repeated rows are encoded alike; an empty table gives an empty result.
     """
     new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
@@ -216,17 +236,16 @@ def encode(docs: DataFrame, model: str, ids: str = "ids", decoded: str | None =
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for whole in batches:
+        for batch in batches:
             encoder = encoder or Encoder(model)
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                found = encoder.encode([t or "" for t in batch.column(keep.index(text)).to_pylist()])
-                columns = [pa.array(found, pa.list_(pa.int32()))]
-                if decoded:
-                    columns.append(pa.array([encoder.decode(x) for x in found], pa.string()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(keep.index(c)) for c in out], *columns], names=[f.name for f in schema])
+            found = encoder.arrays([t or "" for t in batch.column(keep.index(text)).to_pylist()])
+            ends = pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32())
+            columns = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))]
+            if decoded:
+                columns.append(pa.array([encoder.decode(x.tolist()) for x in found], pa.string()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(keep.index(c)) for c in out], *columns], names=[f.name for f in schema])
 
-    return rows.mapInArrow(encoded, schema)
+    return rows.mapInArrow(in_slices(encoded, 512), schema)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -243,7 +262,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", decoded: str = "decode
             found = [library.decode(x or []) for x in batch.column(keep.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*keep, decoded])
 
-    return rows.mapInArrow(texts, schema)
+    return rows.mapInArrow(in_slices(texts, 512), schema)
 
 
 def sha256_hex(text: str) -> str:

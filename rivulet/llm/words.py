@@ -2,11 +2,46 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+#: Rows that a Python worker turns into Python values at once.
+ROWS_AT_ONCE = 256
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_slices(function: Callable[[Batches], Batches], rows: int = ROWS_AT_ONCE) -> Callable[[Batches], Batches]:
+    """The same function over small slices of the batches.
+
+    A batch can hold ten thousand whole texts; as Python values they would take
+    several times its size. At the end of a task its memory goes back to the
+    system, because the worker lives on and serves other tasks.
+    """
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from function(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Returns what Python and Arrow have freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -15,16 +50,21 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hash of a word given as bytes; remembers a bounded number of words."""
+    """64-bit hash of a word given as bytes; remembers a bounded number of short words."""
 
-    LIMIT = 400_000
+    LIMIT, LONG = 120_000, 64
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
+        value = self.hash(word)
+        if len(word) <= self.LONG:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
+    def hash(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
+
     def of(self, text: bytes) -> np.ndarray:
         """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, in order."""
         # bytes.split() cuts at exactly the six ASCII white space characters

@@ -12,27 +12,37 @@ from pyspark.sql import functions as F
 _ORDERED_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz", "decimal")
 
 
+def _bounds(df: DataFrame, key: Column, n: int) -> list:
+    """At most n - 1 values of ``key`` that cut the rows into ranges of about one size, from a few thousand rows."""
+    rows = df.select(key.alias("k")).where("k IS NOT NULL").orderBy(F.rand(7)).limit(4096).collect()
+    found = sorted(r["k"] for r in rows)
+    return sorted({found[i * len(found) // n] for i in range(1, n)}) if found else []
+
+
 def with_ordinal(df: DataFrame, *order: str, out: str = "_ord", ranges: int | None = None) -> DataFrame:
     """Adds each row's 1-based position in the given order, which must be unique.
 
-    The first column's approximate quantiles cut the rows into ranges; rows are
-    numbered within their range and shifted by the sizes of the ranges before.
-    No task sees more than one range. Rows whose first column is null come
-    first. A first column without quantiles (a string) is numbered in one task and
-    is meant for small tables.
+    Approximate quantiles of the first column (for strings: of a sample of 4,096
+    rows) cut the rows into ranges; rows are numbered within their range and
+    shifted by the sizes of the ranges before. No task sees more than one range,
+    and only rows with the same first value share one whatever their number. Rows
+    whose first column is null come first. A first column of another type is
+    numbered in one task and is meant for small tables.
     """
     kind = dict(df.dtypes)[order[0]].split("(")[0]
-    if kind not in _ORDERED_TYPES:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(order[0])
-    if kind.startswith("timestamp") or kind == "date":
-        key = F.unix_micros(key.cast("timestamp"))
-    bounds = df.select(key.cast("double").alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 1000)).first()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []))
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key.cast("double")))
+    key = F.col(f"`{order[0]}`")
+    if kind == "string":
+        bounds = _bounds(df, key, n) if n > 1 else []
+    elif kind in _ORDERED_TYPES:
+        if kind.startswith("timestamp") or kind == "date":
+            key = F.unix_micros(key.cast("timestamp"))
+        key = key.cast("double")
+        bounds = df.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 1000)).first()[0] if n > 1 else []
+        bounds = sorted(set(bounds or []))
+    else:
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
     cut = df.withColumn("_range", F.when(key.isNull(), F.lit(-1)).otherwise(part))
     sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
@@ -57,7 +67,7 @@ def cross(left: DataFrame, right: DataFrame, left_order: str, right_order: str,
     """All combinations, numbered with the first input varying slowest (or fastest).
 
     A Cartesian product is what the operator means; its inputs are the values to
-    branch over, not data.
+    branch over, not data. Its size is the number of branches asked for.
     """
     a, b = with_ordinal(left, left_order, out="_i"), with_ordinal(right, right_order, out="_j")
     n = (right if first_slowest else left).count()

@@ -2,7 +2,8 @@
 
 Closures go level by level: each round joins the newest frontier with the edges
 and keeps what was not reached before, so diamonds do not multiply paths and
-cycles end. Rounds are materialised in the shared folder when one is set.
+cycles end. Each round is written once to the shared folder. A round limit that
+is reached with work left is an error, never a part of the answer.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.sources.scratch import materialise
+
 
 def edges_of(pairs: list[tuple[DataFrame, Column, Column]]) -> DataFrame:
     """One table of edges from (table, source name, target name) triples; null ends are left out."""
@@ -21,8 +24,11 @@ def edges_of(pairs: list[tuple[DataFrame, Column, Column]]) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage durably where the session has a shared folder, else only keep the rows at hand."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    return materialise(df, "graph")
+
+
+def _ids(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
 def closure(edges: DataFrame, start: DataFrame, max_order: int | None = None, direction: str = "out") -> DataFrame:
@@ -51,41 +57,76 @@ def levels(edges: DataFrame, max_levels: int | None = None) -> DataFrame:
     Raises ValueError where a cycle keeps nodes from being peeled, and
     RuntimeError where nodes are left after ``max_levels``.
     """
-    nodes = _kept(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
-    left_edges, done, level = _kept(edges), None, 0
-    while max_levels is None or level < max_levels:
-        free = _kept(nodes.join(left_edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level).cast("bigint")))
-        if free.isEmpty():
-            if not nodes.isEmpty():
-                raise ValueError("the graph has a cycle")
-            break
-        done = free if done is None else done.unionByName(free)
-        nodes = _kept(nodes.join(free, "id", "left_anti"))
-        left_edges = _kept(left_edges.join(free, left_edges["src"] == free["id"], "left_anti"))
-        level += 1
-    else:
-        if not nodes.isEmpty():
+    left = _kept(edges.select("src", "dst").distinct())
+    free = _kept(roots(left))
+    done, level = None, 0
+    while not free.isEmpty():
+        if level == max_levels:
             raise RuntimeError(f"no end after {max_levels} levels")
-    return done
+        found = free.withColumn("level", F.lit(level).cast("bigint"))
+        done = found if done is None else done.unionByName(found)
+        peeled = left.join(free.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        left = _kept(left.join(free.withColumnRenamed("id", "src"), "src", "left_anti"))
+        free = _kept(peeled.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
+        level += 1
+    if not left.isEmpty():
+        raise ValueError("the graph has a cycle")
+    return done if done is not None else free.withColumn("level", F.lit(0).cast("bigint"))
 
 
-def cyclic(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(id): nodes on a cycle or between cycles, what is left after peeling from both ends.
+def _trimmed(edges: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, int]:
+    """Edges from a node with parents to a node with children, again and again, and their number."""
+    rest, done = _kept(edges), 0
+    n = rest.count()
+    while n:
+        if done == max_rounds:
+            raise RuntimeError(f"no end after {max_rounds} rounds")
+        done += 1
+        rest = _kept(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        n, before = rest.count(), n
+        if n == before:
+            break
+    return rest, n
+
 
-    Raises RuntimeError where there is more to peel after ``max_rounds``.
+def strong_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(id, component): nodes on cycles and the largest node of their strong component.
+
+    Each round hands every node the largest node that reaches it; where a node
+    got itself, those it reaches backwards with the same label are its component.
+    Components are taken out and the rest is gone over again. Raises RuntimeError
+    where nodes are left after ``max_rounds`` rounds of that or of trimming loose ends.
     """
-    rest = _kept(edges)
-    n, done = rest.count(), 0
-    while True:
+    own_loops = _kept(edges.where("src = dst").select(F.col("src").alias("id")).distinct())
+    rest, n = _trimmed(edges.where("src <> dst").select("src", "dst").distinct(), max_rounds)
+    out, done = own_loops.withColumn("component", F.col("id")), 0
+    while n:
         if done == max_rounds:
             raise RuntimeError(f"no end after {max_rounds} rounds")
         done += 1
-        rest = _kept(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-        m = rest.count()
-        if m == n:
-            break
-        n = m
-    return rest.select(F.col("src").alias("id")).distinct()
+        label = _kept(_ids(rest).withColumn("label", F.col("id")))
+        changed = label
+        while not changed.isEmpty():  # only nodes with a new label pass it on
+            offered = rest.join(changed, rest["src"] == changed["id"]).groupBy("dst").agg(F.max("label").alias("offer"))
+            better = label.join(offered, label["id"] == offered["dst"]).where("offer > label")
+            changed = _kept(better.select("id", F.col("offer").alias("label")))
+            label = _kept(label.join(changed.withColumnRenamed("label", "new"), "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+        of = [label.select(F.col("id").alias(e), F.col("label").alias(f"{e}_label")) for e in ("src", "dst")]
+        within = _kept(rest.join(of[0], "src").join(of[1], "dst").where("src_label = dst_label").select("src", "dst"))
+        found = closure(within, label.where("id = label"), direction="in").select("id").join(label, "id")
+        found = _kept(found.select("id", F.col("label").alias("component")))
+        sizes = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+        out = out.join(found.select("id"), "id", "left_anti").unionByName(found.join(sizes, "component", "left_semi").select("id", "component")).unionByName(
+            own_loops.join(found.join(sizes, "component", "left_anti"), "id", "left_semi").withColumn("component", F.col("id"))
+        )
+        gone = found.select("id")
+        rest, n = _trimmed(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), max_rounds)
+    return out
+
+
+def cyclic(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(id): the nodes that lie on a cycle."""
+    return strong_components(edges, max_rounds).select("id").distinct()
 
 
 def indegree(edges: DataFrame) -> DataFrame:
@@ -104,15 +145,23 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def elide(edges: DataFrame, gone: Column) -> DataFrame:
-    """Edges without the vertices for which ``gone`` (over ``id``) holds; paths through one such vertex stay as edges."""
-    marked = edges.select("src", "dst", F.expr("true").alias("x"))
-    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    lost = ids.where(gone)
-    into = marked.join(lost.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("v"))
-    out = marked.join(lost.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("v"), F.col("dst").alias("b"))
-    bridged = into.join(out, "v").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    rest = edges.join(lost.select(F.col("id").alias("src")), "src", "left_anti").join(lost.select(F.col("id").alias("dst")), "dst", "left_anti")
-    return rest.select("src", "dst").unionByName(bridged).distinct()
+    """Edges without the vertices for which ``gone`` (over ``id``) holds.
+
+    A path that leads from a vertex to another through such vertices only,
+    however many, stays as one edge.
+    """
+    lost = _kept(_ids(edges).where(gone))
+    marked = edges.select("src", "dst").join(lost.select(F.col("id").alias("src"), F.lit(True).alias("from_lost")), "src", "left")
+    marked = _kept(marked.join(lost.select(F.col("id").alias("dst"), F.lit(True).alias("to_lost")), "dst", "left").select("src", "dst", F.coalesce("from_lost", F.lit(False)).alias("from_lost"), F.coalesce("to_lost", F.lit(False)).alias("to_lost")))
+    inner = marked.where("from_lost AND to_lost").select(F.col("src").alias("v"), F.col("dst").alias("w"))
+    frontier = _kept(marked.where("NOT from_lost AND to_lost").select(F.col("src").alias("a"), F.col("dst").alias("v")).distinct())
+    reached = frontier
+    while not inner.isEmpty() and not frontier.isEmpty():
+        frontier = _kept(frontier.join(inner, "v").select("a", F.col("w").alias("v")).distinct().join(reached, ["a", "v"], "left_anti"))
+        reached = reached.unionByName(frontier)
+    out = marked.where("from_lost AND NOT to_lost").select(F.col("src").alias("v"), F.col("dst").alias("b"))
+    bridged = reached.join(out, "v").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return marked.where("NOT from_lost AND NOT to_lost").select("src", "dst").unionByName(bridged).distinct()
 
 
 def composed(edges: DataFrame, through: Column) -> DataFrame:
@@ -151,3 +200,28 @@ def longest_path(edges: DataFrame, times: DataFrame, max_levels: int | None = No
         ready = edges.join(done, edges["src"] == done["id"]).groupBy("dst").agg(F.max("finish").alias("start"))
         done = _kept(done.unionByName(timed.where(F.col("level") == k).join(ready, F.col("id") == F.col("dst")).select("id", (F.col("time") + F.col("start")).alias("finish"))))
     return done
+
+
+def level_schedule(edges: DataFrame, times: DataFrame, workers: int, digits: int = 3) -> DataFrame:
+    """(target, worker, start, end) on so many workers, one level of the graph after the other.
+
+    ``times`` is (id, time) in whole units; nodes without a time take none. Within
+    a level, the targets in the order of their md5 are cut into stretches of about
+    equal time, one for each worker; a level starts when the one before has
+    ended. Running sums go over the first ``digits`` of the md5 and then within
+    them, so neither a level nor the graph is ever in one task.
+    """
+    nodes = _ids(edges).join(levels(edges), "id", "left").join(times, "id", "full")
+    rows = _kept(nodes.select("id", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce(F.col("time"), F.lit(0)).cast("bigint").alias("time"), F.md5("id").alias("h")).withColumn("bucket", F.substring("h", 1, digits)))
+    zero = F.lit(0).cast("bigint")
+    sums = rows.groupBy("level", "bucket").agg(F.sum("time").alias("s"))
+    at = Window.partitionBy("level").orderBy("bucket")
+    sums = sums.select("level", "bucket", F.coalesce(F.sum("s").over(at.rowsBetween(Window.unboundedPreceding, -1)), zero).alias("before"), F.sum("s").over(Window.partitionBy("level")).alias("total"))
+    within = Window.partitionBy("level", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.withColumn("inside", F.coalesce(F.sum("time").over(within), zero)).join(sums, ["level", "bucket"]).withColumn("cum", F.col("before") + F.col("inside"))
+    cut = _kept(cut.select("id", "level", "time", "cum", F.when(F.col("total") == 0, 1).otherwise(F.least(F.lit(workers), F.expr(f"cum * {int(workers)} DIV total") + 1)).cast("int").alias("worker")))
+    shares = cut.groupBy("level", "worker").agg(F.min("cum").alias("first"), F.sum("time").alias("busy"))
+    length = shares.groupBy("level").agg(F.max("busy").alias("length"))  # one row a level
+    began = length.select("level", F.coalesce(F.sum("length").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("began"))
+    start = (F.col("began") + F.col("cum") - F.col("first")).cast("bigint")
+    return cut.join(shares.join(began, "level"), ["level", "worker"]).select(F.col("id").alias("target"), "worker", start.alias("start"), (start + F.col("time")).alias("end"))

@@ -18,7 +18,11 @@ def map_grid(grid: DataFrame, call: str, args: list[str]) -> DataFrame:
 
 
 def cross_columns(grid: DataFrame, columns: list[str]) -> DataFrame:
-    """All combinations of the distinct values of each column, nulls left out."""
+    """All combinations of the distinct values of each column, nulls left out.
+
+    The product is what the operator means: a row for each target of a plan, so
+    as large as the plan, never as the data.
+    """
     return reduce(lambda a, b: a.crossJoin(b), [grid.select(c).dropna().distinct() for c in columns])
 
 
@@ -37,10 +41,13 @@ def combine_tagalong(df: DataFrame, by: list[str], columns: list[str]) -> DataFr
 
 
 def trace_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left outer join with one row of ``right`` for each complete key; no rows of ``left`` are added or lost."""
+    """Left outer join with one row of ``right`` for each complete key; no rows of ``left`` are added or lost.
+
+    Of several rows with a key the least one, compared column by column, stays whole.
+    """
     others = [c for c in right.columns if c not in keys]
-    once = right.dropna(subset=keys).groupBy(*keys).agg(*[F.min(c).alias(c) for c in others])
-    return left.join(once, keys, "left")
+    once = right.dropna(subset=keys).groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row"))
+    return left.join(once.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in others]), keys, "left")
 
 
 def evaluate_wildcard(plan: DataFrame, wildcard: str, values: DataFrame) -> DataFrame:

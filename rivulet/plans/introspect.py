@@ -78,10 +78,13 @@ def graph_info(engine: Engine, start: set[str] | None = None, order: int | None
     return nodes, spark.createDataFrame(edges, "`from` string, `to` string")
 
 
+#: The colour-blind-safe palette of M. Okabe and K. Ito, "Color Universal Design" (2008).
+SKY, BLUE, GREEN, YELLOW, ORANGE, VERMILLION, PURPLE = "#56B4E9", "#0072B2", "#009E73", "#F0E442", "#E69F00", "#D55E00", "#CC79A7"
+
+
 def legend() -> list[tuple[str, str]]:
-    """(status, colour) of the drawings."""
-    colours = ("#1874cd", "#228b22", "#888888", "#000000", "#ff7221", "#ece411", "#aa0000")
-    return list(zip(STATUSES, colours, strict=True))
+    """(status, colour) of the drawings: calm colours for what is settled, warm ones for what needs work."""
+    return list(zip(STATUSES, (SKY, GREEN, PURPLE, ORANGE, BLUE, YELLOW, VERMILLION), strict=True))
 
 
 def to_dot(nodes: DataFrame, edges: DataFrame) -> str:

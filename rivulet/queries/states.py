@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from rivulet.operators import states as s
 from rivulet.queries import query
 
-OLD = """old AS (SELECT doc_id, md5(source) AS command, md5(lang) AS depend, md5(substr(text, 1, 200)) AS file_in, 'parquet' AS format, CAST(n_chars AS BIGINT) AS seed, CAST(10 AS BIGINT) AS max_expand FROM documents)"""
+OLD = """old AS (SELECT doc_id, md5(source) AS command, md5(lang) AS depend, md5(text) AS file_in, 'parquet' AS format, CAST(n_chars AS BIGINT) AS seed, CAST(10 AS BIGINT) AS max_expand FROM documents)"""
 NEW = """new AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN md5(source || '!') ELSE md5(source) END AS command, CASE WHEN doc_id % 19 = 0 THEN md5('x' || lang) ELSE md5(lang) END AS depend,
- CASE WHEN doc_id % 23 = 0 THEN NULL ELSE md5(substr(text, 1, 200)) END AS file_in, CASE WHEN doc_id % 29 = 0 THEN 'orc' WHEN doc_id % 31 = 0 THEN NULL ELSE 'parquet' END AS format,
+ CASE WHEN doc_id % 23 = 0 THEN NULL ELSE md5(text) END AS file_in, CASE WHEN doc_id % 29 = 0 THEN 'orc' WHEN doc_id % 31 = 0 THEN NULL ELSE 'parquet' END AS format,
  CAST(n_chars + CASE WHEN doc_id % 37 = 0 THEN 1 ELSE 0 END AS BIGINT) AS seed, CAST(CASE WHEN doc_id % 41 = 0 THEN 20 ELSE 10 END AS BIGINT) AS max_expand FROM documents WHERE doc_id % 43 <> 0)"""
 BOTH = f"WITH {OLD}, {NEW}, m AS (SELECT n.doc_id, " + ", ".join(f"o.{c} AS old_{c}, n.{c} AS new_{c}" for c in ("command", "depend", "file_in", "format", "seed", "max_expand")) + " FROM new n JOIN old o ON o.doc_id = n.doc_id)"
 FIELDS = ["command", "depend", "file_in", "format", "seed", "max_expand"]
 
 
-def sides(t, text="text"):
-    """Both states; the file fingerprint is that of ``text``."""
+def sides(t):
+    """Both states; the file fingerprint is that of the whole text."""
     d = t.documents
-    file_in = F.md5(text)
+    file_in = F.md5("text")
     at = lambda k: F.col("doc_id") % k == 0
     old = d.select("doc_id", F.md5("source").alias("command"), F.md5("lang").alias("depend"), file_in.alias("file_in"), F.lit("parquet").alias("format"), F.col("n_chars").cast("bigint").alias("seed"), F.lit(10).cast("bigint").alias("max_expand"))
     new = d.where("doc_id % 43 <> 0").select(
@@ -89,8 +89,7 @@ def trigger_modes(t):
 
 @query("deps_profile", f"{BOTH} " + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS name, old_{c} IS DISTINCT FROM new_{c} AS changed, old_{c} AS old, new_{c} AS new FROM m" for c in ("command", "depend", "file_in", "format")))
 def deps_profile(t):
-    """Returns the fingerprints, which in the SQL are those of 200 characters."""
-    old, new = sides(t, F.substring("text", 1, 200))
+    old, new = sides(t)
     return s.dependency_profile(old, new, "doc_id", ["command", "depend", "file_in", "format"]).select("doc_id", "name", "changed", "old", "new")
 
 

@@ -85,3 +85,47 @@ def test_plan_algebra(spark):
     values = spark.createDataFrame([("1",), ("2",)], "value string")
     assert {(r["target"], r["command"]) for r in planalgebra.evaluate_wildcard(plan, "x__", values).collect()} == {("a_1", "f(1)"), ("a_2", "f(2)"), ("b", "g()")}
     assert planalgebra.slice_columns(plan, 5, 4).columns == []
+
+
+def test_elide_through_several_vertices(spark):
+    e = spark.createDataFrame([("a", "v1"), ("v1", "v2"), ("v2", "b"), ("v2", "v1"), ("v1", "c"), ("x", "y"), ("v9", "y")], "src string, dst string")
+    assert {(r["src"], r["dst"]) for r in dag.elide(e, F.col("id").startswith("v")).collect()} == {("a", "b"), ("a", "c"), ("x", "y")}
+    assert dag.elide(e.limit(0), F.col("id") == "a").count() == 0
+
+
+def test_cycles_are_strong_components(spark):
+    """Nodes between two cycles lie on none."""
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "m"), ("m", "n"), ("n", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "end"), ("s", "s"), ("s", "a"), ("y", "y")], "src string, dst string")
+    got = {r["id"]: r["component"] for r in dag.strong_components(e).collect()}
+    assert got == {"a": "b", "b": "b", "x": "z", "y": "z", "z": "z", "s": "s"}
+    assert {r["id"] for r in dag.cyclic(e).collect()} == set(got)
+    assert dag.cyclic(e.limit(0)).count() == 0
+
+
+def test_strong_components_of_random_graphs(spark):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        pairs = {(r.randrange(25), r.randrange(25)) for _ in range(45)}
+        reach = {i: {j for i2, j in pairs if i2 == i} for i in range(25)}
+        for k in range(25):
+            for i in range(25):
+                if k in reach[i]:
+                    reach[i] |= reach[k]
+        want = {i: max(j for j in range(25) if j in reach[i] and i in reach[j]) for i in range(25) if i in reach[i]}
+        got = dag.strong_components(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()
+        assert sorted((x["id"], x["component"]) for x in got) == sorted(want.items())
+
+
+def test_trace_join_keeps_rows_whole(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.createDataFrame([(1, "b", "y"), (1, "a", "z"), (None, "q", "q")], "k int, u string, v string")
+    assert {(r["k"], r["u"], r["v"]) for r in planalgebra.trace_join(left, right, ["k"]).collect()} == {(1, "a", "z"), (2, None, None)}
+
+
+def test_ordinals_of_strings(spark):
+    df = spark.range(2000).selectExpr("concat('k', pmod(id * 7919, 2000)) AS x", "id")
+    got = b.with_ordinal(df, "x", "id", ranges=5).collect()
+    assert [r["x"] for r in sorted(got, key=lambda r: r["_ord"])] == sorted(r["x"] for r in got)
+    assert [r["_ord"] for r in b.with_ordinal(spark.createDataFrame([("é",), (None,), ("z",), ("😀",)], "x string"), "x").orderBy("_ord").collect()] == [1, 2, 3, 4]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm.classifier import score
-from rivulet.llm.common import materialise, table, without_ids
+from rivulet.llm.common import materialise, only_ids, table, without_ids
 from rivulet.llm.minhash import near_duplicate_classes
 from rivulet.llm.mixing import mix_sources
 from rivulet.llm.quality_rules import quality_rules
@@ -21,41 +21,83 @@ from rivulet.llm.query_tokens import digests
 from rivulet.llm.sentencepiece_bpe import encode
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with columns beyond doc_id, text and source under names of our own, and how to name them back.
+
+    Operators add columns; whatever a table calls its own, none of them meets one.
+    """
+    used = ("doc_id", "text", "source")
+    names = {c: c if c in used else f"_column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at the threshold or above."""
+    """Documents that the classifier scores at the threshold or above.
+
+    Every row is scored by its whole text, however long. Null and empty texts get
+    the score of an empty text; equal texts stay or go together. doc_id decides
+    nothing but which rows are learned from, so null and repeated ones are
+    judged like others. All columns are returned, whatever their names; an
+    empty table gives an empty one.
+    """
+    rows, back = _plain(docs)
     weights = trained(docs, table(spark, sf_dir, "labels"))
-    return score(docs, weights).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    return score(rows, weights).where(F.col("score") >= THRESHOLD).select(*back)
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass all quality rules."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that pass all quality rules.
+
+    Null, empty and blank texts have too few words and go. Very long texts are
+    judged whole; equal rows stay or go together; doc_id plays no part. All
+    columns are returned, whatever their names; an empty table gives an empty one.
+    """
+    rows, back = _plain(docs)
+    return quality_rules(rows).where("kept").select(*back)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest doc_id.
 
-    Of rows that share a doc_id one stays, the one with the smallest text.
+    Of rows that share a doc_id one stays, the one with the smallest text (null
+    first; then by the other columns). Rows with a null doc_id and texts
+    without words are near to nothing and stay. Texts are compared whole,
+    however long. All columns are returned, whatever their names; an empty
+    table gives an empty one.
     """
-    classes = near_duplicate_classes(docs.select("doc_id", "text"))
+    rows, back = _plain(docs)
+    classes = near_duplicate_classes(rows.select("doc_id", "text"))
     others = materialise(classes.where("doc_id <> class_id").select("doc_id").distinct(), "others")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    kept = without_ids(docs, others, "doc_id")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    once = once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    repeated = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    kept = without_ids(rows, others, "doc_id")
+    if not repeated.isEmpty():
+        more = [c for c in rows.columns if c not in ("doc_id", "text")]
+        once = only_ids(kept, repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", *more)).alias("row"))
+        once = once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in rows.columns])
+        kept = without_ids(kept, repeated, "doc_id").unionByName(once)
+    return kept.select(*back)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a document that it takes twice is there twice."""
-    taken = mix_sources(docs).where("copies > 0")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    """The mixture: a document that it takes twice is there twice.
+
+    Null sources are one source. Texts without words are never taken; very long
+    ones are taken whole or not at all. Rows equal in doc_id and text are taken alike, a null doc_id
+    like any other. All columns are returned, whatever their names; an empty
+    table gives an empty one.
+    """
+    rows, back = _plain(docs)
+    taken = mix_sources(rows).where("copies > 0")
+    return taken.select("*", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*back)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id with its ids and digests of the ids and of the text decoded from them."""
+    """doc_id with its ids and digests of the ids and of the text decoded from them.
+
+    One row for each row, null and repeated doc_ids included. A null or empty
+    text has no ids. Very long texts are encoded whole. Further columns, whatever
+    their names, are left out; an empty table gives an empty one.
+    """
     found = encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded", drop_text=True)
     return digests(found, "ids")
 

@@ -115,26 +115,27 @@ def fit(labelled: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int
     return np.average([np.frombuffer(m["w"], dtype=np.float32) for m in models], axis=0, weights=[m["n"] for m in models]).astype(np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``score`` between 0 and 1.
+def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
+    """Every row of ``docs`` with ``out``, a score between 0 and 1.
 
     The score depends on the text alone: null and empty texts have no words and
-    get the score of the slot that is always on. Other columns stay as they are,
-    save one named ``score``; repeated rows score alike.
+    get the score of the slot that is always on. Very long texts count whole.
+    Other columns stay as they are, save one named like ``out``; repeated rows
+    score alike; an empty table gives an empty result.
     """
     bits = (len(weights) - 1).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    keep = [c for c in docs.columns if c != "score"]
-    schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField("score", T.DoubleType())])
+    keep = [c for c in docs.columns if c != out]
+    schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema.fields, T.StructField(out, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, shapes, w = WordHashes(), WordShapes(), sent.value
         for batch in batches:
-            out = np.empty(batch.num_rows)
+            scores = np.empty(batch.num_rows)
             for i, t in enumerate(texts_of(batch.column(keep.index(text)))):
                 at, x = features(t, words, shapes, bits)
-                out[i] = 1.0 / (1.0 + np.exp(-np.clip(w[at].astype(np.float64) @ x, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*keep, "score"])
+                scores[i] = 1.0 / (1.0 + np.exp(-np.clip(w[at].astype(np.float64) @ x, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*keep, out])
 
     return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(in_slices(scored), schema)
 

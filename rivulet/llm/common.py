@@ -2,64 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.sources.scratch import materialise, release, scratch_path, shared_dir
+
+__all__ = ["materialise", "release", "scratch_path", "shared_dir", "table", "lookup", "only_ids", "without_ids"]
+
 #: What separates words everywhere in this subpackage: the ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 NOT_SPACE_CLASS = r"[^\x20\x09-\x0D]"
 
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session may lack the setting; it gets a folder in the
-    machine's temporary folder. On a cluster a missing setting is an error,
-    because executors would not see each other's files.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-        sc.setCheckpointDir(found)
-    return str(found)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/rivulet-{uuid.uuid4().hex}/{name}"
-    _written.append(path)
-    return path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    This cuts the lineage durably: a lost executor costs only the re-reading of
-    the table, and later stages never recompute what came before.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this session, once its results are written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = hadoop.Path(_written.pop().rpartition("/")[0])
-        path.getFileSystem(conf).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -89,7 +42,7 @@ def _slot(key: str) -> Column:
 
 
 def _slots(ids: DataFrame, key: str) -> DataFrame:
-    return F.broadcast(ids.select(_slot(key).alias("_slot")).distinct())
+    return F.broadcast(ids.select(_slot(key).alias("_rivulet_slot")).distinct())
 
 
 def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -99,12 +52,13 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     not shuffled only to be dropped. With far more ids than slots nearly all
     rows pass the slots, and the join alone decides.
     """
-    near = rows.withColumn("_slot", _slot(key)).join(_slots(ids, key), "_slot", "left_semi").drop("_slot")
+    near = rows.join(_slots(ids, key), _slot(key) == F.col("_rivulet_slot"), "left_semi")
     return near.join(ids, key, "left_semi")
 
 
 def without_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``ids``; rows whose slot holds no id are not shuffled."""
-    placed, slots = rows.withColumn("_slot", _slot(key)), _slots(ids, key)
-    near = placed.join(slots, "_slot", "left_semi").drop("_slot").join(ids, key, "left_anti")
-    return placed.join(slots, "_slot", "left_anti").drop("_slot").select(*rows.columns).unionByName(near.select(*rows.columns))
+    slots = _slots(ids, key)
+    at = _slot(key) == F.col("_rivulet_slot")
+    near = rows.join(slots, at, "left_semi").join(ids, key, "left_anti")
+    return rows.join(slots, at, "left_anti").unionByName(near.select(*[f"`{c}`" for c in rows.columns]))

@@ -2,9 +2,9 @@
 
 Each rule says when a document is rejected. On a small sample the operator
 measures what each rule costs and how many documents it rejects, sorts the
-rules by rejections per cost, and evaluates them as one ``CASE`` expression,
-which stops at the first rule that fires. The order changes the running time
-and which rule is reported, never which documents are kept.
+rules by rejections per cost, and evaluates them as one chain of ``OR``,
+which stops at the first rule that fires. The order changes the running time,
+never the result.
 """
 
 from __future__ import annotations
@@ -113,12 +113,15 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     ``features`` names what to return besides; such columns are then computed
     once for every document and the rules read them. Other features are
     evaluated only when the cascade reaches a rule that needs them.
-    Null and empty texts have no words, so ``few_words`` rejects them. Columns
+    ``failed_rule`` is the first of ``rules``, as given, that rejects the document, whatever the
+    order of evaluation was, so reruns agree; only rejected documents pay for that.
+    Null and empty texts have no words, so ``few_words`` rejects them. Very long
+    texts are judged whole. Columns
     of ``docs`` are returned as they are, save those with the names of new ones.
     Duplicate rows are judged alike; an empty table gives an empty result.
     """
     ordered = [r for r, _, _ in order_rules(docs, rules, sample_rows)]
-    new = {*features, "failed_rule", "kept", "_words"}
+    new = {*features, "failed_rule", "kept", "_words", "_rejected"}
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     # explode() of one element is a barrier: a later filter on the verdict would otherwise
     # be moved below the words, which would then be split again for each use
@@ -126,6 +129,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     if features:
         out = out.select(*keep, "_words", *[F.expr(FEATURES[n]).alias(n) for n in features])
 
-    cascade = "CASE " + " ".join(f"WHEN {_inlined(r.rejects, features)} THEN '{r.name}'" for r in ordered) + " END"
-    out = out.withColumn("failed_rule", F.expr(cascade))
-    return out.withColumn("kept", F.col("failed_rule").isNull()).drop("_words")
+    rejected = " OR ".join(f"({_inlined(r.rejects, features)})" for r in ordered)  # OR stops at the first that fires
+    first = " ".join(f"WHEN {_inlined(r.rejects, features)} THEN '{r.name}'" for r in rules)
+    out = out.withColumn("_rejected", F.expr(f"coalesce({rejected}, false)")) if ordered else out.withColumn("_rejected", F.lit(False))
+    out = out.withColumn("failed_rule", F.expr(f"CASE WHEN _rejected THEN CASE {first} END END") if ordered else F.lit(None).cast("string"))
+    return out.withColumn("kept", ~F.col("_rejected")).drop("_words", "_rejected")

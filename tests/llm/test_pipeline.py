@@ -69,3 +69,40 @@ def test_encoding_stage(stages):
     texts = {r["doc_id"]: r["text"] for r in stages[4][1]}
     assert len(stages[5][1]) == len(stages[4][1])
     assert all(r["ids"] == library.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in stages[5][1])
+
+
+CLASHING = ["score", "kept", "size", "copies", "target", "taken", "failed_rule", "source_size", "finish", "_h", "_n", "_of", "_words", "_slot", "class_id", "n", "col", "_row", "id", "rep"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated doc_ids, null and very long texts, and columns that operators name themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    some = docs.limit(3)
+    docs = docs.unionByName(some).unionByName(some.withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(some.withColumn("text", F.lit(None).cast("string")))
+    docs = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(800_000).cast("bigint"), "text": F.expr("concat_ws(' ', transform(sequence(1, 20000), i -> concat('word', i)))")}))
+    return materialise(docs.select("*", *[F.lit(f"my {c}").alias(c) for c in CLASHING]), "odd")
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_with_odd_rows_and_clashing_columns(spark, odd, k):
+    name, stage = p.STAGES[k]
+    got = stage(spark, odd, SF)
+    if k == 4:
+        assert got.count() == odd.count()
+        return
+    assert got.columns == odd.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"my {c}" for r in rows for c in CLASHING), name
+    whole = Counter((r["doc_id"], r["text"], r["source"]) for r in odd.collect())
+    assert {(r["doc_id"], r["text"], r["source"]) for r in rows} <= set(whole)
+    if k == 2:
+        ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+        assert len(ids) == len(set(ids)) and 800_000 in ids and sum(r["doc_id"] is None for r in rows) == 3
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_with_an_empty_table(spark, k):
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    got = p.STAGES[k][1](spark, empty, SF)
+    assert got.count() == 0 and (k == 4 or got.columns == empty.columns)

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.words import WordHashes, give_back, in_slices, mixed, ngrams, texts_of
+from rivulet.llm.common import map_batches
+from rivulet.llm.words import WordHashes, give_back, mixed, ngrams, texts_of
 
 BITS = 18
 SHARDS = 4
@@ -137,7 +138,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "
                 scores[i] = 1.0 / (1.0 + np.exp(-np.clip(w[at].astype(np.float64) @ x, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*keep, out])
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(in_slices(scored), schema)
+    return map_batches(docs.select(*[f"`{c}`" for c in keep]), scored, schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> F.Column:

@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.llm.words import ROWS_AT_ONCE, in_slices
 from rivulet.sources.scratch import materialise, release, scratch_path, shared_dir
 
-__all__ = ["materialise", "release", "scratch_path", "shared_dir", "table", "lookup", "only_ids", "without_ids"]
+__all__ = ["materialise", "release", "scratch_path", "shared_dir", "map_batches", "table", "lookup", "only_ids", "without_ids"]
 
 #: What separates words everywhere in this subpackage: the ASCII white space.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 NOT_SPACE_CLASS = r"[^\x20\x09-\x0D]"
 
+#: Whole texts go to Python and back in batches of so many rows or bytes at most; the
+#: defaults would hold up to 64 MB several times over in the executor and in Python.
+ARROW_ROWS, ARROW_BYTES = 2048, 4 << 20
+
+
+def map_batches(rows: DataFrame, function, schema, at_once: int | None = None) -> DataFrame:
+    """``function`` over Arrow batches of ``rows``, in slices of ``at_once`` rows.
+
+    Lowers the session's limits of a batch to ARROW_ROWS and ARROW_BYTES. They bound
+    only what is in memory at once; every row is passed on.
+    """
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return rows.mapInArrow(in_slices(function, at_once or ROWS_AT_ONCE), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -22,13 +40,15 @@ HOT = 1000
 
 
 def lookup(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``values``, joined by ``key``, without a hot task.
+    """``rows`` with the columns of ``values`` (a written table), joined by ``key``, without a hot task.
 
     ``values`` has one row for each key and, in ``n``, how many of the ``total`` rows
     hold it. Keys with more than total / HOT rows are fewer than HOT, so they
     are broadcast; no other key has more rows than that.
     """
     often = F.col("n") > total / HOT
+    if values.where(often).isEmpty():
+        return rows.join(values.drop("n"), key)
     hot, rest = F.broadcast(values.where(often).drop("n")), values.where(~often).drop("n")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 

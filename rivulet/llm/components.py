@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import lookup, materialise
-from rivulet.llm.words import in_slices
+from rivulet.llm.common import lookup, map_batches, materialise
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -52,13 +51,13 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u <> v")
-    edges = materialise(edges.mapInArrow(in_slices(_contracted, 1 << 15), "u long, v long").distinct(), "links")
+    edges = materialise(map_batches(edges, _contracted, "u long, v long", 1 << 15).distinct(), "links")
     before, n = None, edges.count()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
         large = materialise(lookup(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lower")
         both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         small = lookup(large, lower, "u", large.count()).select(F.explode(F.when(F.col("v") == F.col("m"), F.slice(both, 2, 1)).otherwise(both)).alias("e"))
         edges = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "links")

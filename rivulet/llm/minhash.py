@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import lookup, materialise, only_ids
+from rivulet.llm.common import lookup, map_batches, materialise, only_ids
 from rivulet.llm.components import components
-from rivulet.llm.words import WordHashes, give_back, in_slices, mixed, ngrams, texts_of
+from rivulet.llm.words import WordHashes, mixed, ngrams, texts_of
 
 BANDS, ROWS, SHINGLE = 15, 4, 5
 #: Slots of shingles; how much more the rarest shingle weighs than one of every document.
@@ -71,7 +71,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"at": pdf["at"].head(1), "counts": [sum(np.frombuffer(c, dtype="i4").astype(np.int64) for c in pdf["counts"]).tobytes()]})
 
-    partial = docs.select("text").mapInArrow(in_slices(counted), "at long, counts binary")
+    partial = map_batches(docs.select("text"), counted, "at long, counts binary")
     rows = partial.groupBy("at").applyInPandas(added, "at long, counts binary").collect()  # bounded by the slots
     df, n = np.zeros((1 << IDF_BITS) // _ROW * _ROW, dtype=np.int64).reshape(-1, _ROW), 0
     for r in rows:
@@ -170,7 +170,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 sigs.append(known[copy])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sigs, pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "copy", "sig", "bytes"])
 
-    return rows.mapInArrow(in_slices(signed), "doc_id long, copy string, sig binary, bytes long").where("sig IS NOT NULL")
+    return map_batches(rows, signed, "doc_id long, copy string, sig binary, bytes long").where("sig IS NOT NULL")
 
 
 def _equal_share(sigs: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
@@ -206,9 +206,9 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def buckets(reps: DataFrame) -> DataFrame:
     """(rep, key, size, least) for each text and each of its buckets that holds others too."""
-    placed = materialise(reps.select("rep", "sig").mapInArrow(in_slices(_banded, 2048), "rep long, key long"), "bands")
+    placed = materialise(map_batches(reps.select("rep", "sig"), _banded, "rep long, key long", 2048), "bands")
     sizes = materialise(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").withColumn("size", F.col("n")), "bucket-sizes")
-    return materialise(lookup(placed, sizes, "key", placed.count()), "buckets")
+    return materialise(lookup(placed, sizes, "key", BANDS * reps.count()), "buckets")
 
 
 def _tied(low: float):
@@ -234,7 +234,7 @@ def neighbourhoods(placed: DataFrame, reps: DataFrame, low: float) -> DataFrame:
     """(id, component) of texts loosely tied to others."""
     small = placed.where(F.col("size") <= BLOCK).select("rep", "key")
     signed = small.join(reps.select("rep", "sig"), "rep").groupBy("key").agg(F.collect_list(F.struct("rep", "sig")).alias("members"))  # at most BLOCK
-    ties = signed.select("members").mapInArrow(_tied(low), "a long, b long")
+    ties = map_batches(signed.select("members"), _tied(low), "a long, b long", 64)
     stars = placed.where((F.col("size") > BLOCK) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     return components(ties.unionByName(stars))
 
@@ -309,23 +309,19 @@ def block_links(members: DataFrame, idf: np.ndarray, similarity: float) -> DataF
     sent = members.sparkSession.sparkContext.broadcast(idf)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            verifier = _Verifier(sent.value, similarity)
-            for (component, _), group in _groups(b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-                ids, hubs = group.column("rep").to_numpy(), group.column("hub").to_numpy()
-                texts = texts_of(group.column("text").combine_chunks())
-                pairs, degree = verifier.links(ids, _sigs(group.column("sig").to_pylist()), texts, hubs)
-                top = np.argsort(-degree, kind="stable")[:4]
-                a = [*(x for x, _ in pairs), *[component] * len(top)]
-                b = [*(y for _, y in pairs), *ids[top].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*[None] * len(pairs), *degree[top].tolist()], pa.int64())], names=["a", "b", "degree"])
-        finally:
-            verifier = group = texts = None
-            give_back()
+        verifier = _Verifier(sent.value, similarity)
+        for (component, _), group in _groups(batches):
+            ids, hubs = group.column("rep").to_numpy(), group.column("hub").to_numpy()
+            texts = texts_of(group.column("text").combine_chunks())
+            pairs, degree = verifier.links(ids, _sigs(group.column("sig").to_pylist()), texts, hubs)
+            top = np.argsort(-degree, kind="stable")[:4]
+            a = [*(x for x, _ in pairs), *[component] * len(top)]
+            b = [*(y for _, y in pairs), *ids[top].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*[None] * len(pairs), *degree[top].tolist()], pa.int64())], names=["a", "b", "degree"])
 
     rows = members.select("component", "chunk", "rep", "sig", "text", "hub")
     rows = rows.repartition("component", "chunk").sortWithinPartitions("component", "chunk", "rep")
-    return rows.mapInArrow(linked, "a long, b long, degree long")
+    return map_batches(rows, linked, "a long, b long, degree long", 512)
 
 
 def neighbour_links(near: DataFrame, reps: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float, repeats: bool) -> tuple[DataFrame, DataFrame]:
@@ -396,7 +392,7 @@ def unjoined_pairs(placed: DataFrame, cut: DataFrame, classes: DataFrame, low: f
     many = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fews") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), "manys").alias("j"), F.lit(False).alias("few"))
     few = rows.where(F.col("class") != F.col("largest")).select("*", F.pmod(F.xxhash64("rep", F.lit(1)), "fews").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("manys") - 1)).alias("j"), F.lit(True).alias("few"))
     blocks = few.unionByName(many).groupBy("key", "i", "j").agg(F.collect_list(F.struct("rep", "sig", "class", "few")).alias("members"))
-    return blocks.select("members").mapInArrow(_unjoined(low), "a long, b long, share float").where("a <> b").groupBy("a", "b").agg(F.max("share").alias("share"))
+    return map_batches(blocks.select("members"), _unjoined(low), "a long, b long, share float", 1).where("a <> b").groupBy("a", "b").agg(F.max("share").alias("share"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
@@ -420,7 +416,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
             s = [weighted_jaccard(shingles(t), shingles(u)) for t, u in zip(texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    return joined.select("a", "b", "a_text", "b_text").mapInArrow(in_slices(compared, 32), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+    return map_batches(joined.select("a", "b", "a_text", "b_text"), compared, "a long, b long, similarity double", 32).where(F.col("similarity") >= similarity)
 
 
 def between_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:

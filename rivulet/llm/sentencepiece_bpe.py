@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rivulet.llm.words import in_slices
+from rivulet.llm.common import map_batches
 
 SPACE = "▁"
 NO_PAIR = np.int64(1) << 60
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, model: str, ids: str = "ids", decoded: str | None =
                 columns.append(pa.array([encoder.decode(x.tolist()) for x in found], pa.string()))
             yield pa.RecordBatch.from_arrays([*[batch.column(keep.index(c)) for c in out], *columns], names=[f.name for f in schema])
 
-    return rows.mapInArrow(in_slices(encoded, 512), schema)
+    return map_batches(rows, encoded, schema)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -262,7 +262,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", decoded: str = "decode
             found = [library.decode(x or []) for x in batch.column(keep.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*keep, decoded])
 
-    return rows.mapInArrow(in_slices(texts, 512), schema)
+    return map_batches(rows, texts, schema)
 
 
 def sha256_hex(text: str) -> str:

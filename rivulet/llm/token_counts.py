@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rivulet.llm.words import in_slices
+from rivulet.llm.common import map_batches
 
 SPACE = "▁"
 #: Nodes that a task's trie may have before it starts afresh; longer pre-tokens are scored outside it.
@@ -137,4 +137,4 @@ def count_tokens(docs: DataFrame, model: UnigramModel, text: str = "text", keep_
             found = np.array([trie.total(t or b"") for t in batch.column(keep.index(text)).cast(pa.binary()).to_pylist()], dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*[batch.column(keep.index(c)) for c in out], pa.array(found[:, 0]), pa.array(found[:, 1])], names=schema.names)
 
-    return rows.mapInArrow(in_slices(counted), schema)
+    return map_batches(rows, counted, schema)

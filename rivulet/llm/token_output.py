@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import materialise, scratch_path
+from rivulet.llm.common import map_batches, materialise, scratch_path
 from rivulet.llm.tokenfile import Reader, Writer
 
 #: Distinct chunks, and parts of chunks, that a Python worker remembers.
@@ -160,7 +160,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         fs.move(temporary, path)
         yield pa.RecordBatch.from_pydict({"file": pa.array([part], pa.int64()), "path": [path], "n_docs": pa.array([documents], pa.int64()), "n_tokens": pa.array([tokens], pa.int64())})
 
-    return materialise(dealt.mapInArrow(write, "file long, path string, n_docs long, n_tokens long"), "token-files")
+    return materialise(map_batches(dealt, write, "file long, path string, n_docs long, n_tokens long"), "token-files")
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
@@ -187,7 +187,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                             found = []
                     yield _rows(found)
 
-    return placed.select("path", "base", "file").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file long")
+    return map_batches(placed.select("path", "base", "file").repartition(n), read, "doc_id long, start long, n_tokens long, ids_crc32 long, file long")
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:

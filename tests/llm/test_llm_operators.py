@@ -433,3 +433,22 @@ def test_ids(spark):
 
 def test_digests():
     assert sentencepiece_bpe.sha256_hex("a") == hashlib.sha256(b"a").hexdigest()
+
+
+def test_thousands_of_vectors_near_each_other(spark):
+    """3,000 mutually near vectors of one label have nine million links, which are counted, not held."""
+    r = np.random.default_rng(4)
+    centre = r.normal(size=24)
+    rows = [(i, (centre + r.normal(size=24) * 0.02).tolist(), "hot") for i in range(3000)] + [(3000 + i, r.normal(size=24).tolist(), "hot") for i in range(200)]
+    got = {x["vec_id"]: x for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), shard_rows=800, block_rows=900).collect()}
+    v = np.array([x for _, x, _ in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.93
+    assert [got[i]["n_links"] for i in range(3200)] == (near.sum(axis=1) - 1).tolist()
+    assert {got[i]["component_id"] for i in range(3000)} == {0} and got[3100]["component_id"] == 3100
+
+
+def test_huge_and_tiny_vectors(spark):
+    rows = [(1, [1e300, 1e300], "a"), (2, [2e300, 2e300], "a"), (3, [1e-310, 1e-310], "a"), (4, [1e300, -1e300], "a")]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 0}

@@ -1,8 +1,7 @@
 """Query of the URL filter over ``pages``.
 
-Labels come from two places: the document number that ends a page's path says
-which row of ``labels`` describes it (bad: low quality or toxic), and a host
-whose name holds one of SEED_WORDS counts as bad.
+Labels come from the table ``labels``: the document number that ends a page's
+path says which of its rows describe the page (bad: low quality or toxic).
 """
 
 from __future__ import annotations
@@ -10,29 +9,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import table
-from rivulet.llm.url_filter import filter_urls, url_parts
+from rivulet.llm.common import materialise, table
+from rivulet.llm.url_filter import MAX_DEPTH, filter_urls, url_keys
 
-#: Host name parts that mark unwanted sites whatever a page says.
-SEED_WORDS = ("adult", "ads", "bets", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
-_SEED = "(^|[.-])(" + "|".join(SEED_WORDS) + ")([.-]|$)"
+NUMBER = r"try_cast(regexp_extract(path, '/([0-9]{1,18})([.][A-Za-z]+)?/?$', 1) AS BIGINT)"
 
 
-def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    parts = url_parts(pages.select("url"))
-    numbered = parts.withColumn("doc_id", F.expr(r"try_cast(regexp_extract(path, '/([0-9]{1,18})([.][A-Za-z]+)?/?$', 1) AS BIGINT)")).where("doc_id IS NOT NULL")
+def page_labels(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_key, n_labelled, n_bad) of pages (_key, path); pages of one key and number are counted before they meet their labels."""
+    numbered = keys.select("_key", F.expr(NUMBER).alias("doc_id")).where("doc_id IS NOT NULL").groupBy("_key", "doc_id").agg(F.count("*").alias("n"))
     bad = labels.selectExpr("doc_id", "quality = 0 OR toxic = 1 AS bad").where("bad IS NOT NULL")
-    by_document = numbered.join(bad, "doc_id").select("url", "bad")
-    return by_document.unionByName(parts.where(F.col("host").rlike(_SEED)).select("url", F.lit(True).alias("bad")))
+    found = numbered.join(bad, "doc_id")
+    return found.groupBy("_key").agg(F.sum("n").alias("n_labelled"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_urls(pages, labelled_urls(pages, table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict", "template")
+    counts = materialise(page_labels(url_keys(pages, ()), table(spark, sf_dir, "labels")), "label-counts")
+    return filter_urls(pages, counts).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-OP1_SQL = r"""
-WITH p0 AS (
+_HEAD = r"""
+WITH p0 AS MATERIALIZED (
   SELECT page_id, regexp_extract(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END, '^[^?#]*', 0) AS rest FROM pages),
 p1 AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/]*', 0) AS h, coalesce(rest, '') AS rest FROM p0),
 p2 AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(h) + 1) AS path FROM p1),
@@ -43,35 +41,32 @@ p AS (SELECT page_id, host, path,
          WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
          WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
          WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule,
-    list_transform(segs[1:12], lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '<n>'
+    array_to_string(list_transform(segs[1:12], lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '<n>'
       WHEN regexp_matches(s, '^[0-9]+[.][A-Za-z]{1,5}$') THEN '<n>' || regexp_extract(s, '[.][A-Za-z]+$', 0)
       WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$') THEN '<date>'
-      WHEN regexp_matches(s, '^[0-9a-fA-F-]{8,}$') THEN '<hex>' ELSE s END) || CASE WHEN len(segs) > 12 THEN ['**'] ELSE CAST([] AS VARCHAR[]) END AS lex,
+      WHEN regexp_matches(s, '^[0-9a-fA-F-]{8,}$') THEN '<hex>' ELSE s END) || CASE WHEN len(segs) > 12 THEN ['**'] ELSE CAST([] AS VARCHAR[]) END, '/') AS lex,
     try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})([.][A-Za-z]+)?/?$', 1), '') AS BIGINT) AS doc_no
   FROM p3),
 bad AS (SELECT doc_id, quality = 0 OR toxic = 1 AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL),
-known AS (
-  SELECT host, lex, bad FROM p JOIN bad ON doc_no = doc_id UNION ALL
-  SELECT host, lex, true FROM p WHERE regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|poker|porn|spam|viagra|xxx)([.-]|$)')),
-labelled AS (SELECT host, lex, count(*) AS n_labelled, count(*) FILTER (bad) AS n_bad FROM known GROUP BY 1, 2),
-c AS (SELECT p.host, p.lex, count(*) AS n, coalesce(any_value(n_labelled), 0) AS n_labelled, coalesce(any_value(n_bad), 0) AS n_bad
-  FROM p LEFT JOIN labelled l ON l.host = p.host AND l.lex = p.lex GROUP BY 1, 2),
-pos0 AS (SELECT host, lex, n, unnest(range(1, len(lex) + 1)) AS pos FROM c),
-pos1 AS (SELECT host, lex, n, pos, lex[pos] AS seg,
-    array_to_string(list_transform(lex[1:pos - 1], lambda s: CASE WHEN starts_with(s, '<') THEN s ELSE 'w' END), '/') AS shape FROM pos0),
-children AS (SELECT host, pos, shape, seg, sum(n) AS child_n FROM pos1 GROUP BY ALL),
-nodes AS (SELECT host, pos, shape, count(*) AS k, sum(child_n) AS node_n FROM children GROUP BY ALL HAVING count(*) > 50),
-var AS (SELECT host, pos, shape, seg, true AS is_var FROM children JOIN nodes USING (host, pos, shape) WHERE child_n < 0.005 * node_n AND NOT starts_with(seg, '<')),
-named AS (SELECT host, lex, list(CASE WHEN is_var THEN '*' ELSE seg END ORDER BY pos) AS segs FROM pos1 LEFT JOIN var USING (host, pos, shape, seg) GROUP BY 1, 2),
-full0 AS (SELECT c.*, coalesce(segs, CAST([] AS VARCHAR[])) AS segs FROM c LEFT JOIN named ON named.host = c.host AND named.lex = c.lex),
-full1 AS (SELECT *, coalesce(list_max(list_transform(segs, lambda s, i: CASE WHEN starts_with(s, '<') OR s IN ('*', '**') THEN 0 ELSE i END)), 0) AS lit FROM full0),
-full2 AS (SELECT *, '/' || coalesce(array_to_string(segs, '/'), '') AS branch,
-    '/' || coalesce(array_to_string(list_transform(segs, lambda s, i: CASE WHEN i = lit THEN '*' ELSE s END), '/'), '') AS family FROM full1),
-branches AS (SELECT host, family, branch, sum(n_labelled) AS n_l, sum(n_bad) AS n_b FROM full2 GROUP BY ALL),
-families AS (SELECT host, family, sum(n_l) AS f_l, sum(n_b) AS f_b, (sum(n_b) + 1.0::DOUBLE) / (sum(n_l) + 2.0::DOUBLE) AS pooled FROM branches GROUP BY ALL),
-merged AS (SELECT host, branch, CASE WHEN n_l > 0 AND abs(n_b / CAST(n_l AS DOUBLE) - pooled) > 1.96::DOUBLE * sqrt(pooled * (1 - pooled) / n_l) THEN branch ELSE family END AS template
-  FROM branches JOIN families USING (host, family)),
-tree AS (SELECT full2.host, lex, n_labelled, n_bad, template FROM full2 JOIN merged ON merged.host = full2.host AND merged.branch = full2.branch),
+labelled AS (SELECT host, lex, count(*) AS n_labelled, count(*) FILTER (bad) AS n_bad FROM p JOIN bad ON doc_no = doc_id GROUP BY 1, 2),
+t0 AS MATERIALIZED (SELECT p.host, p.lex, string_split(p.lex, '/') AS segs, CASE WHEN p.lex = '' THEN 0 ELSE len(string_split(p.lex, '/')) END AS depth, count(*) AS n,
+    coalesce(any_value(n_labelled), 0) AS n_labelled, coalesce(any_value(n_bad), 0) AS n_bad, '' AS template
+  FROM p LEFT JOIN labelled l ON l.host = p.host AND l.lex = p.lex GROUP BY ALL),
+"""
+
+#: One level of the tree: children, nodes, and the rows with the next part of their templates.
+_LEVEL = """
+c{k} AS MATERIALIZED (SELECT host, template, segs[{k}] AS seg, sum(n) AS child_n, sum(n_labelled) AS n_l, sum(n_bad) AS n_b FROM t{j} WHERE depth >= {k} GROUP BY ALL),
+m{k} AS MATERIALIZED (SELECT host, template, count(*) AS k, sum(child_n) AS node_n, sum(n_l) AS f_l, sum(n_b) AS f_b, (sum(n_b) + 1.0::DOUBLE) / (sum(n_l) + 2.0::DOUBLE) AS pooled FROM c{k} GROUP BY ALL),
+s{k} AS MATERIALIZED (SELECT c.host, c.template, seg, CASE WHEN starts_with(seg, '<') OR seg = '**' THEN seg
+    WHEN k > 50 AND child_n < 0.005::DOUBLE * node_n OR NOT (n_l > 0 AND abs(n_b / CAST(n_l AS DOUBLE) - pooled) > 1.96::DOUBLE * sqrt(pooled * (1.0::DOUBLE - pooled) / n_l)) THEN '*' ELSE seg END AS part
+  FROM c{k} c JOIN m{k} m ON m.host = c.host AND m.template = c.template),
+t{k} AS MATERIALIZED (SELECT t.* EXCLUDE (template), CASE WHEN depth >= {k} THEN t.template || '/' || part ELSE t.template END AS template
+  FROM t{j} t LEFT JOIN s{k} s ON s.host = t.host AND s.template = t.template AND s.seg = t.segs[{k}] AND t.depth >= {k}),
+"""
+
+_TAIL = """
+tree AS (SELECT host, lex, n_labelled, n_bad, CASE WHEN template = '' THEN '/' ELSE template END AS template FROM t{last}),
 t AS (SELECT host, template, sum(n_labelled) AS n_l, sum(n_bad) AS n_b FROM tree GROUP BY ALL),
 h AS (SELECT host, sum(n_l) AS h_l, sum(n_b) AS h_b FROM t GROUP BY 1),
 g AS (SELECT (sum(h_b) + 1.0::DOUBLE) / (sum(h_l) + 2.0::DOUBLE) AS g FROM h),
@@ -80,3 +75,5 @@ SELECT p.page_id, p.host, p.path, p.rule, tree.template,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN tree ON tree.host = p.host AND tree.lex = p.lex LEFT JOIN v ON v.host = p.host AND v.template = tree.template
 """
+
+OP1_SQL = _HEAD + "".join(_LEVEL.format(k=k, j=k - 1) for k in range(1, MAX_DEPTH + 2)) + _TAIL.format(last=MAX_DEPTH + 1)

@@ -4,13 +4,13 @@
    that are numbers, hexadecimal ids or the like become wildcards at once, so
    the tree is built from counts of distinct (host, lexical template) pairs,
    not from urls.
-2. A segment position (host, depth, shape of what precedes) with more than
-   ``max_children`` children keeps its frequent children; the others
-   become ``*``.
-3. Sibling branches, alike but for their deepest literal segment, are merged
-   when their share of bad labels does not differ from that of all siblings
-   (two-sided z test).
-4. A template is blocked when its purity, the share of bad among labelled urls
+2. The tree of a host grows from its root, one level at a time. Of a node with more than
+   ``max_children`` children only the frequent ones stay literal; the others
+   are variable and become ``*``.
+3. Branches of a node whose share of bad labels, all that lies below them
+   counted, does not differ from that of the whole node (two-sided z test) are merged,
+   and become ``*`` too. The next level is grown below the merged branches.
+4. A template, the way from the root to a leaf, is blocked when its purity, the share of bad among labelled urls
    smoothed towards the host's and the host's towards the overall share,
    reaches ``min_purity``. One without labelled urls never is.
 """
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm.common import lookup, materialise
+
 #: (verdict, rule); a rule is a host and the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -57,68 +59,87 @@ LEXICAL = r"""CASE WHEN s rlike '^[0-9]+$' THEN '<n>'
   ELSE s END"""
 
 
-def lexical_template(path: str = "path", max_depth: int = 12) -> F.Column:
-    """Segments of the path by class; what lies deeper than ``max_depth`` is one ``**``."""
+#: A template describes so many segments of a path.
+MAX_DEPTH = 12
+
+
+def lexical_template(path: str = "path", max_depth: int = MAX_DEPTH) -> F.Column:
+    """Segments of the path by class, joined by ``/``; what lies deeper than ``max_depth`` is one ``**``."""
     segments = f"filter(split({path}, '/'), s -> s != '')"
     classes = f"transform(slice({segments}, 1, {max_depth}), s -> {LEXICAL})"
-    return F.expr(f"concat({classes}, CASE WHEN size({segments}) > {max_depth} THEN array('**') ELSE array() END)")
+    return F.expr(f"array_join(concat({classes}, CASE WHEN size({segments}) > {max_depth} THEN array('**') ELSE array() END), '/')")
+
+
+def url_keys(pages: DataFrame, rules=RULES) -> DataFrame:
+    """Adds host, path, rule and lex, and ``_key``, which names the (host, lex) pair."""
+    out = url_parts(pages).withColumn("rule", rule_of(rules)).withColumn("lex", lexical_template())
+    return out.withColumn("_key", F.concat_ws("/", "host", "lex"))
+
+
+def label_counts(labelled: DataFrame) -> DataFrame:
+    """(_key, n_labelled, n_bad) from (url, bad); null labels are left out."""
+    known = url_keys(labelled.select("url", "bad"), ()).where(F.col("bad").isNotNull())
+    return known.groupBy("_key").agg(F.count("*").alias("n_labelled"), F.count_if("bad").alias("n_bad"))
 
 
 def template_tree(counts: DataFrame, max_children: int = 50, min_share: float = 0.005, z: float = 1.96) -> DataFrame:
-    """(host, lex, n, n_labelled, n_bad) with the ``template`` each (host, lex) belongs to."""
-    at = counts.selectExpr("host", "lex", "n", "posexplode(lex) AS (pos, seg)").selectExpr(
-        "host", "lex", "n", "pos", "seg", "array_join(transform(slice(lex, 1, pos), s -> CASE WHEN s LIKE '<%' THEN s ELSE 'w' END), '/') AS shape"
-    )
-    children = at.groupBy("host", "pos", "shape", "seg").agg(F.sum("n").alias("child_n"))
-    nodes = children.groupBy("host", "pos", "shape").agg(F.count("*").alias("k"), F.sum("child_n").alias("node_n")).where(F.col("k") > max_children)
-    variable = children.join(nodes, ["host", "pos", "shape"]).where((F.col("child_n") < min_share * F.col("node_n")) & ~F.col("seg").startswith("<"))
-    variable = variable.select("host", "pos", "shape", "seg", F.lit(True).alias("is_var"))
-    named = at.join(variable, ["host", "pos", "shape", "seg"], "left")
-    segs = named.groupBy("host", "lex").agg(F.array_sort(F.collect_list(F.expr("struct(pos, CASE WHEN is_var THEN '*' ELSE seg END AS seg)"))).alias("s"))
-    segs = segs.selectExpr("host", "lex", "transform(s, x -> x.seg) AS segs")
-    # the empty path has no position and so no row above
-    full = counts.join(segs, ["host", "lex"], "left").withColumn("segs", F.expr("coalesce(segs, array())"))
-    literal = "array_max(transform(segs, (s, i) -> CASE WHEN s LIKE '<%' OR s IN ('*', '**') THEN -1 ELSE i END))"
-    full = full.withColumn("at", F.expr(f"coalesce({literal}, -1)"))
-    full = full.selectExpr("*", "concat('/', array_join(segs, '/')) AS branch", "concat('/', array_join(transform(segs, (s, i) -> CASE WHEN i = at THEN '*' ELSE s END), '/')) AS family")
-    branches = full.groupBy("host", "family", "branch").agg(F.sum("n_labelled").alias("n_l"), F.sum("n_bad").alias("n_b"))
-    families = branches.groupBy("host", "family").agg(F.sum("n_l").alias("f_l"), F.sum("n_b").alias("f_b"))
-    pooled = "(f_b + 1.0D) / (f_l + 2.0D)"
-    differs = f"n_l > 0 AND abs(n_b / CAST(n_l AS DOUBLE) - {pooled}) > {z}D * sqrt({pooled} * (1.0D - {pooled}) / n_l)"
-    merged = branches.join(families, ["host", "family"]).selectExpr("host", "branch", f"CASE WHEN {differs} THEN branch ELSE family END AS template")
-    return full.join(merged, ["host", "branch"]).select("host", "lex", "n", "n_labelled", "n_bad", "template")
+    """``counts`` (host, lex, _key, n, n_labelled, n_bad) with the ``template`` each pair belongs to.
+
+    One round for each level of the deepest path. A node is named by its host and
+    the template that leads to it; all joins by node or child are free of hot tasks.
+    """
+    rows = materialise(counts.withColumns({"segs": F.split("lex", "/"), "template": F.lit("")}).withColumn("depth", F.when(F.col("lex") == "", 0).otherwise(F.size("segs"))), "tree")
+    top, total = rows.agg(F.max("depth"), F.count("*")).first()
+    for level in range(1, (top or 0) + 1):
+        going = rows.where(F.col("depth") >= level).withColumn("child", F.struct("host", "template", F.element_at("segs", level).alias("seg")))
+        children = going.groupBy("child").agg(F.sum("n").alias("child_n"), F.sum("n_labelled").alias("n_l"), F.sum("n_bad").alias("n_b"), F.count("*").alias("n"))
+        children = materialise(children.withColumn("node", F.struct("child.host", "child.template")), "children")
+        nodes = children.groupBy("node").agg(F.count("*").alias("k"), F.sum("child_n").alias("node_n"), F.sum("n_l").alias("f_l"), F.sum("n_b").alias("f_b"))
+        nodes = materialise(nodes.withColumn("n", F.col("k")), "nodes")
+        pooled = "(f_b + 1.0D) / (f_l + 2.0D)"
+        differs = f"n_l > 0 AND abs(n_b / CAST(n_l AS DOUBLE) - {pooled}) > {z}D * sqrt({pooled} * (1.0D - {pooled}) / n_l)"
+        variable = f"k > {max_children} AND child_n < {min_share}D * node_n"
+        named = lookup(children, nodes, "node", total).selectExpr("child", "n", f"CASE WHEN child.seg LIKE '<%' OR child.seg = '**' THEN child.seg WHEN {variable} OR NOT ({differs}) THEN '*' ELSE child.seg END AS part")
+        named = lookup(going, materialise(named, "named"), "child", total)
+        grown = named.withColumn("template", F.concat_ws("/", "template", "part")).select(*rows.columns)
+        rows = materialise(rows.where(F.col("depth") < level).unionByName(grown), "tree")
+    return rows.select("host", "lex", "_key", "n", "n_labelled", "n_bad", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"))
 
 
 def template_verdicts(tree: DataFrame, min_purity: float = 0.5, weight: float = 5.0) -> DataFrame:
-    """(host, template, purity, blocked). ``weight`` labelled urls stand behind each prior."""
-    templates = tree.groupBy("host", "template").agg(F.sum("n_labelled").alias("n_l"), F.sum("n_bad").alias("n_b"))
-    hosts = templates.groupBy("host").agg(F.sum("n_l").alias("h_l"), F.sum("n_b").alias("h_b"))
+    """(at, n, purity, blocked) of each template; ``at`` is a struct of host and template, ``n`` its pairs. ``weight`` labelled urls stand behind each prior."""
+    templates = materialise(tree.groupBy("host", "template").agg(F.sum("n_labelled").alias("n_l"), F.sum("n_bad").alias("n_b"), F.count("*").alias("n")), "templates")
+    hosts = templates.groupBy("host").agg(F.sum("n_l").alias("h_l"), F.sum("n_b").alias("h_b"), F.count("*").alias("n"))
+    hosts = materialise(hosts, "hosts")
     overall = hosts.agg(((F.coalesce(F.sum("h_b"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("h_l"), F.lit(0)) + 2.0)).alias("g"))  # one row
-    hosts = hosts.join(F.broadcast(overall)).selectExpr("host", f"(h_b + {weight}D * g) / (h_l + {weight}D) AS h_rate")
-    out = templates.join(hosts, "host").selectExpr("host", "template", f"(n_b + {weight}D * h_rate) / (n_l + {weight}D) AS purity", "n_l")
-    return out.select("host", "template", "purity", ((F.col("purity") >= min_purity) & (F.col("n_l") > 0)).alias("blocked"))
+    hosts = materialise(hosts.join(F.broadcast(overall)).selectExpr("host", "n", f"(h_b + {weight}D * g) / (h_l + {weight}D) AS h_rate"), "host-rates")
+    out = lookup(templates.withColumnRenamed("n", "pairs"), hosts, "host", templates.count()).selectExpr("struct(host, template) AS at", "pairs AS n", f"(n_b + {weight}D * h_rate) / (n_l + {weight}D) AS purity", "n_l")
+    return out.select("at", "n", "purity", ((F.col("purity") >= min_purity) & (F.col("n_l") > 0)).alias("blocked"))
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, **tree_options) -> DataFrame:
     """Every row of ``pages`` with host, path, rule, template, purity and verdict.
 
     ``pages`` needs ``url``; ``labelled`` has (url, bad boolean), any number of
-    rows for a url. A rule's verdict stands; else the template's, and ``allow``
+    rows for a url, or the counts (_key, n_labelled, n_bad) of ``label_counts``. A
+    rule's verdict stands; else the template's, and ``allow``
     where nothing is labelled. Null or malformed urls have an empty host
-    and path and are judged as the template ``/`` of the empty host. Repeated
-    urls count as often as they occur and all get the same verdict. Other columns
+    and path and are judged as the template ``/`` of the empty host. Very long urls
+    are judged by rules whole; their template describes MAX_DEPTH segments. Repeated
+    urls count as often as they occur and all get the same verdict; of rules of one length the
+    later one in code-point order stands. Other columns
     are kept, save those with the names of new ones; an empty table gives none.
     """
-    new = ("host", "path", "rule", "template", "purity", "verdict")
-    keep = [c for c in pages.columns if c not in new and c != "lex"]
-    judged = url_parts(pages).withColumn("rule", rule_of(rules)).withColumn("lex", lexical_template())
-    known = url_parts(labelled.select("url", "bad")).where(F.col("bad").isNotNull())
-    known = known.groupBy("host", lexical_template().alias("lex")).agg(F.count("*").alias("n_labelled"), F.count_if("bad").alias("n_bad"))
-    counts = judged.groupBy("host", "lex").agg(F.count("*").alias("n")).join(known, ["host", "lex"], "left").na.fill(0, ["n_labelled", "n_bad"])
+    new = ("host", "path", "rule", "template", "purity", "verdict", "lex", "_key")
+    keep = [c for c in pages.columns if c not in new]
+    judged = url_keys(pages.select(*[F.col(f"`{c}`") for c in keep]), rules)
+    known = label_counts(labelled) if "url" in labelled.columns else labelled
+    counts = judged.groupBy("_key", "host", "lex").agg(F.count("*").alias("n")).join(known, "_key", "left").na.fill(0, ["n_labelled", "n_bad"])
     tree = template_tree(counts, **{k: v for k, v in tree_options.items() if k in ("max_children", "min_share", "z")})
-    verdicts = template_verdicts(tree, **{k: v for k, v in tree_options.items() if k in ("min_purity", "weight")})
-    found = tree.join(verdicts, ["host", "template"]).select("host", "lex", "template", "purity", "blocked")
-    decided = F.create_map(*[x for verdict, rule in rules for x in (F.lit(rule), F.lit(verdict))])
-    out = judged.join(found, ["host", "lex"], "left")
-    verdict = F.when(F.col("rule").isNotNull(), F.element_at(decided, F.coalesce("rule", F.lit(rules[0][1])))).otherwise(F.when(F.col("blocked"), "block").otherwise("allow"))
+    verdicts = materialise(template_verdicts(tree, **{k: v for k, v in tree_options.items() if k in ("min_purity", "weight")}), "verdicts")
+    found = lookup(tree.withColumn("at", F.struct("host", "template")).withColumnRenamed("n", "_pages"), verdicts, "at", tree.count())
+    found = materialise(found.select("_key", F.col("_pages").alias("n"), "template", "purity", "blocked"), "found")
+    decided = F.create_map(*[x for verdict, rule in rules for x in (F.lit(rule), F.lit(verdict))]) if rules else F.create_map(F.lit(""), F.lit("allow"))
+    out = lookup(judged, found, "_key", found.agg(F.sum("n")).first()[0] or 0)
+    verdict = F.when(F.col("rule").isNotNull(), F.element_at(decided, F.coalesce("rule", F.lit(rules[0][1] if rules else "")))).otherwise(F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", "template", "purity", verdict.alias("verdict"))

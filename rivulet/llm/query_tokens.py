@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import table
 from rivulet.llm.sentencepiece_bpe import encode
-from rivulet.llm.token_counts import UnigramModel, count_tokens
+from rivulet.llm.token_counts import UnigramModel, count_tokens, estimate
 from rivulet.llm.token_output import read_token_files, token_folder, write_token_files
 
 END_ID = 2
@@ -34,4 +34,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, UnigramModel.from_sentencepiece(public_tokenizers.path("piece_bpe_32k.model")), keep_text=False)
+    model = estimate(docs, UnigramModel.from_sentencepiece(public_tokenizers.path("piece_bpe_32k.model")))
+    return count_tokens(docs, model, keep_text=False)

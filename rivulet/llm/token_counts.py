@@ -6,23 +6,29 @@ a task lie in one trie, and the forward score of a trie node (best log
 probability of the characters from the root, and the number of pieces used) is
 computed once, however many pre-tokens share the prefix. A pre-token's count
 is stored at its last node.
+
+The vocabulary is that of a public tokenizer; the probabilities of its pieces are
+estimated from the whole corpus: its distinct pre-tokens are counted, and in each round
+their best segmentations under the model so far give the next one's frequencies.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import map_batches
+from rivulet.llm.common import map_batches, materialise
 
 SPACE = "▁"
 #: Nodes that a task's trie may have before it starts afresh; longer pre-tokens are scored outside it.
-MAX_NODES, LONG = 2_000_000, 200
+MAX_NODES, LONG = 400_000, 200
 
 
 class UnigramModel:
@@ -36,7 +42,7 @@ class UnigramModel:
     def from_sentencepiece(cls, path: str) -> UnigramModel:
         """The pieces of a model file, a piece's probability falling with its rank as 1 / (rank + 100).
 
-        The model is not trained here; it lends its vocabulary and order only.
+        What an estimate starts from; the file lends its vocabulary and order only.
         """
         import sentencepiece
 
@@ -46,22 +52,27 @@ class UnigramModel:
         total = sum(1.0 / (r + 100) for r in range(len(usable)))
         return cls({sp.id_to_piece(i): -math.log((r + 100) * total) for r, i in enumerate(usable)}, -math.log((len(usable) + 100) * total) - 1.0)
 
-    def step(self, word: str, end: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
-        """Best score and its fewest pieces for word[:end], from those of all shorter prefixes."""
-        best, pieces = -math.inf, 0
+    def step(self, word: str, end: int, scores: list[float], counts: list[int]) -> tuple[float, int, int]:
+        """Best score for word[:end], its fewest pieces, and the length of the last one (0: bytes), from those of all shorter prefixes."""
+        best, pieces, last = -math.inf, 0, 0
         known = self.pieces
         for start in range(max(0, end - self.longest), end):
             p = known.get(word[start:end])
             if p is not None:
                 s = scores[start] + p
                 if s > best or (s == best and counts[start] + 1 < pieces):
-                    best, pieces = s, counts[start] + 1
+                    best, pieces, last = s, counts[start] + 1, end - start
         if word[end - 1] not in known:
             size = len(word[end - 1].encode())
             s = scores[end - 1] + size * self.byte_score
             if s > best or (s == best and counts[end - 1] + size < pieces):
-                best, pieces = s, counts[end - 1] + size
-        return best, pieces
+                best, pieces, last = s, counts[end - 1] + size, 0
+        return best, pieces, last
+
+    def reestimated(self, uses: dict[str, int], n_bytes: int) -> UnigramModel:
+        """The model of these frequencies, each piece and byte seen half a time more."""
+        total = sum(uses.values()) + n_bytes + 0.5 * (len(self.pieces) + 256)
+        return UnigramModel({p: math.log((uses.get(p, 0) + 0.5) / total) for p in self.pieces}, math.log((n_bytes / 256 + 0.5) / total))
 
 
 class TrieCounter(dict):
@@ -75,51 +86,117 @@ class TrieCounter(dict):
     def _fresh(self) -> None:
         self.clear()
         self.children: dict[tuple[int, str], int] = {}
-        self.scores, self.counts = [0.0], [0]
+        self.scores, self.counts, self.lasts = [0.0], [0], [0]
         self.computed = 0
 
     def __missing__(self, raw: bytes) -> int:
         word = SPACE + raw.decode()
         if len(self.counts) > MAX_NODES:
             self._fresh()
-        self[raw] = found = self._insert(word) if len(word) <= LONG else self._alone(word)
+        self[raw] = found = self._insert(word)
         return found
 
-    def _insert(self, word: str) -> int:
-        node, children, scores, counts = 0, self.children, [0.0], [0]
+    def _insert(self, word: str, lasts: list[int] | None = None) -> int:
+        """Tokens of a pre-token; ``lasts`` gets the length of the last piece at each of its characters.
+
+        One too long to be kept takes the same steps, but outside the trie.
+        """
+        node, children, scores, counts, kept = 0, self.children, [0.0], [0], len(word) <= LONG
         for end in range(1, len(word) + 1):
             step = (node, word[end - 1])
-            node = children.get(step, -1)
+            node = children.get(step, -1) if kept else -1
             if node < 0:
-                s, n = self.model.step(word, end, scores, counts)
-                node = children[step] = len(self.counts)
-                self.scores.append(s)
-                self.counts.append(n)
-                self.computed += 1
-            scores.append(self.scores[node])
-            counts.append(self.counts[node])
-        return counts[-1]
-
-    def _alone(self, word: str) -> int:
-        """The same steps for a pre-token too long to be kept; never stored in the trie."""
-        scores, counts = [0.0], [0]
-        for end in range(1, len(word) + 1):
-            s, n = self.model.step(word, end, scores, counts)
+                s, n, last = self.model.step(word, end, scores, counts)
+                if kept:
+                    node = children[step] = len(self.counts)
+                    self.scores.append(s)
+                    self.counts.append(n)
+                    self.lasts.append(last)
+                    self.computed += 1
+            else:
+                s, n, last = self.scores[node], self.counts[node], self.lasts[node]
             scores.append(s)
             counts.append(n)
+            if lasts is not None:
+                lasts.append(last)
         return counts[-1]
 
+    def segments(self, raw: bytes) -> tuple[list[str], int]:
+        """The pieces of a pre-token's best segmentation, and the number of its bytes outside of pieces."""
+        word, lasts, out, n_bytes = SPACE + raw.decode(), [], [], 0
+        if len(self.counts) > MAX_NODES:
+            self._fresh()
+        self._insert(word, lasts)
+        end = len(word)
+        while end:
+            last = lasts[end - 1]
+            if last:
+                out.append(word[end - last : end])
+            else:
+                n_bytes += len(word[end - 1].encode())
+            end -= last or 1
+        return out, n_bytes
+
     def total(self, text: bytes) -> tuple[int, int]:
         """Pre-tokens and tokens of a whole text."""
         words = text.split()
         return len(words), sum(map(self.__getitem__, words))
 
 
+def pretoken_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): the distinct pre-tokens of all texts, as bytes, and how often they occur."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[bytes] = Counter()
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                found.update((t or b"").split())
+            if len(found) > 100_000:
+                yield _words(found)
+                found.clear()
+        yield _words(found)
+
+    return map_batches(docs.select(F.col(f"`{text}`").cast("string")), counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _words(found: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+
+def estimate(docs: DataFrame, start: UnigramModel, rounds: int = 2, text: str = "text") -> UnigramModel:
+    """A model of the pieces of ``start`` with frequencies from all of ``docs``.
+
+    Rounds of hard expectation maximisation over the distinct pre-tokens, which
+    grow with the corpus; only one number for each piece of the vocabulary comes to the driver.
+    Null and empty texts add nothing; with no texts all pieces are alike.
+    """
+    words, model = materialise(pretoken_counts(docs, text), "pretokens"), start
+    for _ in range(rounds):
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+
+        def used(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            trie, uses = TrieCounter(sent.value), Counter()
+            for batch in batches:
+                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    pieces, n_bytes = trie.segments(word)
+                    for p in pieces:
+                        uses[p] += n
+                    uses[""] += n_bytes * n
+            yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.string()), pa.array(list(uses.values()), pa.int64())], names=["piece", "n"])
+
+        rows = map_batches(words, used, "piece string, n long", 4096).groupBy("piece").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
+        uses = {r["piece"]: r["n"] for r in rows}
+        n_bytes = uses.pop("", 0)
+        model = model.reestimated(uses, n_bytes)
+    return model
+
+
 def count_tokens(docs: DataFrame, model: UnigramModel, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Every row of ``docs`` with ``n_pretokens`` and ``n_tokens``.
 
     Pre-tokens are the runs of other than ASCII white space, each with a space
-    mark in front. Null and empty texts have none. A segmentation of the
+    mark in front. Null and empty texts have none; very long texts and pre-tokens
+    are counted whole. A segmentation of the
     highest score counts, of those with equal scores the one with the fewest
     pieces. Other columns stay, save those with the names of new ones; repeated
     rows count alike; an empty table gives an empty result.

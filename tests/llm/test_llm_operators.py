@@ -452,3 +452,43 @@ def test_huge_and_tiny_vectors(spark):
     rows = [(1, [1e300, 1e300], "a"), (2, [2e300, 2e300], "a"), (3, [1e-310, 1e-310], "a"), (4, [1e300, -1e300], "a")]
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
     assert got == {1: 2, 2: 2, 3: 2, 4: 0}
+
+
+def test_estimated_unigram_model(documents, no_documents):
+    """Two rounds against plain Python over every pre-token of every text, the long ones too."""
+    start = token_counts.UnigramModel.from_sentencepiece(PIECES)
+    words = Counter(w for r in documents.collect() for w in words_of(r["text"]))
+
+    def best(word, model):
+        word = "▁" + word
+        states = [(0.0, 0, 0)]
+        for end in range(1, len(word) + 1):
+            options = [(states[a][0] + model.pieces[word[a:end]], -states[a][1] - 1, end - a) for a in range(max(0, end - model.longest), end) if word[a:end] in model.pieces]
+            if word[end - 1] not in model.pieces:
+                size = len(word[end - 1].encode())
+                options.append((states[-1][0] + size * model.byte_score, -states[-1][1] - size, 0))
+            s, n, last = max(options, key=lambda x: (x[0], x[1]))
+            states.append((s, -n, last))
+        return word, states
+
+    model = start
+    for _ in range(2):
+        uses, n_bytes = Counter(), 0
+        for w, n in words.items():
+            word, states = best(w, model)
+            end = len(word)
+            while end:
+                last = states[end][2]
+                if last:
+                    uses[word[end - last : end]] += n
+                else:
+                    n_bytes += n * len(word[end - 1].encode())
+                end -= last or 1
+        model = model.reestimated(uses, n_bytes)
+    got = token_counts.estimate(documents, start)
+    assert got.byte_score == pytest.approx(model.byte_score)
+    assert max(abs(got.pieces[p] - x) for p, x in model.pieces.items()) < 1e-9
+    counted = {(r["doc_id"], r["text"]): r["n_tokens"] for r in token_counts.count_tokens(documents, got).collect()}
+    for (_, text), n in counted.items():
+        assert n == sum(best(w, model)[1][-1][1] for w in words_of(text))
+    assert token_counts.estimate(no_documents, start).pieces.keys() == start.pieces.keys()

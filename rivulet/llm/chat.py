@@ -3,9 +3,10 @@
 For each participant the whole dialogue is rendered with that speaker as the
 assistant and all others as named users. The result has one row for each
 message of each rendering: its text, where it stands in the rendering, and which
-characters of it are to be learned. Rendering positions are running sums in two
-steps, within chunks of turns and over the chunks of a dialogue, so even one
-endless dialogue is never gathered in a single task.
+characters of it are to be learned. Rendering positions are running sums in three
+steps: over the chunks of turns of a dialogue, within a chunk over its turns, speakers and
+beginnings of hashes, and within these over messages. So neither one endless
+dialogue nor one turn with endless messages is gathered in a single task.
 """
 
 from __future__ import annotations
@@ -13,50 +14,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.llm.common import lookup, materialise
+
 SYSTEM = "system"
 END = "<|end|>\n"
 #: Turns in a chunk.
 CHUNK = 64
 
 
+def escaped(text: F.Column) -> F.Column:
+    """The text with one more bar after each ``<|``, so that it holds no mark; taking the bar out again gives the text back."""
+    return F.replace(text, F.lit("<|"), F.lit("<||"))
+
+
+def casts(rows: DataFrame) -> DataFrame:
+    """(dialogue, n, cast) from (dialogue, speaker): the speakers of each dialogue with their names, and its rows.
+
+    A name has letters, digits, ``_`` and ``-``. Of several speakers of a dialogue that would have
+    the same one, the second and later ones, in code-point order, get ``.2`` and so on.
+    """
+    people = rows.groupBy("dialogue", "speaker").agg(F.count("*").alias("rows")).withColumn("safe", F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_"))
+    k = F.row_number().over(Window.partitionBy("dialogue", "safe").orderBy("speaker"))
+    named = people.select("dialogue", "rows", "speaker", F.when(k == 1, F.col("safe")).otherwise(F.concat_ws(".", "safe", k.cast("string"))).alias("name"))
+    return named.groupBy("dialogue").agg(F.sum("rows").alias("n"), F.collect_list(F.struct("speaker", "name")).alias("cast"))
+
+
 def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(conv_id, perspective, seq, turn, speaker, segment, start, end, mask_start, mask_end).
 
-    ``turns`` has conv_id, turn, role and text; other columns are left aside.
+    ``turns`` has conv_id, turn, role and text; other columns are left aside, whatever their names.
     The concatenation of a rendering's segments by ``seq`` is its text; ``start`` and
     ``end`` count its characters, and [mask_start, mask_end) is what to learn: text
     and end mark (without its line end) of the assistant's messages, nothing (mask_start = mask_end) of
-    others. A null role is the speaker ``unknown``; ``system`` messages are part
+    others. Marks within a text are escaped. A null role is the speaker ``unknown``; ``system`` messages are part
     of each rendering but no point of view, so a dialogue of system
-    messages alone has none. A null text is empty. Null turns come first;
-    messages with the same turn are in the order of speaker and text; repeated
+    messages alone has none. A null text is empty; a very long one is one segment. Null turns come first;
+    messages with the same turn are in the order of speaker and of the md5 of their text; repeated
     messages are repeated. A null conv_id is one dialogue. An empty table
     gives an empty result.
     """
     speaker = F.coalesce(F.col("role").cast("string"), F.lit("unknown"))
-    rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), speaker.alias("speaker"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("copies"))
-    speakers = rows.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    seen = rows.alias("r").join(speakers.alias("p"), F.col("r.conv_id").eqNullSafe(F.col("p.conv_id"))).select("r.*", "perspective")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), speaker.alias("speaker"), text.alias("text"), F.md5(text).alias("h"))
+    rows = rows.groupBy("conv_id", "turn", "speaker", "h").agg(F.count("*").alias("copies"), F.min("text").alias("text"))
+    rows = materialise(rows.withColumn("dialogue", F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"))), "messages")
+    seen = lookup(rows, materialise(casts(rows.select("dialogue", "speaker")), "casts"), "dialogue", rows.count()).drop("dialogue")
+    own_name = F.expr("filter(cast, x -> x.speaker = speaker)[0].name")
+    seen = seen.withColumn("name", own_name).select("*", F.explode(F.expr(f"transform(filter(cast, x -> x.speaker <> '{SYSTEM}'), x -> x.speaker)")).alias("perspective")).drop("cast")
     own = F.col("speaker") == F.col("perspective")
-    name = F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_")
-    head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
-    seen = seen.withColumns({"segment": F.concat(head, "text", F.lit(END)), "head": F.char_length(head).cast("bigint"), "own": own})
-    seen = seen.drop("text").withColumn("n", F.char_length("segment").cast("bigint")).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**62))))
-    key = ["conv_id", "perspective"]
-    sums = seen.groupBy(*key, "chunk").agg(F.sum(F.col("n") * F.col("copies")).alias("n"), F.sum("copies").alias("k"))
-    before = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    offsets = sums.select(
-        F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("chunk").alias("h"), F.coalesce(F.sum("n").over(before), zero).alias("chars"), F.coalesce(F.sum("k").over(before), zero).alias("count")
-    )
-    within = Window.partitionBy(*key, "chunk").orderBy(F.col("turn").asc_nulls_first(), "speaker", "segment").rowsBetween(Window.unboundedPreceding, -1)
+    head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), "name", F.lit("|>\n")))
+    seen = seen.withColumns({"segment": F.concat(head, escaped(F.col("text")), F.lit(END)), "head": F.char_length(head).cast("bigint"), "own": own})
+    seen = seen.drop("text", "name").withColumn("n", F.char_length("segment").cast("bigint")).withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**62)))).withColumn("slot", F.substring("h", 1, 2))
+    key, inner, zero = ["conv_id", "perspective", "chunk"], ["turn", "speaker", "slot"], F.lit(0)
+    fine = seen.groupBy(*key, *inner).agg(F.sum(F.col("n") * F.col("copies")).alias("chars"), F.sum("copies").alias("count"))
+    coarse = fine.groupBy(*key).agg(F.sum("chars").alias("chars"), F.sum("count").alias("count"))
+
+    def before(rows: DataFrame, by: list[str], order: list, name: str, keep: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in keep], *[F.coalesce(F.sum(c).over(w), zero).alias(f"{name}_{c}") for c in ("chars", "count")])
+
+    in_turns = [F.col("turn").asc_nulls_first(), "speaker", "slot"]
+    a = before(coarse, key[:2], ["chunk"], "a", key)
+    b = before(fine, key, in_turns, "b", key + inner)
+    within = Window.partitionBy(*key, *inner).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     placed = seen.withColumns({"at": F.coalesce(F.sum(F.col("n") * F.col("copies")).over(within), zero), "nth": F.coalesce(F.sum("copies").over(within), zero)})
-    placed = placed.join(offsets, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("chunk") == F.col("h")))
+    offsets = b.join(a, [F.col(f"b_{c}").eqNullSafe(F.col(f"a_{c}")) for c in key])
+    placed = placed.join(offsets, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in key + inner])
     placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    start = F.col("chars") + F.col("at") + F.col("copy") * F.col("n")
+    start = F.col("a_chars") + F.col("b_chars") + F.col("at") + F.col("copy") * F.col("n")
     end = start + F.col("n")
+    seq = F.col("a_count") + F.col("b_count") + F.col("nth") + F.col("copy")
     return placed.select(
-        "conv_id", "perspective", (F.col("count") + F.col("nth") + F.col("copy")).alias("seq"), "turn", "speaker", "segment", start.alias("start"), end.alias("end"),
+        "conv_id", "perspective", seq.alias("seq"), "turn", "speaker", "segment", start.alias("start"), end.alias("end"),
         F.when(F.col("own"), start + F.col("head")).otherwise(end).alias("mask_start"), F.when(F.col("own"), end - F.lit(1)).otherwise(end).alias("mask_end"),
     )

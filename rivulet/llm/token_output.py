@@ -10,16 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import map_batches, materialise, scratch_path
+from rivulet.llm.shared_files import open_folder
 from rivulet.llm.tokenfile import Reader, Writer
 
 #: Distinct chunks, and parts of chunks, that a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Bytes of text in a file, and the characters by which rows of one doc_id are dealt to files.
+FILE_BYTES, START = 256 << 20, 64
 
 #: Latin letters that stand for themselves in every normal form, then ASCII marks other than the apostrophe.
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
@@ -30,18 +32,21 @@ class ChunkEncoder:
 
     A tokenizer whose tokens never hold white space gives the same ids for a
     text as for its chunks between ASCII white space, one after the other; a
-    chunk met before is looked up. ``by_chunk=False`` encodes whole texts instead.
+    chunk met before is looked up. Another tokenizer, found out by a trial, and
+    ``by_chunk=False`` encode whole texts instead.
     """
 
     def __init__(self, path: str, by_chunk: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_chunk, self.seen = Tokenizer.from_file(path), by_chunk, {}
+        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.parts: dict[str, bytes] = {}
         probe = "Ab, aB;\u00c9x? \u00e9X!"
         self.cuts = self._whole(probe) == [i for part in ("ab", ",", "ab", ";", "\u00e9x", "?", "\u00e9x", "!") for i in self._whole(part)]
+        cut = "ab  Cd\n e\t1"
+        self.by_chunk = by_chunk and self._whole(cut) == [i for part in cut.split() for i in self._whole(part)]
         marks = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark_id, self.mark = (marks[0][0], marks[0][1].content) if marks else (None, None)
 
@@ -117,33 +122,33 @@ def worker_encoder(path: str, by_chunk: bool) -> ChunkEncoder:
     return _encoders[path, by_chunk]
 
 
-def _out(uri: str) -> tuple[pafs.FileSystem, str]:
-    fs, path = pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-    fs.create_dir(path, recursive=True)
-    return fs, path
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, partitions: int | None = None, text: str = "text", by_chunk: bool = True) -> DataFrame:
     """Writes one file for each range of doc_id and returns (file, path, first_id, n_docs, n_tokens).
 
     ``folder`` must be one that all executors share, given as a URI that pyarrow
-    can open. Rows are dealt by doc_id to ``partitions`` ranges and sorted within
+    can open. Rows are dealt by doc_id to ``partitions`` ranges (by default of at
+    most about FILE_BYTES of text) and sorted within
     them, nulls first; rows with the same doc_id are in the order of their
-    texts, null and empty ones alike empty. A retried task writes the
+    texts, null and empty ones alike empty, also where they span files. Very long
+    texts are encoded whole and fill a frame of their own. A retried task writes the
     same bytes to a new name and moves it over the old one. The result is
-    written, so that reading it never writes the files again.
+    written, so that reading it never writes the files again. Other columns are left
+    aside, whatever their names; an empty table gives no files and an empty result.
     """
     spark = docs.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = partitions
+    if n is None:
+        total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES), 1)
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    dealt = dealt.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = dealt.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, START)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         part = TaskContext.get().partitionId()
-        fs, root = _out(folder)
+        fs, root = open_folder(folder)
         encoder = worker_encoder(tokenizer, by_chunk)
         temporary, path = f"{root}/_{uuid.uuid4().hex}", f"{root}/part-{part:05d}.tok"
         tail, documents, tokens = np.array([] if end_id is None else [end_id], dtype=np.uint32), 0, 0
@@ -174,7 +179,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     n = max(files.count(), 1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = _out(folder)
+        fs, _ = open_folder(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 with fs.open_input_file(row["path"]) as source:

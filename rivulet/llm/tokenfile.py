@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
@@ -34,12 +35,13 @@ FRAME_TOKENS = 1 << 18
 
 
 class Writer:
-    """Writes documents in the given order; holds one frame in memory."""
+    """Writes documents in the given order; holds one frame in memory, and 17 bytes for each document of the file."""
 
     def __init__(self, out: BinaryIO, width: int = 4, frame_tokens: int = FRAME_TOKENS, level: int = 3):
         self.out, self.dtype, self.frame_tokens = out, np.dtype(f"<u{width}"), frame_tokens
         self.compressor = zstandard.ZstdCompressor(level=level, write_content_size=True)
-        self.at, self.rows, self.ids, self.counts, self.doc_ids = 0, [], [], [], []
+        self.at, self.rows, self.ids = 0, [], []
+        self.counts, self.doc_ids, self.nulls = array("q"), array("q"), bytearray()
         self.pending = self.first = 0
         self._write(MAGIC)
 
@@ -48,7 +50,8 @@ class Writer:
         self.at += len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
+        self.doc_ids.append(doc_id or 0)
+        self.nulls.append(doc_id is None)
         self.counts.append(len(ids))
         self.ids.append(np.asarray(ids, dtype=self.dtype))
         self.pending += len(ids)
@@ -66,9 +69,7 @@ class Writer:
 
     def close(self) -> None:
         self._frame()
-        nulls = np.array([d is None for d in self.doc_ids], dtype=np.uint8)
-        numbers = np.array([d or 0 for d in self.doc_ids], dtype="<i8")
-        index = self.compressor.compress(numbers.tobytes() + np.array(self.counts, dtype="<i8").tobytes() + nulls.tobytes())
+        index = self.compressor.compress(np.array(self.doc_ids, dtype="<i8").tobytes() + np.array(self.counts, dtype="<i8").tobytes() + bytes(self.nulls))
         table = np.array(self.rows, dtype="<u8").reshape(-1, 6).tobytes()
         at = self.at
         self._write(index)
@@ -93,7 +94,10 @@ class Reader:
         raw = zstandard.ZstdDecompressor().decompress(tail[:size])
         self.counts = np.frombuffer(raw, dtype="<i8", count=documents, offset=8 * documents)
         nulls = raw[16 * documents :]
-        self.doc_ids = [None if null else int(d) for d, null in zip(np.frombuffer(raw, dtype="<i8", count=documents), nulls, strict=True)]
+        self.ids, self.nulls = np.frombuffer(raw, dtype="<i8", count=documents), np.frombuffer(nulls, dtype=np.uint8)
+
+    def doc_id(self, position: int) -> int | None:
+        return None if self.nulls[position] else int(self.ids[position])
 
     def _get(self, at: int, size: int) -> bytes:
         self.source.seek(at)
@@ -117,4 +121,4 @@ class Reader:
             ids = self.frame(k)
             starts = np.concatenate([[0], np.cumsum(self.counts[first : first + n])])
             for i in at:
-                yield int(i), self.doc_ids[i], ids[starts[i - first] : starts[i - first + 1]]
+                yield int(i), self.doc_id(i), ids[starts[i - first] : starts[i - first + 1]]

@@ -507,3 +507,90 @@ def test_chat_marks_and_names_cannot_be_forged(spark):
     assert segment[len(names["Ä"]) + 1 : -len(chat.END)].replace("<||", "<|") == forged
     assert [r["seq"] for r in mine] == list(range(len(rows)))
     assert all(text[r["start"] : r["end"]] == r["segment"] for r in mine)
+
+
+def test_one_doc_id_in_several_files(spark):
+    """Rows of one doc_id stay in the order of their texts wherever files are cut."""
+    texts = [f"{'same beginning ' * (k % 2)}text {k * 37 % 101:03d}" for k in range(100)]
+    docs = spark.createDataFrame([(7, t, 1) for t in texts], "doc_id long, text string, file long")
+    folder = scratch_path(spark, "tokens")
+    files = token_output.write_token_files(docs, folder, WORDS, partitions=6)
+    assert files.count() > 1
+    encoder = token_output.ChunkEncoder(WORDS)
+    want = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in encoder.encode(sorted(texts))]
+    got = sorted(token_output.read_token_files(files, folder).collect(), key=lambda r: r["start"])
+    assert [r["ids_crc32"] for r in got] == want
+    whole = token_output.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))  # its tokens hold spaces
+    assert not whole.by_chunk and next(iter(whole.encode(["a b  c"]))).tolist() == whole.tokenizer.encode("a b  c", add_special_tokens=False).ids
+
+
+def test_classifier_like_plain_python(spark):
+    """Features, follow-the-regularised-leader and averaging, one number at a time."""
+    import math
+
+    import xxhash
+
+    mask, bits = (1 << 64) - 1, 18
+
+    def mix(x):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 29
+
+    multipliers = [int(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+    def grams(hashes, n):
+        out = []
+        for i in range(len(hashes) - n + 1):
+            total = 0
+            for j in range(n):
+                total = mix((total + hashes[i + j] * multipliers[j]) & mask)
+            out.append(total)
+        return out
+
+    def shape(word):
+        classes = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c in "0123456789" else c for c in word)
+        out = ""
+        for c in classes:
+            out += c if not out.endswith(c * 2) else ""
+        return out
+
+    def plain_features(text):
+        words = words_of(text)
+        hashes = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+        forms = [xxhash.xxh64_intdigest(shape(w).encode(), seed=1) for w in words]
+        again = [mix(mix(0x5A4E if a == b else 0x07E2)) for a, b in zip(hashes, hashes[1:])]
+        counts = Counter(g >> (64 - bits) for g in grams(hashes, 1) + grams(hashes, 2) + grams(forms, 1) + grams(forms, 2) + again)
+        scale = classifier.SCALE / math.sqrt(sum(counts.values()) or 1)
+        return {**{k: math.sqrt(n) * scale for k, n in counts.items()}, 1 << bits: 1.0}
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"W{r.integers(50)} plain{r.integers(9)} {r.integers(1000)} ++ ++".split()[: r.integers(1, 5)]) for _ in range(60)]
+    labelled = spark.createDataFrame([(i, t, int(len(t) % 2)) for i, t in enumerate(texts)], "doc_id long, text string, label int")
+    part = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"))
+    rows = labelled.select("text", "label", part.alias("o"), F.pmod(F.floor(part / 2**20).cast("bigint"), F.lit(2)).alias("s")).collect()
+    total, weights = 0, Counter()
+    for s in (0, 1):
+        mine = sorted((x for x in rows if x["s"] == s), key=lambda x: (x["o"], x["text"], x["label"]))
+        z, n = Counter(), Counter()
+
+        def w(k):
+            return 0.0 if abs(z[k]) <= 0.02 else -(z[k] - math.copysign(0.02, z[k])) / ((1.0 + math.sqrt(n[k])) / 0.8 + 0.1)
+
+        for _ in range(2):
+            for x in mine:
+                f = plain_features(x["text"])
+                at = {k: w(k) for k in f}
+                p = 1 / (1 + math.exp(-sum(at[k] * v for k, v in f.items())))
+                for k, v in f.items():
+                    g = (p - x["label"]) * v
+                    z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / 0.8 * at[k]
+                    n[k] += g * g
+        total += len(mine)
+        for k in z:
+            weights[k] += w(k) * len(mine)
+    got = classifier.fit(labelled, shards=2, epochs=2)
+    assert max(abs(got[k] - weights[k] / total) for k in range(len(got))) < 1e-5
+    scored = {x["doc_id"]: x["score"] for x in classifier.score(labelled, got).collect()}
+    for i, t in enumerate(texts):
+        assert scored[i] == pytest.approx(1 / (1 + math.exp(-sum(float(got[k]) * v for k, v in plain_features(t).items()))), abs=1e-5)

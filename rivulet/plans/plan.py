@@ -103,18 +103,30 @@ class Dynamic:
     names: tuple[str, ...]
     by: str | None = None
     order: tuple[str, ...] = ()
+    trace: tuple[str, ...] = ()
 
+    def targets(self) -> set[str]:
+        """What is branched over, and the target that ``by`` may be read from."""
+        return {*self.names, *([self.by.partition(".")[0]] if self.by and "." in self.by else [])}
 
-def dynamic_map(*names: str, order: str | Iterable[str] = ()) -> Dynamic:
-    return Dynamic("map", names, order=_tuple(order))
 
+def dynamic_map(*names: str, order: str | Iterable[str] = (), trace: str | Iterable[str] = ()) -> Dynamic:
+    """One branch for each row of the named targets, zipped. ``trace`` names columns to remember for each branch."""
+    return Dynamic("map", names, order=_tuple(order), trace=_tuple(trace))
 
-def dynamic_cross(*names: str, order: str | Iterable[str] = ()) -> Dynamic:
-    return Dynamic("cross", names, order=_tuple(order))
 
+def dynamic_cross(*names: str, order: str | Iterable[str] = (), trace: str | Iterable[str] = ()) -> Dynamic:
+    """One branch for each combination of rows of the named targets."""
+    return Dynamic("cross", names, order=_tuple(order), trace=_tuple(trace))
 
-def dynamic_group(name: str, by: str | None = None) -> Dynamic:
-    return Dynamic("group", (name,), by=by)
+
+def dynamic_group(*names: str, by: str | None = None, order: str | Iterable[str] = (), trace: str | Iterable[str] = ()) -> Dynamic:
+    """One branch for each key, in the order of the keys' first rows; of several targets the rows are zipped.
+
+    ``by`` is a column of theirs, or ``target.column`` of another target with as
+    many rows. Traced columns should be constant within a group; the least value counts.
+    """
+    return Dynamic("group", names, by=by, order=_tuple(order), trace=_tuple(trace))
 
 
 def dynamic_combine(*_args, **_options):
@@ -133,6 +145,8 @@ class Target:
     elapsed: float | None = None
     max_expand: int | None = None
     priority: float = float("inf")
+    memory: str | None = None
+    parallel: bool = True
     custom: dict[str, Any] = field(default_factory=dict)
     name: str = ""
     bindings: dict[str, Any] = field(default_factory=dict)

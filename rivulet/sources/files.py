@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 class Files:
     def __init__(self, spark: SparkSession):
+        self.spark = spark
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
@@ -41,11 +42,14 @@ class Files:
         return True
 
     def write(self, path: str, text: str) -> None:
-        """Replaces a file; a reader sees the old or the new text."""
+        """Replaces a file in one step; a reader sees the old or the new text, whatever fails in between."""
         temporary = f"{path}.{uuid.uuid4().hex}"
         self.create(temporary, text)
-        self.delete(path)
-        self.move(temporary, path)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.jvm.org.apache.hadoop.fs.Path(path).toUri(), self.conf) if "://" in path else self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.conf)
+        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context.rename(self.jvm.org.apache.hadoop.fs.Path(temporary), self.jvm.org.apache.hadoop.fs.Path(path), options)
 
     def move(self, path: str, to: str) -> bool:
         fs, p = self._at(path)

@@ -2,7 +2,8 @@
 
 ::
 
-    objects/<hash>/          a table, or value.json for a plain value
+    objects/<hash>/          a table, value.json for a plain value, or files.json for watched files
+    memo/<key>.json          results of ``memo``
     meta/<target>.json       the latest metadata of a target
     progress/<target>.json   its latest status
     history/<time>-<id>.json one entry for each build, never changed
@@ -21,9 +22,11 @@ import json
 import pickle
 import time
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rivulet.functions.fingerprint import table_fingerprint
 from rivulet.plans.deps import digest
@@ -101,6 +104,11 @@ class Store:
     def cache_log(self) -> DataFrame:
         return self.metas().select("hash", "format", "target")
 
+    def write_cache_log(self, path: str) -> None:
+        """The cache log as one CSV text, a line for each target by name, for version control."""
+        rows = sorted((str(r["target"]), str(r["hash"]), str(r["format"])) for r in self.cache_log().collect())  # a line for each target of the plan
+        self.files.write(path, "hash,format,target\n" + "".join(f"{h},{f},{t}\n" for t, h, f in rows))
+
     def record(self, meta: dict) -> None:
         """Metadata of a build: first its history, then what makes it current."""
         self._put("history", f"{time.time():.6f}-{uuid.uuid4().hex[:8]}", meta)
@@ -126,6 +134,10 @@ class Store:
             (writer.option("header", True) if kind == "csv" else writer).save(f"{temporary}/table")
             self.files.create(f"{temporary}/schema.json", json.dumps({"format": kind, "schema": value.schema.jsonValue()}))
             hash_ = table_fingerprint(self._table(temporary))
+        elif format_ == "file":
+            record = self._watched(value)
+            self.files.create(f"{temporary}/files.json", json.dumps(record))
+            hash_ = digest("file", json.dumps(record, sort_keys=True))
         else:
             text = base64.b64encode(pickle.dumps(value)).decode()
             self.files.create(f"{temporary}/value.json", json.dumps({"pickle": text}))
@@ -141,8 +153,26 @@ class Store:
         reader = self.spark.read.schema(StructType.fromJson(about["schema"])).format(about["format"])
         return (reader.option("header", True) if about["format"] == "csv" else reader).load(f"{at}/table")
 
+    def _watched(self, value: Any) -> dict:
+        """The paths that a command of format ``file`` returned, with their fingerprints; all must exist."""
+        paths = [value] if isinstance(value, str) else list(value or [])
+        if any(not isinstance(p, str) for p in paths):
+            raise TypeError("a target of format file must return a path or a list of paths")
+        found = {p: self.files.fingerprint(p) for p in paths}
+        if missing := [p for p, h in found.items() if h is None]:
+            raise FileNotFoundError(f"files that were returned do not exist: {', '.join(missing)}")
+        return {"paths": paths, "single": isinstance(value, str), "fingerprints": found}
+
+    def files_changed(self, hash_: str) -> bool:
+        """Whether a file that the object of format ``file`` names has changed or gone."""
+        at = f"{self.path}/objects/{hash_}/files.json"
+        return self.files.exists(at) and any(self.files.fingerprint(p) != h for p, h in json.loads(self.files.read(at))["fingerprints"].items())
+
     def get(self, hash_: str) -> Any:
         at = f"{self.path}/objects/{hash_}"
+        if self.files.exists(f"{at}/files.json"):
+            record = json.loads(self.files.read(f"{at}/files.json"))
+            return record["paths"][0] if record["single"] else record["paths"]
         if self.files.exists(f"{at}/value.json"):
             return pickle.loads(base64.b64decode(json.loads(self.files.read(f"{at}/value.json"))["pickle"]))
         return self._table(at)
@@ -152,10 +182,43 @@ class Store:
         value = self.get(self.diagnose(target)["hash"])
         return value.where(value["_branch"].isin(branches)) if branches is not None else value
 
-    def load(self, *targets: str) -> None:
-        """Registers tables as temporary views."""
-        for t in targets:
+    def load(self, *targets: str, select: Callable[[str], bool] | None = None) -> list[str]:
+        """Registers tables as temporary views: the named ones, and those stored whose name ``select`` accepts."""
+        chosen = list(dict.fromkeys([*targets, *(n for n in (self.cached() if select else []) if select(n))]))
+        for t in chosen:
             self.read(t).createOrReplaceTempView(t)
+        return chosen
+
+    def branches(self, target: str) -> DataFrame:
+        """(_branch, subtarget, _branch_key, _occurrence, and the traced columns) of a dynamic target, a row for each branch."""
+        meta = self.diagnose(target)
+        if not meta.get("manifest"):
+            raise ValueError(f"{target} has no branches")
+        rows = self.get(meta["manifest"])
+        repeated = F.when(F.col("_occurrence") > 1, F.concat(F.lit("_"), F.col("_occurrence").cast("string"))).otherwise("")
+        name = F.concat(F.lit(f"{target}_"), F.substring("_branch_key", 1, 8), repeated)
+        return rows.withColumn("subtarget", name).select("_branch", "subtarget", *[c for c in rows.columns if c != "_branch"])
+
+    def subtargets(self, target: str, branches: list[int] | None = None) -> DataFrame:
+        """(_branch, subtarget): the names of a dynamic target's branches, or of the given ones."""
+        rows = self.branches(target).select("_branch", "subtarget")
+        return rows if branches is None else rows.where(F.col("_branch").isin(branches))
+
+    def read_trace(self, column: str, target: str) -> DataFrame:
+        """(_branch, column): what a dynamic target's traced column was for each branch."""
+        rows = self.branches(target)
+        if column not in rows.columns or column.startswith("_"):
+            raise KeyError(f"{target} has no trace of {column}")
+        return rows.select("_branch", column)
+
+    def memo(self, key: Any, command: Callable[[], Any], format_: str = "parquet") -> Any:
+        """The stored result of ``command`` for this key; runs it only the first time."""
+        name = digest("memo", repr(key))
+        found = self._get("memo", name)
+        if not found or not self.has(found["hash"]):
+            found = {"hash": self.write(command(), format_)}
+            self._put("memo", name, found)
+        return self.get(found["hash"])
 
     # housekeeping
 
@@ -183,7 +246,8 @@ class Store:
 
     def gc(self) -> list[str]:
         """Deletes objects that no metadata names; returns their fingerprints."""
-        named = {m.get("hash") for n in self._names("meta") if (m := self.meta(n))}
+        named = {m.get(k) for n in self._names("meta") if (m := self.meta(n)) for k in ("hash", "manifest")}
+        named |= {r["hash"] for n in self._names("memo") if (r := self._get("memo", n))}
         gone = [o for o in self.files.names(f"{self.path}/objects") if o not in named]
         for o in gone:
             self.files.delete(f"{self.path}/objects/{o}")
@@ -196,20 +260,32 @@ class Store:
             try:
                 value = self.get(self.meta(n)["hash"])
                 if isinstance(value, DataFrame):
-                    value.limit(1).collect()
+                    table_fingerprint(value)  # reads every row
             except Exception:
                 lost.append(n)
                 self.files.delete(f"{self.path}/meta/{n}.json")
         return lost
 
-    def import_from(self, other: Store, *targets: str) -> None:
-        """Copies targets with their metadata, but not their progress."""
-        for n in targets or other.cached():
+    def import_from(self, other: Store, *targets: str, history: bool = True) -> None:
+        """Copies targets with their metadata and their history, but not their progress."""
+        chosen = list(targets or other.cached())
+        for n in chosen:
             meta = other.diagnose(n)
-            if not self.has(meta["hash"]):
-                value = other.get(meta["hash"])
-                self.write(value, meta.get("format") or "parquet")
+            for hash_, format_ in ((meta["hash"], meta.get("format") or "parquet"), (meta.get("manifest"), "parquet")):
+                if hash_ and not self.has(hash_):
+                    self.write(other.get(hash_), format_)
             self._put("meta", n, meta)
+            if meta.get("recovery_key"):
+                self._put("recover", meta["recovery_key"], meta)
+        for n in other._names("history") if history else []:
+            if (entry := other._get("history", n)) and entry["target"] in chosen:
+                self._put("history", n, entry)
+
+    def export_to(self, path: str, *targets: str) -> Store:
+        """A store elsewhere with these targets, or all."""
+        other = Store(self.spark, path)
+        other.import_from(self, *targets)
+        return other
 
 
 def find_store(files: Files, start: str, name: str = ".rivulet") -> str | None:

@@ -234,7 +234,8 @@ def neighbourhoods(placed: DataFrame, reps: DataFrame, low: float) -> DataFrame:
     """(id, component) of texts loosely tied to others."""
     small = placed.where(F.col("size") <= BLOCK).select("rep", "key")
     signed = small.join(reps.select("rep", "sig"), "rep").groupBy("key").agg(F.collect_list(F.struct("rep", "sig")).alias("members"))  # at most BLOCK
-    ties = map_batches(signed.select("members"), _tied(low), "a long, b long", 64)
+    # written, so that a task never needs a second Python worker for what components() does next
+    ties = materialise(map_batches(signed.select("members"), _tied(low), "a long, b long", 64), "ties")
     stars = placed.where((F.col("size") > BLOCK) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
     return components(ties.unionByName(stars))
 

@@ -41,3 +41,13 @@ def make_unique(names: list[str]) -> list[str]:
 def branch_name(parent: str, *columns: str | Column) -> Column:
     """Parent, underscore, and eight digits of the content's md5."""
     return F.concat(F.lit(parent + "_"), F.substring(F.md5(F.concat_ws(" ", *columns)), 1, 8))
+
+
+def crop(text: str, length: int = 20) -> str:
+    """At most ``length`` characters, the last three dots if something was cut."""
+    return text if len(text) <= length else text[: max(length - 3, 0)] + "..."
+
+
+def wrap(text: str, width: int) -> str:
+    """Lines of at most ``width`` characters, cut wherever that falls; for names on drawings."""
+    return "\n".join(text[i : i + width] for i in range(0, len(text), width))

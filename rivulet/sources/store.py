@@ -82,24 +82,31 @@ class Store:
         """Targets that have a stored value."""
         return [n for n in self._names("meta") if (m := self.meta(n)) and m.get("hash") and self.has(m["hash"])]
 
+    def _records(self, kind: str, schema: str) -> DataFrame:
+        """All records of a kind, read by the executors."""
+        path = f"{self.path}/{kind}"
+        if not self.files.exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("pathGlobFilter", "*.json").json(path)
+
     def progress(self, *statuses: str) -> DataFrame:
-        rows = [(n, r["status"], float(r["at"])) for n in self._names("progress") if (r := self._get("progress", n))]
-        return self.spark.createDataFrame([r for r in rows if not statuses or r[1] in statuses], "target string, status string, at double")
+        rows = self._records("progress", "target string, status string, at double")
+        return rows.where(F.col("status").isin(*statuses)) if statuses else rows
 
     def set_progress(self, target: str, status: str) -> None:
-        self._put("progress", target, {"status": status, "at": time.time()})
+        self._put("progress", target, {"target": target, "status": status, "at": time.time()})
 
     def metas(self) -> DataFrame:
-        names = [f.split()[0] for f in META.split(", ")]
-        rows = [tuple(m.get(k) for k in names) for n in self._names("meta") if (m := self.meta(n))]
-        return self.spark.createDataFrame(rows, META)
+        return self._records("meta", META)
 
     def history(self) -> DataFrame:
         """Every build, oldest first, and whether its result is still stored and is the current one."""
-        entries = [r for n in self._names("history") if (r := self._get("history", n))]
-        now = {n: m.get("hash") for n in self._names("meta") if (m := self.meta(n))}
-        rows = [(e["target"], float(e["built"]), e["hash"], e["command"], e.get("elapsed"), e.get("seed"), bool(e["hash"]) and self.has(e["hash"]), bool(e["hash"]) and now.get(e["target"]) == e["hash"]) for e in entries]
-        return self.spark.createDataFrame(rows, "target string, built double, hash string, command string, elapsed double, seed long, exists boolean, current boolean").orderBy("built", "target")
+        rows = self._records("history", "target string, built double, hash string, command string, elapsed double, seed long")
+        stored = self.spark.createDataFrame([(n,) for n in self.files.names(f"{self.path}/objects")], "hash string").withColumn("_stored", F.lit(True))
+        now = self.metas().select("target", F.col("hash").alias("_now"))
+        rows = rows.join(stored, "hash", "left").join(now, "target", "left")
+        is_now = F.coalesce(F.col("_now") == F.col("hash"), F.lit(False))
+        return rows.select("target", "built", "hash", "command", "elapsed", "seed", F.coalesce("_stored", F.lit(False)).alias("exists"), is_now.alias("current")).orderBy("built", "target")
 
     def cache_log(self) -> DataFrame:
         return self.metas().select("hash", "format", "target")
@@ -246,8 +253,8 @@ class Store:
 
     def gc(self) -> list[str]:
         """Deletes objects that no metadata names; returns their fingerprints."""
-        named = {m.get(k) for n in self._names("meta") if (m := self.meta(n)) for k in ("hash", "manifest")}
-        named |= {r["hash"] for n in self._names("memo") if (r := self._get("memo", n))}
+        named = {h for r in self._records("meta", "hash string, manifest string").collect() for h in r}  # two for each target of the plan
+        named |= {r["hash"] for r in self._records("memo", "hash string").collect()}
         gone = [o for o in self.files.names(f"{self.path}/objects") if o not in named]
         for o in gone:
             self.files.delete(f"{self.path}/objects/{o}")

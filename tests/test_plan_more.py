@@ -97,3 +97,26 @@ def test_notebooks_and_scripts(tmp_path):
 def test_text_helpers():
     assert crop("a" * 30, 10) == "aaaaaaa..." and crop("short", 10) == "short"
     assert wrap("abcdefgh", 3) == "abc\ndef\ngh"
+
+
+def test_functions_of_own_modules_are_tracked(tmp_path, monkeypatch):
+    import importlib
+    import sys
+
+    from rivulet.plans.deps import function_fingerprint
+
+    monkeypatch.syspath_prepend(str(tmp_path))
+    prints = []
+    for body in ("return 1", "return 2"):
+        (tmp_path / "own_helpers.py").write_text(f"def used():\n    {body}\n\n\ndef unused():\n    return 0\n")
+        (tmp_path / "own_command.py").write_text("import own_helpers\n\n\ndef command():\n    return own_helpers.used()\n")
+        for name in ("own_helpers", "own_command"):
+            sys.modules.pop(name, None)
+        importlib.invalidate_caches()
+        import linecache
+
+        linecache.clearcache()
+        prints.append(function_fingerprint(importlib.import_module("own_command").command))
+        for cached in (tmp_path / "__pycache__").glob("*"):
+            cached.unlink()
+    assert prints[0] != prints[1]

@@ -26,7 +26,7 @@ def statuses(engine: Engine) -> dict[str, str]:
 
 
 def graph_info(engine: Engine, start: set[str] | None = None, order: int | None = None, mode: str = "all", targets_only: bool = True, clusters: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). Nodes: id, status, type, level, x, y, seconds; edges: from, to.
+    """(nodes, edges). Nodes: id, status, type, level, x, y, seconds, branches; edges: from, to.
 
     ``start``, ``order`` and ``mode`` (in, out, all) keep a neighbourhood;
     ``clusters`` names the group that each of its targets is drawn as.
@@ -72,9 +72,9 @@ def graph_info(engine: Engine, start: set[str] | None = None, order: int | None
         x = -1.0 + 2.0 * level[n] / top if top else 0.0
         y = -1.0 + 2.0 * same.index(n) / (len(same) - 1) if len(same) > 1 else 0.0
         meta = engine.store.meta(n) or {}
-        rows.append((n, status[n], kind.get(n, "object"), level[n], x, y, meta.get("elapsed")))
+        rows.append((n, status[n], kind.get(n, "object"), level[n], x, y, meta.get("elapsed"), meta.get("branches")))
     spark = engine.spark
-    nodes = spark.createDataFrame(rows, "id string, status string, type string, level int, x double, y double, seconds double")
+    nodes = spark.createDataFrame(rows, "id string, status string, type string, level int, x double, y double, seconds double, branches long")
     return nodes, spark.createDataFrame(edges, "`from` string, `to` string")
 
 
@@ -132,6 +132,11 @@ def deps_table(engine: Engine, name: str) -> DataFrame:
     return engine.spark.createDataFrame(rows, "name string, type string")
 
 
+def deps_of_report(path: str) -> list[tuple[str, str]]:
+    """(name, type) of what the code of a report reads."""
+    return [(n, "target") for n in d.report_targets(path)]
+
+
 def deps_of_code(code) -> list[tuple[str, str]]:
     """(name, type) of what a function or SQL text mentions."""
     if isinstance(code, str):

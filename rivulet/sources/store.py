@@ -227,6 +227,14 @@ class Store:
             self._put("memo", name, found)
         return self.get(found["hash"])
 
+    def object_path(self, target: str) -> str:
+        """The folder that holds a target's value."""
+        return f"{self.path}/objects/{self.diagnose(target)['hash']}"
+
+    def tempfile(self, suffix: str = "") -> str:
+        """A new path beside the store's objects, so that what is written there can be moved cheaply; ``gc`` removes it."""
+        return f"{self.path}/objects/_{uuid.uuid4().hex}{suffix}"
+
     # housekeeping
 
     def lock(self) -> None:

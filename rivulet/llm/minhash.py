@@ -447,7 +447,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFram
     folded = materialise(signed.groupBy("copy").agg(F.min(F.struct("doc_id", "sig", "bytes")).alias("x"), F.count("*").alias("n")), "texts")
     reps = folded.select("copy", F.col("x.doc_id").alias("rep"), "x.sig", "x.bytes")
     again = folded.where("n > 1").select("copy", F.col("x.doc_id").alias("rep"), "n")
+    again = materialise(again, "repeated")
     copies = lookup(signed.select("doc_id", "copy"), again, "copy", signed.count()).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copies = materialise(copies, "copies")
     repeats = not signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     placed = buckets(reps)
     near = neighbourhoods(placed, reps, low)

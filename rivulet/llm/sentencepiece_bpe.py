@@ -26,7 +26,7 @@ from rivulet.llm.common import map_batches
 SPACE = "▁"
 NO_PAIR = np.int64(1) << 60
 #: Words that a task remembers before it starts afresh, and how long they may be for that.
-REMEMBERED, LONG = 120_000, 64
+REMEMBERED, LONG = 60_000, 64
 
 
 class BpeModel:
@@ -209,8 +209,8 @@ class Encoder:
         split = [self.words(t) for t in texts]
         new = list({w for words in split for w in words if w not in seen})
         long = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
             for w, ids in zip(part, self.model.encode_words(part), strict=True):
                 (seen if len(w) <= LONG else long)[w] = ids.astype(np.int32).tobytes()  # far smaller than a list
         return [np.frombuffer(b"".join([seen[w] if w in seen else long[w] for w in words]), dtype=np.int32) for words in split]

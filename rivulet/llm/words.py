@@ -52,7 +52,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word given as bytes; remembers a bounded number of short words."""
 
-    LIMIT, LONG = 120_000, 64
+    LIMIT, LONG = 60_000, 64
 
     def __missing__(self, word: bytes) -> int:
         value = self.hash(word)

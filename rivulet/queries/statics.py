@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 from rivulet.functions.names import sanitize_name, with_unique_names
 from rivulet.operators import branching as b
 from rivulet.operators import planalgebra as pa
+from rivulet.plans.inline import evaluate
+from rivulet.plans.plan import Plan, Target, combine_, cross_, map_
+from rivulet.plans.wildcards import reduce_plan
 from rivulet.queries import query
 from rivulet.queries.branches import money
 
 
+TOTAL = "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total"
+
+
 @query("static_map_grid", "SELECT 'f_' || n_name || '_' || n_regionkey AS target, 'f(' || n_name || ', ' || n_regionkey || ')' AS command FROM nation")
 def static_map_grid(t):
     return pa.map_grid(t.nation, "f", ["n_name", "n_regionkey"])
@@ -49,18 +55,33 @@ def slice_cols(t):
 
 @query("static_combine", "SELECT count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM orders")
 def static_combine(t):
-    parts = [t.orders.where(F.pmod("o_orderkey", F.lit(3)) == i) for i in range(3)]
-    return b.bind(*parts).agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).cast("decimal(28,2)").alias("total"))
+    plan = Plan(
+        piece=Target("SELECT * FROM orders WHERE pmod(o_orderkey, 3) = i", map_(i=[0, 1, 2])),
+        whole=Target(f"SELECT count(*) AS n, {TOTAL} FROM piece", combine_("piece")),
+    )
+    return evaluate(plan, t.spark, "whole", orders=t.orders)
 
 
 @query("static_combine_by", "SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM orders GROUP BY 1")
 def static_combine_by(t):
-    return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).cast("decimal(28,2)").alias("total"))
+    """A family for each status and piece, combined by status."""
+    statuses = [f"'{r[0]}'" for r in t.orders.select("o_orderstatus").distinct().collect()]  # what to branch over
+    plan = Plan(
+        piece=Target("SELECT * FROM orders WHERE o_orderstatus = st AND pmod(o_orderkey, 2) = i", cross_(st=statuses, i=[0, 1])),
+        each=Target(f"SELECT any_value(o_orderstatus) AS o_orderstatus, count(*) AS n, {TOTAL} FROM piece", combine_("piece", by="st")),
+        all=Target("SELECT * FROM each", combine_("each")),
+    )
+    return evaluate(plan, t.spark, "all", orders=t.orders)
 
 
 @query("static_combine_multi", "SELECT nation, count(*) AS n FROM (SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1")
 def static_combine_multi(t):
-    return b.bind(t.customer.select(F.col("c_nationkey").alias("nation")), t.supplier.select(F.col("s_nationkey").alias("nation"))).groupBy("nation").agg(F.count("*").alias("n"))
+    plan = Plan(
+        c=Target("SELECT c_nationkey AS nation FROM customer WHERE pmod(c_custkey, 2) = k", map_(k=[0, 1])),
+        s=Target("SELECT s_nationkey AS nation FROM supplier WHERE pmod(s_suppkey, 2) = k", map_(k=[0, 1])),
+        people=Target("SELECT nation, count(*) AS n FROM (SELECT * FROM c UNION ALL SELECT * FROM s) GROUP BY nation", combine_("c", "s")),
+    )
+    return evaluate(plan, t.spark, "people", customer=t.customer, supplier=t.supplier)
 
 
 @query(
@@ -140,5 +161,8 @@ def reduce_by(t):
 
 @query("reduce_pairwise", "SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total, count(*) - 1 AS steps FROM customer")
 def reduce_pairwise(t):
-    """For an operation that is associative, Spark's own partial aggregation is the tree."""
-    return t.customer.agg(F.sum(money("c_acctbal")).cast("decimal(28,2)").alias("total"), (F.count("*") - 1).alias("steps"))
+    """Eight pieces reduced two by two; within a piece Spark's own partial aggregation is the tree."""
+    pieces = [{"target": f"piece_{i}", "command": f"SELECT sum(CAST(c_acctbal AS DECIMAL(18,2))) AS total, count(*) AS n FROM customer WHERE pmod(c_custkey, 8) = {i}"} for i in range(8)]
+    steps = reduce_plan(pieces, "all", begin="SELECT sum(total) AS total, sum(n) AS n FROM (SELECT * FROM ", op=" UNION ALL SELECT * FROM ", end=")")
+    plan = Plan({r["target"]: r["command"] for r in [*pieces, *steps]})
+    return evaluate(plan, t.spark, "all", customer=t.customer).select(F.col("total").cast("decimal(28,2)").alias("total"), (F.col("n") - 1).alias("steps"))

@@ -120,3 +120,15 @@ def test_functions_of_own_modules_are_tracked(tmp_path, monkeypatch):
         for cached in (tmp_path / "__pycache__").glob("*"):
             cached.unlink()
     assert prints[0] != prints[1]
+
+
+def test_plans_as_one_query(spark):
+    from rivulet.plans.inline import evaluate
+    from rivulet.plans.plan import combine_, dynamic_map, split_
+
+    plan = Plan(part=Target(lambda rows: rows.count(), split_("rows", 3)), sizes=Target(lambda part: sorted(part), combine_("part")), n="SELECT count(*) AS n FROM rows", d=Target("SELECT 1", dynamic=dynamic_map("n")))
+    rows = spark.range(10)
+    assert evaluate(plan, spark, "sizes", rows=rows) == [3, 3, 4]
+    assert evaluate(plan, spark, "n", rows=rows).first()["n"] == 10
+    with pytest.raises(ValueError, match="dynamic"):
+        evaluate(plan, spark, "d", rows=rows)

@@ -9,6 +9,7 @@ never the result.
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from dataclasses import dataclass
@@ -16,6 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm.common import scratch_path
+from rivulet.sources.files import Files
+
 _WS = r"[\\x20\\x09-\\x0D]+"
 _NON_WS = r"[^\\x20\\x09-\\x0D]"
 
@@ -88,9 +92,11 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     """
     texts = docs.select(F.col("text").cast("string").alias("text")).sample(0.2, seed=7)
     taken = texts.where("text IS NULL OR octet_length(text) < 100000").take(sample_rows)
-    # as literals of one row, because a table from local rows would start Python workers on the executors
-    literals = F.array(*[F.lit(r["text"]).cast("string") for r in taken]) if taken else F.array().cast("array<string>")
-    sample = docs.sparkSession.range(0, 1, 1, 1).select(F.explode(literals).alias("text")).withColumn("_words", F.expr(WORDS))
+    # as a file, because a table made of local rows would start Python workers on the executors
+    spark = docs.sparkSession
+    path = f"{scratch_path(spark, 'rule-sample')}/sample.json"
+    Files(spark).create(path, "".join(json.dumps({"text": r["text"]}) + "\n" for r in taken))
+    sample = spark.read.schema("text string").json(path).withColumn("_words", F.expr(WORDS))
     n = max(len(taken), 1)
 
     def timed(condition: str) -> tuple[float, int]:

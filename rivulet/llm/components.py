@@ -39,32 +39,42 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
+def _forests(edges: DataFrame) -> DataFrame:
+    """Links that join the same nodes, contracted batch by batch."""
+    return materialise(map_batches(edges, _contracted, "u long, v long", 1 << 15).distinct(), "links")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every link leads from a node with no other link to the smallest node of its component."""
+    several = edges.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").select("u")
+    between = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi")
+    return several.unionByName(between).isEmpty()
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(id, component) of every node that has a link, by alternating large and small stars.
 
     ``links`` has two columns of whole numbers. Links of a node with itself and
     links with nulls join nothing. The component is its smallest id. Batches
-    of links are contracted first; then each round points all larger neighbours
+    of links are contracted first and after each round, which points all larger neighbours
     of a node to the smallest one, and all smaller neighbours likewise, until
-    nothing changes. A round's links are written to the shared folder. The root of a
+    only stars are left. A round's links are written to the shared folder. The root of a
     giant component is in a link with all its nodes, so such nodes are joined by broadcast.
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u <> v")
-    edges = materialise(map_batches(edges, _contracted, "u long, v long", 1 << 15).distinct(), "links")
-    before, n = None, edges.count()
+    edges = _forests(edges)
     for _ in range(max_rounds):
+        if _are_stars(edges):
+            break
+        n = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
-        large = materialise(lookup(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = materialise(lookup(both, least, "u", n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         lower = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lower")
         both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        small = lookup(large, lower, "u", large.count()).select(F.explode(F.when(F.col("v") == F.col("m"), F.slice(both, 2, 1)).otherwise(both)).alias("e"))
-        edges = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before, n = after, after[0]
+        small = lookup(large, lower, "u", n).select(F.explode(F.when(F.col("v") == F.col("m"), F.slice(both, 2, 1)).otherwise(both)).alias("e"))
+        edges = _forests(small.select("e.u", "e.v").where("u <> v"))
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct()

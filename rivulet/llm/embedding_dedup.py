@@ -34,6 +34,8 @@ SHARD_ROWS, BLOCK_ROWS, SHARD_BYTES, MIN_SHARDS = 20_000, 20_000, 16 << 20, 2
 AUDITED, AUDIT_RECALL, FIRST_BEAM, MARGIN = 48, 0.995, 32, 0.05
 #: Queries whose links are held at once; beams wider than a shard's rows over this become a scan of the shard.
 STEP, SCAN = 64, 16
+#: Tasks that the units of work are dealt to at most.
+MOST_TASKS = 20_000
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -169,8 +171,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int
 
     shards, blocks = files(shard, True), files(block, False)
     # one row for each unit of work: two paths, nothing else
-    pairs = shards.withColumnRenamed("path", "shard").join(blocks.select("label", "dim", F.col("part").alias("block_part"), F.col("path").alias("block")), ["label", "dim"])
-    pairs = pairs.repartition("label", "dim", "part", "block_part").select("shard", "block")
+    pairs = shards.withColumnRenamed("path", "shard").join(blocks.select("label", "dim", F.col("path").alias("block")), ["label", "dim"])
+    pairs = materialise(pairs.select("shard", "block"), "units")
+    # by a number, so that small rows are not packed into few tasks
+    pairs = pairs.repartition(max(1, min(pairs.count(), MOST_TASKS)))
     found = materialise(map_batches(pairs, _searcher(folder, threshold), "a long, b long, n long", 1), "vector-links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     joined = components(found.where("n = 0").select("a", "b")).select(F.col("id").alias("rep"), "component")

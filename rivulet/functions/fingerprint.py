@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 
 def row_text(*columns: str | Column) -> Column:
-    """The columns as one text in which null differs from every value."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return F.concat_ws("|", *[F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string"))) for c in cols])
+    """The columns as one text, each value after its length, so that unlike rows have unlike texts; null is ``-``."""
+    texts = [(F.col(f"`{c}`") if isinstance(c, str) else c).cast("string") for c in columns]
+    return F.concat_ws("|", *[F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.char_length(c).cast("string"), F.lit(":"), c)) for c in texts])
 
 
 def row_fingerprint(*columns: str | Column) -> Column:
     return F.md5(row_text(*columns))
 
 
+def rows_fingerprint(*columns: str) -> Column:
+    """Aggregate: the fingerprint of a group as a multiset of rows."""
+    half = lambda at: F.conv(F.substring(row_fingerprint(*columns), at, 14), 16, 10).cast("decimal(38,0)")
+    return F.md5(F.concat_ws("|", F.count(F.lit(1)), F.sum(half(1)), F.sum(half(15))))
+
+
 def row_hash(*columns: str) -> Column:
     """64-bit hash; whether a value is null is hashed too, because xxhash64 skips nulls."""
     return F.xxhash64(*[x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))])

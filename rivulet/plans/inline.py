@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from rivulet.operators.branching import split
 from rivulet.plans.deps import sql_relations
 from rivulet.plans.plan import Plan, Ref, Slice
+from rivulet.plans.relations import with_frames
 
 
 def run_sql(spark: SparkSession, text: str, frames: dict[str, DataFrame]) -> DataFrame:
     """A query over frames by name. The names hold for this query only, so queries made at the same time do not meet."""
-    own = {}
-    for i, n in enumerate(sorted(frames, key=len, reverse=True)):  # a name may hold dots, a placeholder may not
-        text = re.sub(rf"(?i)\b(from|join|,)(\s+){re.escape(n)}(?![\w.])(?!\s*\()", rf"\1\2{{frame{i}}}", text)
-        own[f"frame{i}"] = frames[n]
-    return spark.sql(text, **own)
+    if not frames:
+        return spark.sql(text)
+    words = {n: f"frame{i}" for i, n in enumerate(frames)}  # a name may hold dots, a placeholder may not
+    return spark.sql(with_frames(text, words, spark), **{words[n]: x for n, x in frames.items()})
 
 
 def evaluate(plan: Plan, spark: SparkSession, name: str, **inputs: Any) -> Any:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rivulet.functions.names import make_unique, sanitize
 from rivulet.operators.branching import spaced_ordinals
+from rivulet.plans.relations import outside_literals
 
 RESERVED = {"ctx", "self", "None", "True", "False"}
 
@@ -104,29 +105,37 @@ class Dynamic:
     by: str | None = None
     order: tuple[str, ...] = ()
     trace: tuple[str, ...] = ()
+    each: str | None = None
+    explode: str | None = None
 
     def targets(self) -> set[str]:
         """What is branched over, and the target that ``by`` may be read from."""
         return {*self.names, *([self.by.partition(".")[0]] if self.by and "." in self.by else [])}
 
 
-def dynamic_map(*names: str, order: str | Iterable[str] = (), trace: str | Iterable[str] = ()) -> Dynamic:
-    """One branch for each row of the named targets, zipped. ``trace`` names columns to remember for each branch."""
-    return Dynamic("map", names, order=_tuple(order), trace=_tuple(trace))
+def dynamic_map(*names: str, order: str | Iterable[str] = (), trace: str | Iterable[str] = (), each: str | None = None, explode: str | None = None) -> Dynamic:
+    """One branch for each element of the named targets, zipped: a row of a table, a branch of a dynamic target, an item of a list or dictionary.
+
+    ``trace`` names columns to remember for each branch. A command gets the rows of all branches to
+    build as one table; with ``each``, the result's columns as DDL, it is called for each branch by itself, in the executors,
+    with the branch's rows as a pandas DataFrame (and ``seed``, if it has such a parameter). ``explode`` makes one branch of
+    each item of an array or map column.
+    """
+    return Dynamic("map", names, order=_tuple(order), trace=_tuple(trace), each=each, explode=explode)
 
 
-def dynamic_cross(*names: str, order: str | Iterable[str] = (), trace: str | Iterable[str] = ()) -> Dynamic:
-    """One branch for each combination of rows of the named targets."""
-    return Dynamic("cross", names, order=_tuple(order), trace=_tuple(trace))
+def dynamic_cross(*names: str, order: str | Iterable[str] = (), trace: str | Iterable[str] = (), each: str | None = None) -> Dynamic:
+    """One branch for each combination of elements of the named targets, the first slowest."""
+    return Dynamic("cross", names, order=_tuple(order), trace=_tuple(trace), each=each)
 
 
-def dynamic_group(*names: str, by: str | None = None, order: str | Iterable[str] = (), trace: str | Iterable[str] = ()) -> Dynamic:
+def dynamic_group(*names: str, by: str | None = None, order: str | Iterable[str] = (), trace: str | Iterable[str] = (), each: str | None = None) -> Dynamic:
     """One branch for each key, in the order of the keys' first rows; of several targets the rows are zipped.
 
     ``by`` is a column of theirs, or ``target.column`` of another target with as
     many rows. Traced columns should be constant within a group; the least value counts.
     """
-    return Dynamic("group", names, by=by, order=_tuple(order), trace=_tuple(trace))
+    return Dynamic("group", names, by=by, order=_tuple(order), trace=_tuple(trace), each=each)
 
 
 def dynamic_combine(*_args, **_options):
@@ -147,6 +156,8 @@ class Target:
     priority: float = float("inf")
     memory: str | None = None
     parallel: bool = True
+    #: Parts that a dynamic target is built and committed in, one after the other.
+    ranges: int = 1
     custom: dict[str, Any] = field(default_factory=dict)
     name: str = ""
     bindings: dict[str, Any] = field(default_factory=dict)
@@ -335,7 +346,7 @@ def _substituted(sql: str, bindings: dict[str, Any]) -> str:
             continue
         else:
             text = str(v)
-        sql = re.sub(rf"(?<![\w.'])({re.escape(k)})(?![\w'])", lambda _, t=text: t, sql)
+        sql = outside_literals(sql, k, text)
     return sql
 
 

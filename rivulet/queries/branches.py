@@ -138,15 +138,17 @@ def dyn_whole(t):
     return subtargets(t).agg(F.count("*").alias("n"), F.sum("n_nationkey").alias("total"))
 
 
-ROW_TEXT = "concat_ws('|', CASE WHEN c_name IS NULL THEN '-' ELSE '+' || c_name END, CASE WHEN c_nationkey IS NULL THEN '-' ELSE '+' || c_nationkey END, CASE WHEN c_mktsegment IS NULL THEN '-' ELSE '+' || c_mktsegment END)"
+def row_text_sql(*columns: str) -> str:
+    """SQL of the text that a row's fingerprint is of."""
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE length(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in columns) + ")"
 
 
-@query("row_fingerprint", f"SELECT c_custkey, md5({ROW_TEXT}) AS fingerprint FROM customer")
+@query("row_fingerprint", f"SELECT c_custkey, md5({row_text_sql('c_name', 'c_nationkey', 'c_mktsegment')}) AS fingerprint FROM customer")
 def row_fingerprints(t):
     return t.customer.select("c_custkey", row_fingerprint("c_name", "c_nationkey", "c_mktsegment").alias("fingerprint"))
 
 
-KEYS = """SELECT c_custkey, c_mktsegment, c_nationkey, md5(concat_ws('|', CASE WHEN c_mktsegment IS NULL THEN '-' ELSE '+' || c_mktsegment END, CASE WHEN c_nationkey IS NULL THEN '-' ELSE '+' || c_nationkey END)) AS _branch_key,
+KEYS = f"""SELECT c_custkey, c_mktsegment, c_nationkey, md5({row_text_sql("c_mktsegment", "c_nationkey")}) AS _branch_key,
  row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS _occurrence FROM customer"""
 
 

@@ -6,6 +6,9 @@
     memo/<key>.json          results of ``memo``
     meta/<target>.json       the latest metadata of a target
     progress/<target>.json   its latest status
+    partial/<target>/<key>/  committed ranges of a build that has not ended
+    branches/<target>/<key>/ which objects hold which branches, for their recovery
+    files/<key>.json         sizes, times and hashes of watched files
     history/<time>-<id>.json one entry for each build, never changed
     recover/<key>.json       the metadata of the latest build with that recovery key
     session.json, lock
@@ -27,6 +30,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructField, StructType
 
 from rivulet.functions.fingerprint import table_fingerprint
 from rivulet.plans.deps import digest
@@ -36,6 +40,37 @@ FORMATS = ("parquet", "orc", "json", "csv", "value", "file")
 META = "target string, hash string, command string, dependency_hash string, file_hash string, seed long, format string, built double, elapsed double, error string, recovery_key string"
 
 
+#: So that what is read is what was written: quotes, line ends, nulls and fields that are null.
+OPTIONS = {
+    "csv": {"header": True, "quoteAll": True, "quote": '"', "escape": '"', "multiLine": True, "emptyValue": "", "nullValue": "", "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False},
+    "json": {"ignoreNullFields": False, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+}
+
+
+def _as_csv(value: DataFrame) -> DataFrame:
+    """The table as texts: null is ``\\N``, and a backslash that begins a text is doubled, so null and the empty text differ. Of binary columns the base64, of nested ones the JSON."""
+
+    def text(name: str, kind: DataType):
+        c = F.col(f"`{name}`")
+        c = F.base64(c) if isinstance(kind, BinaryType) else F.to_json(c) if isinstance(kind, (ArrayType, MapType, StructType)) else c.cast("string")
+        return F.coalesce(F.when(c.startswith("\\"), F.concat(F.lit("\\"), c)).otherwise(c), F.lit("\\N")).alias(name)
+
+    return value.select(*[text(f.name, f.dataType) for f in value.schema.fields])
+
+
+def _from_csv(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    texts = StructType([StructField(f.name, StringType()) for f in schema.fields])
+    rows = spark.read.schema(texts).format("csv").options(**OPTIONS["csv"]).load(path)
+
+    def typed(f: StructField):
+        c = F.coalesce(F.col(f"`{f.name}`"), F.lit(""))  # the empty text
+        c = F.when(c == "\\N", None).when(c.startswith("\\\\"), F.substring(c, 2, 2**31 - 1)).otherwise(c)
+        nested = isinstance(f.dataType, (ArrayType, MapType, StructType))
+        return (F.unbase64(c) if isinstance(f.dataType, BinaryType) else F.from_json(c, f.dataType) if nested else c.cast(f.dataType)).alias(f.name)
+
+    return rows.select(*map(typed, schema.fields))
+
+
 class Locked(RuntimeError):
     pass
 
@@ -44,7 +79,7 @@ class Store:
     VERSION = 1
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark)
+        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, f"{path.rstrip('/')}/files")
         if self.files.exists(f"{self.path}/session.json"):
             if (version := json.loads(self.files.read(f"{self.path}/session.json")).get("version")) != self.VERSION:
                 raise ValueError(f"the store has format version {version}, not {self.VERSION}")
@@ -136,10 +171,11 @@ class Store:
         """Stores a value and returns its fingerprint. A table is hashed from what was written, in one pass."""
         temporary = f"{self.path}/objects/_{uuid.uuid4().hex}"
         if isinstance(value, DataFrame):
+            schema = value.schema
             kind = format_ if format_ in ("parquet", "orc", "json", "csv") else "parquet"
-            writer = value.write.format(kind)
-            (writer.option("header", True) if kind == "csv" else writer).save(f"{temporary}/table")
-            self.files.create(f"{temporary}/schema.json", json.dumps({"format": kind, "schema": value.schema.jsonValue()}))
+            value = _as_csv(value) if kind == "csv" else value
+            value.write.format(kind).options(**OPTIONS.get(kind, {})).save(f"{temporary}/table")
+            self.files.create(f"{temporary}/schema.json", json.dumps({"format": kind, "schema": schema.jsonValue()}))
             hash_ = table_fingerprint(self._table(temporary))
         elif format_ == "file":
             record = self._watched(value)
@@ -154,11 +190,11 @@ class Store:
         return hash_
 
     def _table(self, at: str) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         about = json.loads(self.files.read(f"{at}/schema.json"))
-        reader = self.spark.read.schema(StructType.fromJson(about["schema"])).format(about["format"])
-        return (reader.option("header", True) if about["format"] == "csv" else reader).load(f"{at}/table")
+        schema = StructType.fromJson(about["schema"])
+        if about["format"] == "csv":
+            return _from_csv(self.spark, schema, f"{at}/table")
+        return self.spark.read.schema(schema).format(about["format"]).options(**OPTIONS.get(about["format"], {})).load(f"{at}/table")
 
     def _watched(self, value: Any) -> dict:
         """The paths that a command of format ``file`` returned, with their fingerprints; all must exist."""
@@ -206,6 +242,17 @@ class Store:
         name = F.concat(F.lit(f"{target}_"), F.substring("_branch_key", 1, 8), repeated)
         return rows.withColumn("subtarget", name).select("_branch", "subtarget", *[c for c in rows.columns if c != "_branch"])
 
+    def branch_errors(self, target: str) -> DataFrame:
+        """(_branch, _branch_key, _occurrence, error): the branches of a dynamic target that failed in its last build."""
+        if not (found := self.diagnose(target).get("branch_errors")):
+            return self.spark.createDataFrame([], "_branch long, _branch_key string, _occurrence long, error string")
+        return self.get(found).select("_branch", "_branch_key", "_occurrence", "error")
+
+    def values(self, target: str, column: str) -> list:
+        """A column of a dynamic target as a list in the order of its branches, such as was branched over."""
+        rows = self.read(target)
+        return [r[column] for r in rows.select("_branch", column).orderBy("_branch").collect()]
+
     def subtargets(self, target: str, branches: list[int] | None = None) -> DataFrame:
         """(_branch, subtarget): the names of a dynamic target's branches, or of the given ones."""
         rows = self.branches(target).select("_branch", "subtarget")
@@ -261,7 +308,9 @@ class Store:
 
     def gc(self) -> list[str]:
         """Deletes objects that no metadata names; returns their fingerprints."""
-        named = {h for r in self._records("meta", "hash string, manifest string").collect() for h in r}  # two for each target of the plan
+        names = ("hash", "manifest", "branch_files", "branch_errors")
+        schema = ", ".join(f"{n} string" for n in names)
+        named = {h for r in self._records("meta", f"{schema}, kept struct<{schema.replace(' string', ': string')}>").collect() for h in (*r[:-1], *(r["kept"] or ()))}  # a few for each target of the plan
         named |= {r["hash"] for r in self._records("memo", "hash string").collect()}
         gone = [o for o in self.files.names(f"{self.path}/objects") if o not in named]
         for o in gone:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import lookup, map_batches, materialise
 
 
+#: Links that one task joins at most: some 50 MB in Python.
+IN_ONE_TASK = 1 << 18
+
+
 def _find(parent: dict[int, int], x: int) -> int:
     root = x
     while parent.setdefault(root, root) != root:
@@ -44,6 +48,13 @@ def _forests(edges: DataFrame) -> DataFrame:
     return materialise(map_batches(edges, _contracted, "u long, v long", 1 << 15).distinct(), "links")
 
 
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links of a task as one forest."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.empty(0, dtype=np.int64),) * 2
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every link leads from a node with no other link to the smallest node of its component."""
     several = edges.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").select("u")
@@ -51,7 +62,7 @@ def _are_stars(edges: DataFrame) -> bool:
     return several.unionByName(between).isEmpty()
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 40, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(id, component) of every node that has a link, by alternating large and small stars.
 
     ``links`` has two columns of whole numbers. Links of a node with itself and
@@ -59,15 +70,19 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     of links are contracted first and after each round, which points all larger neighbours
     of a node to the smallest one, and all smaller neighbours likewise, until
     only stars are left. A round's links are written to the shared folder. The root of a
-    giant component is in a link with all its nodes, so such nodes are joined by broadcast.
+    giant component is in a link with all its nodes, so such nodes are joined by broadcast. Once at most
+    ``in_one_task`` links are left, one task joins them; that bounds its memory and changes no component.
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u <> v")
     edges = _forests(edges)
     for _ in range(max_rounds):
+        n = 2 * edges.count()
+        if n <= 2 * in_one_task:
+            edges = materialise(edges.coalesce(1).mapInArrow(_solved, "u long, v long"), "links")
+            break
         if _are_stars(edges):
             break
-        n = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
         large = materialise(lookup(both, least, "u", n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")

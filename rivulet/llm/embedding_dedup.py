@@ -14,6 +14,7 @@ time and never held together.
 
 from __future__ import annotations
 
+import logging
 import pickle
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ from rivulet.llm.hnsw import Hnsw
 from rivulet.llm.shared_files import read_file, write_file
 from rivulet.llm.words import give_back
 
+LOG = logging.getLogger("rivulet.llm")
 #: Distinct vectors in a shard and in a block of queries, their bytes at most, and the fewest shards of a label.
 SHARD_ROWS, BLOCK_ROWS, SHARD_BYTES, MIN_SHARDS = 20_000, 20_000, 16 << 20, 2
 AUDITED, AUDIT_RECALL, FIRST_BEAM, MARGIN = 48, 0.995, 32, 0.05
@@ -46,11 +48,11 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _pack(folder: str, build: bool):
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
+        pdf = pdf.sort_values("node", kind="stable")
         first = pdf.iloc[0]
         label, dim, part = first["label"], int(first["dim"]), int(first["part"])
         unit = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]]))
-        content = {"ids": pdf["rep"].to_numpy(np.int64), "copies": pdf["copies"].to_numpy(np.int64), "vectors": unit, "graph": Hnsw(unit).dumps() if build else None}
+        content = {"ids": pdf["node"].to_numpy(np.int64), "copies": pdf["copies"].to_numpy(np.int64), "vectors": unit, "graph": Hnsw(unit).dumps() if build else None}
         # a label can hold any characters, so its bytes name the file
         path = write_file(folder, f"{label.encode().hex()[:100]}-{int(first['labelled'])}-{dim}-{part}.{'graph' if build else 'block'}", pickle.dumps(content, protocol=5))
         del content, unit
@@ -138,15 +140,26 @@ def _searcher(folder: str, threshold: float):
     return search
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _one_id(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Ties (a, b) of the nodes of each vec_id that names unlike vectors; they join components and are no links."""
+    keys = rows.where("key IS NOT NULL").select("vec_id", "key", F.xxhash64("key").alias("h"))
+    several = keys.groupBy("vec_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("vec_id")
+    nodes = keys.join(several, "vec_id", "left_semi").select("vec_id", "key").distinct().join(distinct.select("key", "node"), "key")
+    nodes = materialise(nodes.select("vec_id", "node"), "nodes-of-ids")
+    first = materialise(nodes.groupBy("vec_id").agg(F.min("node").alias("b"), F.count("*").alias("n")), "first-nodes")
+    return lookup(nodes, first, "vec_id", max(nodes.count(), 1)).select(F.col("node").alias("a"), "b").where("a <> b")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, audit: list | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
 
     Vectors that are null, all zero, or hold null or non-finite components, and
     those without a label, link with nothing and are their own components.
     So are vectors of different lengths to each other; a vector of any length counts
     whole. Copies of a vector link with each other (their cosine is 1) and with the
-    same others. n_links counts rows; a vec_id that occurs twice has two rows, alike
-    where their vectors are. Other columns are left aside; an empty table gives none.
+    same others. n_links counts rows; a vec_id that occurs twice has two rows, each with the links of its
+    own vector, in one component. ``audit`` gets a pair: how many links of sampled vectors the
+    search found, and how many there are by comparison with all of the shard. Other columns are left aside; an empty table gives none.
     """
     single = dict(vectors.dtypes)["embedding"] == "array<float>"  # half the bytes; all sums are made in double precision
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("vector"))
@@ -154,16 +167,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int
     key = F.concat_ws(":", F.xxhash64("vector"), F.xxhash64(F.lit(1), F.reverse("vector")), F.size("vector"), "label")
     rows = rows.select("vec_id", "label", "vector", F.when(F.coalesce(usable, F.lit(False)), key).alias("key"))
     distinct = rows.where("key IS NOT NULL").groupBy("key", "label").agg(F.min(F.struct("vec_id", "vector")).alias("x"), F.count("*").alias("n"))
-    distinct = materialise(distinct.select("key", "label", F.col("x.vec_id").alias("rep"), "x.vector", F.col("n").alias("copies"), F.size("x.vector").alias("dim")), "distinct-vectors")
+    # a vec_id may name several vectors, so nodes have numbers of their own, fixed once written
+    distinct = distinct.select("key", "label", F.col("x.vec_id").alias("rep"), "x.vector", F.col("n").alias("copies"), F.size("x.vector").alias("dim"))
+    distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")
     sizes = distinct.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("fit", F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
     sizes = sizes.withColumn("labelled", F.xxhash64("label"))
-    group = distinct.select("rep", "copies", "vector", F.concat_ws(":", "dim", "label").alias("group"))
+    group = distinct.select("node", "copies", "vector", F.concat_ws(":", "dim", "label").alias("group"))
     groups = sizes.select(F.concat_ws(":", "dim", "label").alias("group"), "n", "label", "dim", "fit", "labelled", F.col("n").alias("many"))
     groups = materialise(groups, "groups")
     dealt = lookup(group, groups, "group", distinct.count()).drop("group")
-    shard = F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(F.col("many") / F.least(F.lit(shard_rows), "fit")), F.lit(MIN_SHARDS)).cast("bigint"))
-    block = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("many") / F.least(F.lit(block_rows), "fit")).cast("bigint"))
-    columns, packed, folder = ["label", "labelled", "dim", "part", "rep", "copies", "vector"], "label string, dim int, part long, path string", scratch_path(vectors.sparkSession, "graphs")
+    shard = F.pmod(F.xxhash64("node"), F.greatest(F.ceil(F.col("many") / F.least(F.lit(shard_rows), "fit")), F.lit(MIN_SHARDS)).cast("bigint"))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("many") / F.least(F.lit(block_rows), "fit")).cast("bigint"))
+    columns, packed, folder = ["label", "labelled", "dim", "part", "node", "copies", "vector"], "label string, dim int, part long, path string", scratch_path(vectors.sparkSession, "graphs")
 
     def files(part: F.Column, build: bool) -> DataFrame:
         grouped = dealt.withColumn("part", part).select(*columns).groupBy("label", "dim", "part").applyInPandas(_pack(folder, build), packed)
@@ -172,14 +187,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_rows: int
     shards, blocks = files(shard, True), files(block, False)
     # one row for each unit of work: two paths, nothing else
     pairs = shards.withColumnRenamed("path", "shard").join(blocks.select("label", "dim", F.col("path").alias("block")), ["label", "dim"])
-    pairs = materialise(pairs.select("shard", "block"), "units")
-    # by a number, so that small rows are not packed into few tasks
-    pairs = pairs.repartition(max(1, min(pairs.count(), MOST_TASKS)))
+    pairs = materialise(pairs.select("shard", "block").withColumn("unit", F.monotonically_increasing_id()), "units")
+    # by ranges of a number, so that small rows are not packed into few tasks
+    pairs = pairs.repartitionByRange(max(1, min(pairs.count(), MOST_TASKS)), "unit").select("shard", "block")
     found = materialise(map_batches(pairs, _searcher(folder, threshold), "a long, b long, n long", 1), "vector-links")
-    counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    joined = components(found.where("n = 0").select("a", "b")).select(F.col("id").alias("rep"), "component")
-    state = distinct.select("key", "rep", "copies").join(counts, "rep", "left").join(joined, "rep", "left")
-    state = materialise(state.select("key", F.col("copies").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-states")
+    hit, want = found.where("n = -1").agg(F.sum("a"), F.sum("b")).first()
+    LOG.info("audit: %s of %s links of sampled vectors found", hit or 0, want or 0)
+    if audit is not None:
+        audit.append((hit or 0, want or 0))
+    counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    state = components(found.where("n = 0").select("a", "b").unionByName(_one_id(rows, distinct)))
+    joined = distinct.select("node", "key", "rep", "copies").join(state.select(F.col("id").alias("node"), "component"), "node", "left").join(counts, "node", "left")
+    joined = materialise(joined.withColumn("component", F.coalesce("component", "node")), "joined-vectors")
+    least = materialise(joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "components")
+    state = lookup(joined, least, "component", joined.count())
+    state = materialise(state.select("key", F.col("copies").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "vector-states")
     linked = lookup(rows.where("key IS NOT NULL").select("vec_id", "key"), state, "key", vectors.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("key IS NULL").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from rivulet.llm.words import WordHashes, mixed, ngrams, texts_of
 BANDS, ROWS, SHINGLE = 15, 4, 5
 #: Slots of shingles; how much more the rarest shingle weighs than one of every document.
 IDF_BITS, IDF_RANGE = 20, 0.5
+#: What tasks counted is added up in so many lanes first.
+LANES = 64
 #: Slots travel in rows of so many.
 _ROW = 1 << 10
 #: Texts compared in one task, and their bytes; hubs of a neighbourhood.
@@ -66,13 +69,19 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         rows = total.reshape(-1, _ROW)
         at = np.flatnonzero(rows.any(axis=1))
         counts = [r.tobytes() for r in rows[at]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array([*counts, np.array([n], dtype=np.int32).tobytes()], pa.binary())], names=["at", "counts"])
+        task = TaskContext.get().partitionId() % LANES
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array([task] * (len(at) + 1), pa.int32()), pa.array([*counts, np.array([n], dtype=np.int32).tobytes()], pa.binary())], names=["at", "lane", "counts"])
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": pdf["at"].head(1), "counts": [sum(np.frombuffer(c, dtype="i4").astype(np.int64) for c in pdf["counts"]).tobytes()]})
+    def adder(kind: str):
+        def added(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"at": pdf["at"].head(1), "counts": [sum(np.frombuffer(c, dtype=kind).astype(np.int64) for c in pdf["counts"]).tobytes()]})
 
-    partial = map_batches(docs.select("text"), counted, "at long, counts binary")
-    rows = partial.groupBy("at").applyInPandas(added, "at long, counts binary").collect()  # bounded by the slots
+        return added
+
+    partial = map_batches(docs.select("text"), counted, "at long, lane int, counts binary")
+    # in two steps, so that what all tasks counted of a slot never meets in one group
+    lanes = partial.groupBy("at", "lane").applyInPandas(adder("i4"), "at long, counts binary")
+    rows = lanes.groupBy("at").applyInPandas(adder("i8"), "at long, counts binary").collect()  # bounded by the slots
     df, n = np.zeros((1 << IDF_BITS) // _ROW * _ROW, dtype=np.int64).reshape(-1, _ROW), 0
     for r in rows:
         counts = np.frombuffer(r["counts"], dtype=np.int64)

@@ -11,4 +11,4 @@ from rivulet.llm.minhash import near_duplicate_classes
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return classes.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

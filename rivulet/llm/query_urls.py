@@ -9,18 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import materialise, table
-from rivulet.llm.url_filter import MAX_DEPTH, filter_urls, url_keys
+from rivulet.llm.common import lookup, materialise, table
+from rivulet.llm.url_filter import filter_urls, url_keys
 
 NUMBER = r"try_cast(regexp_extract(path, '/([0-9]{1,18})([.][A-Za-z]+)?/?$', 1) AS BIGINT)"
 
 
 def page_labels(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """(_key, n_labelled, n_bad) of pages (_key, path); pages of one key and number are counted before they meet their labels."""
-    numbered = keys.select("_key", F.expr(NUMBER).alias("doc_id")).where("doc_id IS NOT NULL").groupBy("_key", "doc_id").agg(F.count("*").alias("n"))
+    numbered = keys.select("_key", F.expr(NUMBER).alias("doc_id")).where("doc_id IS NOT NULL").groupBy("_key", "doc_id").agg(F.count("*").alias("pages"))
+    numbered = materialise(numbered, "numbered")
     bad = labels.selectExpr("doc_id", "quality = 0 OR toxic = 1 AS bad").where("bad IS NOT NULL")
-    found = numbered.join(bad, "doc_id")
-    return found.groupBy("_key").agg(F.sum("n").alias("n_labelled"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"))
+    bad = bad.groupBy("doc_id").agg(F.count("*").alias("labels"), F.count_if("bad").alias("bads"))
+    # paths of all hosts may end in one number
+    bad = materialise(bad.join(numbered.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id"), "numbered-labels")
+    found = lookup(numbered, bad, "doc_id", numbered.count())
+    return found.groupBy("_key").agg(F.sum(F.col("pages") * F.col("labels")).alias("n_labelled"), F.sum(F.col("pages") * F.col("bads")).alias("n_bad"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +45,7 @@ p AS (SELECT page_id, host, path,
          WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
          WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
          WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule,
-    array_to_string(list_transform(segs[1:12], lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '<n>'
-      WHEN regexp_matches(s, '^[0-9]+[.][A-Za-z]{1,5}$') THEN '<n>' || regexp_extract(s, '[.][A-Za-z]+$', 0)
-      WHEN regexp_matches(s, '^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$') THEN '<date>'
-      WHEN regexp_matches(s, '^[0-9a-fA-F-]{8,}$') THEN '<hex>' ELSE s END) || CASE WHEN len(segs) > 12 THEN ['**'] ELSE CAST([] AS VARCHAR[]) END, '/') AS lex,
+    array_to_string(segs, '/') AS lex,
     try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})([.][A-Za-z]+)?/?$', 1), '') AS BIGINT) AS doc_no
   FROM p3),
 bad AS (SELECT doc_id, quality = 0 OR toxic = 1 AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL),
@@ -54,26 +55,31 @@ t0 AS MATERIALIZED (SELECT p.host, p.lex, string_split(p.lex, '/') AS segs, CASE
   FROM p LEFT JOIN labelled l ON l.host = p.host AND l.lex = p.lex GROUP BY ALL),
 """
 
+_CLASS = "CASE WHEN regexp_matches(seg, '^[0-9]+$') THEN '<n>' WHEN regexp_matches(seg, '^[0-9]+[.][A-Za-z]{{1,5}}$') THEN '<n>' || regexp_extract(seg, '[.][A-Za-z]+$', 0) WHEN regexp_matches(seg, '^[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?$') THEN '<date>' WHEN regexp_matches(seg, '^[0-9a-fA-F-]{{8,}}$') THEN '<hex>' ELSE '*' END"
+
 #: One level of the tree: children, nodes, and the rows with the next part of their templates.
-_LEVEL = """
-c{k} AS MATERIALIZED (SELECT host, template, segs[{k}] AS seg, sum(n) AS child_n, sum(n_labelled) AS n_l, sum(n_bad) AS n_b FROM t{j} WHERE depth >= {k} GROUP BY ALL),
-m{k} AS MATERIALIZED (SELECT host, template, count(*) AS k, sum(child_n) AS node_n, sum(n_l) AS f_l, sum(n_b) AS f_b, (sum(n_b) + 1.0::DOUBLE) / (sum(n_l) + 2.0::DOUBLE) AS pooled FROM c{k} GROUP BY ALL),
-s{k} AS MATERIALIZED (SELECT c.host, c.template, seg, CASE WHEN starts_with(seg, '<') OR seg = '**' THEN seg
-    WHEN k > 50 AND child_n < 0.005::DOUBLE * node_n OR NOT (n_l > 0 AND abs(n_b / CAST(n_l AS DOUBLE) - pooled) > 1.96::DOUBLE * sqrt(pooled * (1.0::DOUBLE - pooled) / n_l)) THEN '*' ELSE seg END AS part
-  FROM c{k} c JOIN m{k} m ON m.host = c.host AND m.template = c.template),
-t{k} AS MATERIALIZED (SELECT t.* EXCLUDE (template), CASE WHEN depth >= {k} THEN t.template || '/' || part ELSE t.template END AS template
-  FROM t{j} t LEFT JOIN s{k} s ON s.host = t.host AND s.template = t.template AND s.seg = t.segs[{k}] AND t.depth >= {k}),
+_LEVEL = f"""
+c{{k}} AS MATERIALIZED (SELECT host, template, segs[{{k}}] AS seg, sum(n_labelled) AS n_l, sum(n_bad) AS n_b FROM t{{j}} WHERE depth >= {{k}} GROUP BY ALL),
+m{{k}} AS MATERIALIZED (SELECT host, template, (sum(n_bad) + 1.0::DOUBLE) / (sum(n_labelled) + 2.0::DOUBLE) AS pooled FROM t{{j}} GROUP BY ALL),
+s{{k}} AS MATERIALIZED (SELECT c.host, c.template, seg, CASE WHEN abs(n_b - n_l * pooled) > 1.96::DOUBLE * sqrt((n_l + 4.0::DOUBLE) * pooled * (1.0::DOUBLE - pooled))
+    THEN CASE WHEN regexp_matches(seg, '^[=*<]') THEN '=' || seg ELSE seg END ELSE {_CLASS} END AS part
+  FROM c{{k}} c JOIN m{{k}} m ON m.host = c.host AND m.template = c.template),
+t{{k}} AS MATERIALIZED (SELECT t.* EXCLUDE (template), CASE WHEN depth >= {{k}} THEN t.template || '/' || part ELSE t.template END AS template
+  FROM t{{j}} t LEFT JOIN s{{k}} s ON s.host = t.host AND s.template = t.template AND s.seg = t.segs[{{k}}] AND t.depth >= {{k}}),
 """
 
+#: The SQL is written out for paths of so many segments, far more than those of the tables; the operator has no such bound.
+_LEVELS = 16
+
 _TAIL = """
 tree AS (SELECT host, lex, n_labelled, n_bad, CASE WHEN template = '' THEN '/' ELSE template END AS template FROM t{last}),
 t AS (SELECT host, template, sum(n_labelled) AS n_l, sum(n_bad) AS n_b FROM tree GROUP BY ALL),
 h AS (SELECT host, sum(n_l) AS h_l, sum(n_b) AS h_b FROM t GROUP BY 1),
 g AS (SELECT (sum(h_b) + 1.0::DOUBLE) / (sum(h_l) + 2.0::DOUBLE) AS g FROM h),
-v AS (SELECT t.host, template, (n_b + 5.0::DOUBLE * ((h_b + 5.0::DOUBLE * g) / (h_l + 5.0::DOUBLE))) / (n_l + 5.0::DOUBLE) >= 0.5 AND n_l > 0 AS blocked FROM t JOIN h USING (host), g)
+v AS (SELECT t.host, template, (n_b + 4.0::DOUBLE * ((h_b + 4.0::DOUBLE * g) / (h_l + 4.0::DOUBLE))) / (n_l + 4.0::DOUBLE) >= 0.5 AND n_l > 0 AS blocked FROM t JOIN h USING (host), g)
 SELECT p.page_id, p.host, p.path, p.rule, tree.template,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN tree ON tree.host = p.host AND tree.lex = p.lex LEFT JOIN v ON v.host = p.host AND v.template = tree.template
 """
 
-OP1_SQL = _HEAD + "".join(_LEVEL.format(k=k, j=k - 1) for k in range(1, MAX_DEPTH + 2)) + _TAIL.format(last=MAX_DEPTH + 1)
+OP1_SQL = _HEAD + "".join(_LEVEL.format(k=k, j=k - 1) for k in range(1, _LEVELS + 1)) + _TAIL.format(last=_LEVELS)

@@ -1,15 +1,13 @@
 """URL filter: explicit rules, then a path-template tree, in DataFrame operations only.
 
-1. Every url is cut into host and path, and every path into segments. Segments
-   that are numbers, hexadecimal ids or the like become wildcards at once, so
-   the tree is built from counts of distinct (host, lexical template) pairs,
-   not from urls.
-2. The tree of a host grows from its root, one level at a time. Of a node with more than
-   ``max_children`` children only the frequent ones stay literal; the others
-   are variable and become ``*``.
-3. Branches of a node whose share of bad labels, all that lies below them
-   counted, does not differ from that of the whole node (two-sided z test) are merged,
-   and become ``*`` too. The next level is grown below the merged branches.
+1. Every url is cut into host and path, and every path into segments; the tree is built from
+   counts of distinct (host, segments) pairs.
+2. The tree of a host grows from its root, one level at a time. A branch of a node whose share of
+   bad labels, all that lies below it counted, differs from that of the whole node (two-sided z test, smoothed
+   for few labels) stays literal. All others are variable and are merged: numbers, dates, hexadecimal ids and the like
+   into a wildcard of their class, the rest into ``*``. The next level is grown below the merged branches.
+3. Below a node without labels, or with labels of one kind only, no branch can differ, so
+   all that is below it is merged at once. Rounds go on only as deep as labels of both kinds meet.
 4. A template, the way from the root to a leaf, is blocked when its purity, the share of bad among labelled urls
    smoothed towards the host's and the host's towards the overall share,
    reaches ``min_purity``. One without labelled urls never is.
@@ -59,20 +57,19 @@ LEXICAL = r"""CASE WHEN s rlike '^[0-9]+$' THEN '<n>'
   ELSE s END"""
 
 
-#: A template describes so many segments of a path.
-MAX_DEPTH = 12
+#: What stands for a segment that is merged, and for one that is not, as SQL over ``s``; a literal never looks like a wildcard.
+WILDCARD = f"CASE WHEN ({LEXICAL}) = s THEN '*' ELSE {LEXICAL} END"
+LITERAL = "CASE WHEN s rlike '^[=*<]' THEN concat('=', s) ELSE s END"
 
 
-def lexical_template(path: str = "path", max_depth: int = MAX_DEPTH) -> F.Column:
-    """Segments of the path by class, joined by ``/``; what lies deeper than ``max_depth`` is one ``**``."""
-    segments = f"filter(split({path}, '/'), s -> s != '')"
-    classes = f"transform(slice({segments}, 1, {max_depth}), s -> {LEXICAL})"
-    return F.expr(f"array_join(concat({classes}, CASE WHEN size({segments}) > {max_depth} THEN array('**') ELSE array() END), '/')")
+def path_segments(path: str = "path") -> F.Column:
+    """The segments of the path, all of them, joined by ``/``."""
+    return F.expr(f"array_join(filter(split({path}, '/'), s -> s != ''), '/')")
 
 
 def url_keys(pages: DataFrame, rules=RULES) -> DataFrame:
-    """Adds host, path, rule and lex, and ``_key``, which names the (host, lex) pair."""
-    out = url_parts(pages).withColumn("rule", rule_of(rules)).withColumn("lex", lexical_template())
+    """Adds host, path, rule and lex (the segments), and ``_key``, which names the (host, lex) pair."""
+    out = url_parts(pages).withColumn("rule", rule_of(rules)).withColumn("lex", path_segments())
     return out.withColumn("_key", F.concat_ws("/", "host", "lex"))
 
 
@@ -82,31 +79,45 @@ def label_counts(labelled: DataFrame) -> DataFrame:
     return known.groupBy("_key").agg(F.count("*").alias("n_labelled"), F.count_if("bad").alias("n_bad"))
 
 
-def template_tree(counts: DataFrame, max_children: int = 50, min_share: float = 0.005, z: float = 1.96) -> DataFrame:
+def template_tree(counts: DataFrame, z: float = 1.96, weight: float = 4.0) -> DataFrame:
     """``counts`` (host, lex, _key, n, n_labelled, n_bad) with the ``template`` each pair belongs to.
 
-    One round for each level of the deepest path. A node is named by its host and
-    the template that leads to it; all joins by node or child are free of hot tasks.
+    A node is named by its host and the template that leads to it; all joins by node or child are free of
+    hot tasks. ``weight`` labels more widen the test of a branch.
     """
-    rows = materialise(counts.withColumns({"segs": F.split("lex", "/"), "template": F.lit("")}).withColumn("depth", F.when(F.col("lex") == "", 0).otherwise(F.size("segs"))), "tree")
-    top, total = rows.agg(F.max("depth"), F.count("*")).first()
-    for level in range(1, (top or 0) + 1):
-        going = rows.where(F.col("depth") >= level).withColumn("child", F.struct("host", "template", F.element_at("segs", level).alias("seg")))
-        children = going.groupBy("child").agg(F.sum("n").alias("child_n"), F.sum("n_labelled").alias("n_l"), F.sum("n_bad").alias("n_b"), F.count("*").alias("n"))
-        children = materialise(children.withColumn("node", F.struct("child.host", "child.template")), "children")
-        nodes = children.groupBy("node").agg(F.count("*").alias("k"), F.sum("child_n").alias("node_n"), F.sum("n_l").alias("f_l"), F.sum("n_b").alias("f_b"))
-        nodes = materialise(nodes.withColumn("n", F.col("k")), "nodes")
+    columns = [*counts.columns, "segs", "depth", "template"]
+    growing = counts.withColumns({"segs": F.split("lex", "/"), "depth": F.when(F.col("lex") == "", 0).otherwise(F.size(F.split("lex", "/"))), "template": F.lit("")})
+    growing, done, level = materialise(growing, "tree"), [], 0
+    total = growing.count()
+    while total:
+        level += 1
+        rows = growing.withColumn("node", F.struct("host", "template"))
+        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_labelled").alias("f_l"), F.sum("n_bad").alias("f_b"))
+        nodes = materialise(nodes.withColumn("mixed", (F.col("f_b") > 0) & (F.col("f_b") < F.col("f_l"))), "nodes")
+        seen = materialise(lookup(rows.withColumnRenamed("n", "pages"), nodes, "node", total).withColumnRenamed("pages", "n"), "seen")
+        going = seen.where(F.col("mixed") & (F.col("depth") >= level))
+        rest = F.expr(f"transform(slice(segs, {level}, greatest(depth - {level - 1}, 0)), s -> {WILDCARD})")
+        merged = F.when(F.col("mixed") | (F.size(rest) == 0), F.col("template")).otherwise(F.concat_ws("/", "template", F.array_join(rest, "/")))
+        done.append(seen.where(~F.col("mixed") | (F.col("depth") < level)).withColumn("template", merged).select(*columns))
+        total = going.count()
+        if not total:
+            break
+        going = going.withColumn("child", F.struct("host", "template", F.element_at("segs", level).alias("s")))
+        children = going.groupBy("child").agg(F.sum("n_labelled").alias("n_l"), F.sum("n_bad").alias("n_b"), F.min("f_l").alias("f_l"), F.min("f_b").alias("f_b"), F.count("*").alias("n"))
         pooled = "(f_b + 1.0D) / (f_l + 2.0D)"
-        differs = f"n_l > 0 AND abs(n_b / CAST(n_l AS DOUBLE) - {pooled}) > {z}D * sqrt({pooled} * (1.0D - {pooled}) / n_l)"
-        variable = f"k > {max_children} AND child_n < {min_share}D * node_n"
-        named = lookup(children, nodes, "node", total).selectExpr("child", "n", f"CASE WHEN child.seg LIKE '<%' OR child.seg = '**' THEN child.seg WHEN {variable} OR NOT ({differs}) THEN '*' ELSE child.seg END AS part")
-        named = lookup(going, materialise(named, "named"), "child", total)
-        grown = named.withColumn("template", F.concat_ws("/", "template", "part")).select(*rows.columns)
-        rows = materialise(rows.where(F.col("depth") < level).unionByName(grown), "tree")
-    return rows.select("host", "lex", "_key", "n", "n_labelled", "n_bad", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"))
-
-
-def template_verdicts(tree: DataFrame, min_purity: float = 0.5, weight: float = 5.0) -> DataFrame:
+        differs = f"abs(n_b - n_l * {pooled}) > {z}D * sqrt((n_l + {weight}D) * {pooled} * (1.0D - {pooled}))"
+        named = children.withColumn("s", F.col("child.s")).selectExpr("child", "n", f"CASE WHEN {differs} THEN {LITERAL} ELSE {WILDCARD} END AS part")
+        grown = lookup(going.withColumnRenamed("n", "pages").drop("f_l", "f_b"), materialise(named, "named"), "child", total)
+        growing = materialise(grown.withColumns({"template": F.concat_ws("/", "template", "part"), "n": F.col("pages")}).select(*columns), "tree")
+    if not done:
+        done = [growing]
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return materialise(out.select("host", "lex", "_key", "n", "n_labelled", "n_bad", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template")), "templates-of-paths")
+
+
+def template_verdicts(tree: DataFrame, min_purity: float = 0.5, weight: float = 4.0) -> DataFrame:
     """(at, n, purity, blocked) of each template; ``at`` is a struct of host and template, ``n`` its pairs. ``weight`` labelled urls stand behind each prior."""
     templates = materialise(tree.groupBy("host", "template").agg(F.sum("n_labelled").alias("n_l"), F.sum("n_bad").alias("n_b"), F.count("*").alias("n")), "templates")
     hosts = templates.groupBy("host").agg(F.sum("n_l").alias("h_l"), F.sum("n_b").alias("h_b"), F.count("*").alias("n"))
@@ -125,7 +136,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, **tree_optio
     rule's verdict stands; else the template's, and ``allow``
     where nothing is labelled. Null or malformed urls have an empty host
     and path and are judged as the template ``/`` of the empty host. Very long urls
-    are judged by rules whole; their template describes MAX_DEPTH segments. Repeated
+    are judged whole, by rules and templates. Repeated
     urls count as often as they occur and all get the same verdict; of rules of one length the
     later one in code-point order stands. Other columns
     are kept, save those with the names of new ones; an empty table gives none.
@@ -135,7 +146,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, **tree_optio
     judged = url_keys(pages.select(*[F.col(f"`{c}`") for c in keep]), rules)
     known = label_counts(labelled) if "url" in labelled.columns else labelled
     counts = judged.groupBy("_key", "host", "lex").agg(F.count("*").alias("n")).join(known, "_key", "left").na.fill(0, ["n_labelled", "n_bad"])
-    tree = template_tree(counts, **{k: v for k, v in tree_options.items() if k in ("max_children", "min_share", "z")})
+    tree = template_tree(counts, **{k: v for k, v in tree_options.items() if k in ("z",)})
     verdicts = materialise(template_verdicts(tree, **{k: v for k, v in tree_options.items() if k in ("min_purity", "weight")}), "verdicts")
     found = lookup(tree.withColumn("at", F.struct("host", "template")).withColumnRenamed("n", "_pages"), verdicts, "at", tree.count())
     found = materialise(found.select("_key", F.col("_pages").alias("n"), "template", "purity", "blocked"), "found")

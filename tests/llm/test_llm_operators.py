@@ -61,10 +61,34 @@ def test_urls(spark):
 
 def test_many_slugs_become_a_wildcard(spark):
     pages = spark.createDataFrame([(i, f"http://blog.net/post/{chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(300)], "page_id long, url string")
-    templates = {r["template"] for r in url_filter.filter_urls(pages, pages.selectExpr("url", "false AS bad").limit(0), min_share=0.01).collect()}
+    templates = {r["template"] for r in url_filter.filter_urls(pages, pages.selectExpr("url", "false AS bad").limit(0)).collect()}
     assert templates == {"/*/*"}
 
 
+def _verdicts(spark, urls):
+    """Verdicts by url of (url, bad or None)."""
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(u, b) for u, b in urls if b is not None], "url string, bad boolean")
+    return {r["url"]: r["verdict"] for r in url_filter.filter_urls(pages, labels).collect()}
+
+
+def test_labels_far_down_a_path_tell_pages_apart(spark):
+    way = "http://deep.net/" + "/".join("abcdefghijklmnop")
+    urls = [(f"{way}/{kind}/x{i}", kind == "bad") for kind in ("bad", "good") for i in range(50)]
+    assert all(v == ("block" if "/bad/" in u else "allow") for u, v in _verdicts(spark, urls).items())
+
+
+def test_a_rare_bad_branch_of_a_wide_node_stays(spark):
+    urls = [(f"http://wide.net/spam/{i}", True) for i in range(4)] + [(f"http://wide.net/{chr(97 + i % 26)}{i}/p", False) for i in range(60)]
+    assert all(v == ("block" if "/spam/" in u else "allow") for u, v in _verdicts(spark, urls).items())
+
+
+def test_numbers_with_unlike_labels_are_no_wildcard(spark):
+    urls = [(f"http://years.net/{year}/p{i}", year == 2019) for year in (2019, 2020) for i in range(40)] + [("http://years.net/2021/x", None), ("http://years.net/*/y", None)]
+    got = _verdicts(spark, urls)
+    assert all(v == ("block" if "/2019/" in u else "allow") for u, v in got.items() if "/2021/" not in u and "*" not in u)
+
+
 # 2
 
 
@@ -125,6 +149,17 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_vec_id_of_unlike_vectors(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [1.0, 0.05], 1), (3, [0.02, 1.0], 1), (9, [-1.0, 0.0], 1)]
+    audit = []
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), audit=audit)
+    # each row has its own vector's links; the id joins its rows' components
+    assert sorted(map(tuple, got.collect())) == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (7, 1, 3, False), (9, 0, 9, True)]
+    alone = embedding_dedup.near_duplicates(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, label int"))
+    assert sorted(r["n_links"] for r in alone.where("vec_id = 5").collect()) == [0, 1]
+    assert len(audit) == 1 and 0 < audit[0][0] <= audit[0][1]
+
+
 def test_graph_recall():
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 24))
@@ -150,7 +185,8 @@ def test_components(spark):
         if b is not None and a != b:
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
-    assert {x["id"]: x["component"] for x in components(links).collect()} == {x: find(x) for x in parent}
+    for in_one_task in (0, 10**6):
+        assert {x["id"]: x["component"] for x in components(links, in_one_task=in_one_task).collect()} == {x: find(x) for x in parent}
 
 
 # 4

@@ -26,13 +26,12 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import lookup, map_batches, materialise, only_ids
+from rivulet.llm.common import ARROW_ROWS, lookup, map_batches, materialise, only_ids
 from rivulet.llm.components import components
 from rivulet.llm.words import WordHashes, mixed, ngrams, texts_of
 
@@ -73,15 +72,20 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array([task] * (len(at) + 1), pa.int32()), pa.array([*counts, np.array([n], dtype=np.int32).tobytes()], pa.binary())], names=["at", "lane", "counts"])
 
     def adder(kind: str):
-        def added(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"at": pdf["at"].head(1), "counts": [sum(np.frombuffer(c, dtype=kind).astype(np.int64) for c in pdf["counts"]).tobytes()]})
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Sums by row of slots of what comes to this task, as it comes."""
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for at, counts in zip(batch.column("at").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                    totals[at] = totals.get(at, 0) + np.frombuffer(counts, dtype=kind).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["at", "counts"])
 
         return added
 
     partial = map_batches(docs.select("text"), counted, "at long, lane int, counts binary")
-    # in two steps, so that what all tasks counted of a slot never meets in one group
-    lanes = partial.groupBy("at", "lane").applyInPandas(adder("i4"), "at long, counts binary")
-    rows = lanes.groupBy("at").applyInPandas(adder("i8"), "at long, counts binary").collect()  # bounded by the slots
+    # in two steps, so that what all tasks counted of a slot is not added up by one
+    lanes = map_batches(partial.repartition("at", "lane"), adder("i4"), "at long, counts binary", ARROW_ROWS)
+    rows = map_batches(lanes.repartition("at"), adder("i8"), "at long, counts binary", ARROW_ROWS).collect()  # bounded by the slots
     df, n = np.zeros((1 << IDF_BITS) // _ROW * _ROW, dtype=np.int64).reshape(-1, _ROW), 0
     for r in rows:
         counts = np.frombuffer(r["counts"], dtype=np.int64)

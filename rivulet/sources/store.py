@@ -117,6 +117,14 @@ class Store:
         """Targets that have a stored value."""
         return [n for n in self._names("meta") if (m := self.meta(n)) and m.get("hash") and self.has(m["hash"])]
 
+    def cached_planned(self, plan) -> list[str]:
+        """Targets of the plan that have a stored value."""
+        return [n for n in self.cached() if n in plan.targets]
+
+    def cached_unplanned(self, plan) -> list[str]:
+        """Stored targets that the plan no longer has."""
+        return [n for n in self.cached() if n not in plan.targets]
+
     def _records(self, kind: str, schema: str) -> DataFrame:
         """All records of a kind, read by the executors."""
         path = f"{self.path}/{kind}"
@@ -307,7 +315,14 @@ class Store:
             self.gc()
 
     def gc(self) -> list[str]:
-        """Deletes objects that no metadata names; returns their fingerprints."""
+        """Deletes objects that no metadata names; returns their fingerprints. Refused while a run holds the lock, whose objects have no names yet."""
+        self.lock()
+        try:
+            return self._collect_garbage()
+        finally:
+            self.unlock()
+
+    def _collect_garbage(self) -> list[str]:
         names = ("hash", "manifest", "branch_files", "branch_errors")
         schema = ", ".join(f"{n} string" for n in names)
         named = {h for r in self._records("meta", f"{schema}, kept struct<{schema.replace(' string', ': string')}>").collect() for h in (*r[:-1], *(r["kept"] or ()))}  # a few for each target of the plan
@@ -335,9 +350,9 @@ class Store:
         chosen = list(targets or other.cached())
         for n in chosen:
             meta = other.diagnose(n)
-            for hash_, format_ in ((meta["hash"], meta.get("format") or "parquet"), (meta.get("manifest"), "parquet")):
-                if hash_ and not self.has(hash_):
-                    self.write(other.get(hash_), format_)
+            for field, format_ in (("hash", meta.get("format") or "parquet"), ("manifest", "parquet"), ("branch_files", "parquet")):
+                if (hash_ := meta.get(field)) and not self.has(hash_):
+                    meta[field] = self.write(other.get(hash_), format_)  # a value may be pickled in other bytes
             self._put("meta", n, meta)
             if meta.get("recovery_key"):
                 self._put("recover", meta["recovery_key"], meta)

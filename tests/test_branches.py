@@ -12,7 +12,7 @@ from rivulet.plans.deps import file_in
 from rivulet.plans.engine import Engine, Failed
 from rivulet.plans.plan import Plan, Target, Trigger, dynamic_cross, dynamic_group, dynamic_map
 from rivulet.sources.hashing import hash_files
-from rivulet.sources.store import Store
+from rivulet.sources.store import Locked, Store
 
 
 @pytest.fixture
@@ -424,3 +424,15 @@ def test_urls_are_told_apart_by_their_tags(store):
     assert store.files.fingerprint(url) != first
     assert store.files.fingerprint(url.replace("/x", "/gone")) is None
     server.shutdown()
+
+
+def test_gc_waits_for_a_run_and_plans_tell_what_is_stored(store):
+    make(store, Plan(a=lambda: 1, b=lambda: 2))
+    plan = Plan(a=lambda: 1, c=lambda: 3)
+    assert store.cached_planned(plan) == ["a"] and store.cached_unplanned(plan) == ["b"]
+    store.lock()
+    with pytest.raises(Locked):
+        store.gc()
+    store.unlock()
+    store.clean("b")
+    assert len(store.gc()) == 1 and store.read("a") == 1

@@ -142,14 +142,22 @@ class Store:
     def metas(self) -> DataFrame:
         return self._records("meta", META)
 
-    def history(self) -> DataFrame:
-        """Every build, oldest first, and whether its result is still stored and is the current one."""
-        rows = self._records("history", "target string, built double, hash string, command string, elapsed double, seed long")
+    def history(self, analyze: bool = False) -> DataFrame:
+        """Every build, oldest first, and whether its result is still stored and is the current one.
+
+        With ``analyze`` there is a text column more for each argument with a plain value that a command was given
+        or that its code passes on by name; arguments named like other columns get ``_argument`` behind.
+        """
+        rows = self._records("history", "target string, built double, hash string, command string, elapsed double, seed long, arguments map<string,string>")
         stored = self.spark.createDataFrame([(n,) for n in self.files.names(f"{self.path}/objects")], "hash string").withColumn("_stored", F.lit(True))
         now = self.metas().select("target", F.col("hash").alias("_now"))
         rows = rows.join(stored, "hash", "left").join(now, "target", "left")
         is_now = F.coalesce(F.col("_now") == F.col("hash"), F.lit(False))
-        return rows.select("target", "built", "hash", "command", "elapsed", "seed", F.coalesce("_stored", F.lit(False)).alias("exists"), is_now.alias("current")).orderBy("built", "target")
+        columns = ["target", "built", "hash", "command", "elapsed", "seed", "exists", "current"]
+        rows = rows.select(*columns[:6], F.coalesce("_stored", F.lit(False)).alias("exists"), is_now.alias("current"), "arguments")
+        names = rows.select(F.explode(F.map_keys("arguments")).alias("k")).distinct().orderBy("k").collect() if analyze else []  # names in the plan's code
+        mined = [F.try_element_at("arguments", F.lit(r["k"])).alias(f"{r['k']}_argument" if r["k"] in columns else r["k"]) for r in names]
+        return rows.select(*columns, *mined).orderBy("built", "target")
 
     def cache_log(self) -> DataFrame:
         return self.metas().select("hash", "format", "target")

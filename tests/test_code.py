@@ -95,3 +95,21 @@ def test_a_command_that_uses_only_a_class_depends_on_it(load):
     assert d.dependencies(Target(module.by_nothing, name="x"), {"x"})["functions"] == set()
     assert len(Plan(a=module.by_class)) == 1
     assert not d.tracked_code(functools) and not d.tracked_code(3) and d.tracked_code(module.tool)
+
+
+def test_history_has_a_column_for_each_named_literal(spark, tmp_path, load):
+    from rivulet.plans.engine import Engine
+    from rivulet.plans.plan import map_
+    from rivulet.sources.store import Store
+
+    (tmp_path / "trained.py").write_text("def fit(rate, rounds=3, seed=1, name=None): return rate * rounds\ndef small(): return fit(rate=0.5, rounds=-2, name='x')\ndef large(): return fit(rate=8, seed=5)\ndef bound(depth): return depth\n")
+    spec = importlib.util.spec_from_file_location("trained", tmp_path / "trained.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    store = Store(spark, str(tmp_path / "store"))
+    Engine(Plan(a=module.small, b=module.large, c=Target(module.bound, map_(depth=[4]))), store).make()
+    got = {r["target"]: r.asDict() for r in store.history(analyze=True).collect()}
+    assert [got["a"][k] for k in ("rate", "rounds", "name", "depth", "seed_argument")] == ["0.5", "-2", "x", None, None]
+    assert [got["b"][k] for k in ("rate", "rounds", "seed_argument")] == ["8", None, "5"]
+    assert got["c_4"]["depth"] == "4"
+    assert "rate" not in store.history().columns

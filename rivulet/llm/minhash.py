@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import ARROW_ROWS, lookup, map_batches, materialise, only_ids
 from rivulet.llm.components import components
-from rivulet.llm.words import WordHashes, mixed, ngrams, texts_of
+from rivulet.llm.words import mixed, ngrams, texts_of, word_hashes
 
 BANDS, ROWS, SHINGLE = 15, 4, 5
 #: Slots of shingles; how much more the rarest shingle weighs than one of every document.
@@ -60,10 +60,11 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold a shingle of each slot, and all documents; 2 ** IDF_BITS numbers, whatever the corpus."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, n = WordHashes(), np.zeros(1 << IDF_BITS, dtype=np.int32), 0
+        total, n = np.zeros(1 << IDF_BITS, dtype=np.int32), 0
         for batch in batches:
             for t in texts_of(batch.column(0)):
-                total[np.unique(shingle_hashes(words.of(t)) >> _SLOT).astype(np.int64)] += 1
+                slots = np.sort((shingle_hashes(word_hashes(t)) >> _SLOT).astype(np.int32))
+                total[slots[np.diff(slots, prepend=-1) > 0]] += 1
                 n += 1
         rows = total.reshape(-1, _ROW)
         at = np.flatnonzero(rows.any(axis=1))
@@ -133,20 +134,29 @@ class Sampler:
 
     def sample(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit sample for each key."""
-        log_w = np.log(weights).astype(np.float32)[:, None]
-        best, out = None, None
-        for at in range(0, len(shingles), 2048):
-            part = shingles[at : at + 2048]
-            x = mixed(part[:, None] * self.keys)
-            low = np.uint64(0xFFFF)
-            r = self.r[(x & low).astype(np.int32)]
-            beta = self.beta[((x >> np.uint64(16)) & low).astype(np.int32)]
-            t = np.floor(log_w[at : at + 2048] / r + beta)
-            value = self.log_c[((x >> np.uint64(32)) & low).astype(np.int32)] - r * (t - beta + 1)
-            where = value.argmin(axis=0)
-            columns = np.arange(len(self.keys))
-            least = value[where, columns]
-            drawn = mixed(part[where] + t[where, columns].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        log_w, keys = np.log(weights).astype(np.float32), self.keys[:, None]
+        columns, best, out = np.arange(len(keys)), None, None
+        for at in range(0, len(shingles), 1024):
+            part = shingles[at : at + 1024]
+            x = mixed(part * keys)
+            slot = np.empty(x.shape, dtype=np.int64)
+
+            def drawn_from(table: np.ndarray, shift: int, x=x, slot=slot) -> np.ndarray:
+                bits = slot.view(np.uint64)
+                np.bitwise_and(np.right_shift(x, np.uint64(shift), out=bits), np.uint64(0xFFFF), out=bits)
+                return table.take(slot, mode="clip")  # a table has a row for each slot; clip only spares the check
+
+            r, beta, value = drawn_from(self.r, 0), drawn_from(self.beta, 16), drawn_from(self.log_c, 32)
+            t = log_w[at : at + 1024] / r
+            t += beta
+            np.floor(t, out=t)
+            np.subtract(t, beta, out=beta)
+            beta += np.float32(1)
+            beta *= r
+            value -= beta
+            where = value.argmin(axis=1)
+            least = value[columns, where]
+            drawn = mixed(part[where] + t[columns, where].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             if best is None:
                 best, out = least, drawn
             else:
@@ -171,12 +181,12 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     rows = rows.select("doc_id", "text", F.md5("text").alias("copy"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sampler, known = WordHashes(), Sampler(), OrderedDict()
+        sampler, known = Sampler(), OrderedDict()
         for batch in batches:
             sigs, texts = [], texts_of(batch.column(1))
             for t, copy in zip(texts, batch.column(2).to_pylist(), strict=True):
                 if copy not in known:
-                    shingles, weights = weighted_shingles(words.of(t), sent.value)
+                    shingles, weights = weighted_shingles(word_hashes(t), sent.value)
                     known[copy] = sampler.sample(shingles, weights).astype("<u4").tobytes() if len(shingles) else None
                     if len(known) > 2000:
                         known.popitem(last=False)
@@ -258,7 +268,7 @@ def neighbourhoods(placed: DataFrame, reps: DataFrame, low: float) -> DataFrame:
 
 class _Verifier:
     def __init__(self, idf: np.ndarray, similarity: float):
-        self.words, self.idf, self.similarity = WordHashes(), idf, similarity
+        self.idf, self.similarity = idf, similarity
 
     def links(self, ids: np.ndarray, sigs: np.ndarray, texts: list[bytes], hubs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
         """Verified links that join what all links of these texts join, and each text's number of near ones.
@@ -277,7 +287,7 @@ class _Verifier:
             return found, degree
         shingles, weights = {}, {}
         for i in involved.tolist():
-            shingles[i], weights[i] = weighted_shingles(self.words.of(texts[i]), self.idf)
+            shingles[i], weights[i] = weighted_shingles(word_hashes(texts[i]), self.idf)
         known = np.unique(np.concatenate(list(shingles.values())))
         shingles = {i: np.searchsorted(known, s).astype(np.int32) for i, s in shingles.items()}
         total = {i: w.sum() for i, w in weights.items()}
@@ -415,12 +425,12 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
     joined = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text")), "b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, held = WordHashes(), OrderedDict(), 0
+        known, held = OrderedDict(), 0
 
         def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             nonlocal held
             if text not in known:
-                known[text] = weighted_shingles(words.of(text), sent.value)
+                known[text] = weighted_shingles(word_hashes(text), sent.value)
                 held += len(text)
                 while held > KEPT_BYTES and len(known) > 2:
                     held -= len(known.popitem(last=False)[0])

@@ -630,3 +630,25 @@ def test_classifier_like_plain_python(spark):
     scored = {x["doc_id"]: x["score"] for x in classifier.score(labelled, got).collect()}
     for i, t in enumerate(texts):
         assert scored[i] == pytest.approx(1 / (1 + math.exp(-sum(float(got[k]) * v for k, v in plain_features(t).items()))), abs=1e-5)
+
+
+def test_words_are_hashed_alike_at_once_and_by_word():
+    from rivulet.llm.words import WordHashes, word_hashes
+
+    texts = [b"", b" \t\n", b"a", "ein Wort   zwei\x0bdrei a a".encode(), b"x" * 70000 + b" y\r\nz " * 3]
+    for t in texts:
+        assert word_hashes(t).dtype == np.uint64
+        assert word_hashes(t).tolist() == WordHashes().of(t).tolist()
+
+
+def test_samples_do_not_depend_on_how_shingles_are_cut():
+    """Samples of a long set are the least over its parts, whatever is drawn at once."""
+    draw = np.random.default_rng(5)
+    shingles = np.sort(draw.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    weights, sampler = draw.choice([1.1, 1.3, 2.5], 3000), minhash.Sampler()
+    whole = sampler.sample(shingles, weights)
+    parts = [sampler.sample(shingles[i : i + 1], weights[i : i + 1]) for i in range(3000)]
+    drawn = np.array(parts)
+    assert all(whole[k] in drawn[:, k] for k in range(len(whole)))
+    left = np.isin(drawn, whole).any(axis=1)
+    assert (sampler.sample(shingles[left], weights[left]) == whole).all()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm.common import ARROW_ROWS, lookup, map_batches, materialise, only_ids
 from rivulet.llm.components import components
-from rivulet.llm.words import mixed, ngrams, texts_of, word_hashes
+from rivulet.llm.words import MIX as _MIX, mixed, ngrams, texts_of, word_hashes
 
 BANDS, ROWS, SHINGLE = 15, 4, 5
 #: Slots of shingles; how much more the rarest shingle weighs than one of every document.
@@ -49,6 +49,8 @@ MARGIN = 0.2
 #: Bytes of texts whose shingles a worker keeps while it verifies pairs.
 KEPT_BYTES = 4_000_000
 _SLOT = np.uint64(64 - IDF_BITS)
+#: Shingles sampled at once.
+_AT_ONCE = 1024
 
 
 def shingle_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -131,23 +133,29 @@ class Sampler:
         self.log_c = np.log(draw.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
         self.beta = draw.random(1 << 16).astype(np.float32)
         self.keys = draw.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1)
+        # what is drawn at once is kept in the same memory from call to call
+        self.wide = np.empty(k * _AT_ONCE, dtype=np.uint64), np.empty(k * _AT_ONCE, dtype=np.int64)
+        self.narrow = tuple(np.empty(k * _AT_ONCE, dtype=np.float32) for _ in range(4))
 
     def sample(self, shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One 64-bit sample for each key."""
         log_w, keys = np.log(weights).astype(np.float32), self.keys[:, None]
         columns, best, out = np.arange(len(keys)), None, None
-        for at in range(0, len(shingles), 1024):
-            part = shingles[at : at + 1024]
-            x = mixed(part * keys)
-            slot = np.empty(x.shape, dtype=np.int64)
-
-            def drawn_from(table: np.ndarray, shift: int, x=x, slot=slot) -> np.ndarray:
-                bits = slot.view(np.uint64)
+        for at in range(0, len(shingles), _AT_ONCE):
+            part = shingles[at : at + _AT_ONCE]
+            shape, n = (len(keys), len(part)), len(keys) * len(part)
+            x, slot = (buffer[:n].reshape(shape) for buffer in self.wide)
+            r, beta, value, t = (buffer[:n].reshape(shape) for buffer in self.narrow)
+            bits = slot.view(np.uint64)
+            # mixed(part * keys), in place
+            np.multiply(part, keys, out=x)
+            np.bitwise_xor(x, np.right_shift(x, np.uint64(32), out=bits), out=x)
+            np.multiply(x, _MIX, out=x)
+            np.bitwise_xor(x, np.right_shift(x, np.uint64(29), out=bits), out=x)
+            for table, shift, drawn in ((self.r, 0, r), (self.beta, 16, beta), (self.log_c, 32, value)):
                 np.bitwise_and(np.right_shift(x, np.uint64(shift), out=bits), np.uint64(0xFFFF), out=bits)
-                return table.take(slot, mode="clip")  # a table has a row for each slot; clip only spares the check
-
-            r, beta, value = drawn_from(self.r, 0), drawn_from(self.beta, 16), drawn_from(self.log_c, 32)
-            t = log_w[at : at + 1024] / r
+                table.take(slot, out=drawn, mode="clip")  # a table has a row for each slot; clip only spares a copy
+            np.divide(log_w[at : at + _AT_ONCE], r, out=t)
             t += beta
             np.floor(t, out=t)
             np.subtract(t, beta, out=beta)

@@ -11,6 +11,8 @@ import pyarrow as pa
 import xxhash
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+#: What mixed() multiplies by.
+MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Rows that a Python worker turns into Python values at once.
 ROWS_AT_ONCE = 256
 
@@ -79,7 +81,7 @@ def word_hashes(text: bytes) -> np.ndarray:
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scrambles 64-bit numbers so that each bit depends on all bits."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x = x * MIX
     return x ^ (x >> np.uint64(29))
 
 

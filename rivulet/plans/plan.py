@@ -253,14 +253,33 @@ def _made_by(variable: str, waiting: dict[str, Target]) -> set[str]:
     return {n for n, r in waiting.items() if variable in {v for v, _ in r.transform.values} | {*r.transform.tag_in, *r.transform.tag_out}}
 
 
-def _rows_with(done: list[Target], names: Iterable[str]) -> list[dict[str, str]]:
-    """Distinct traces of earlier targets that have all the names, each cut to what goes with them."""
-    out: list[dict[str, str]] = []
-    for t in done:
-        own = {**t.trace}
-        if all(n in own for n in names) and own not in out:
-            out.append(own)
-    return out
+def _old_rows(done: list[Target], names: list[str]) -> list[dict[str, str]]:
+    """What ``map_`` zips of variables that earlier targets have.
+
+    Variables that occur together in a trace, directly or through others, are a
+    block, and only traces with all of a block count. Blocks have nothing to do
+    with each other; they are zipped by position and cut to the shortest one.
+    Equal rows count once.
+    """
+    traces = [r for t in done if (r := {n: t.trace[n] for n in names if n in t.trace})]
+    block = {n: n for r in traces for n in names if n in r}
+    for r in traces:
+        joined, into = {block[n] for n in r}, block[next(iter(r))]
+        block = {n: into if b in joined else b for n, b in block.items()}
+    columns: dict[str, list[str]] = {}
+    for b in dict.fromkeys(block.values()):
+        members = [n for n in names if block.get(n) == b]
+        whole = [r for r in traces if all(n in r for n in members)]
+        columns |= {n: [r[n] for r in whole] for n in members if whole}
+    rows = [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=False)]
+    return [r for i, r in enumerate(rows) if r not in rows[:i]]
+
+
+def _with_traces(row: dict[str, str], done: list[Target]) -> dict[str, str]:
+    """The row with what goes with it in traces; variables that only some of the traces with its variables have do not."""
+    having = [t.trace for t in done if row and all(n in t.trace for n in row)]
+    same = next((t for t in having if all(t[n] == v for n, v in row.items())), {})
+    return {**{n: v for n, v in same.items() if all(n in t for t in having)}, **row}
 
 
 def _value(name: str, shown: str, done: list[Target]) -> Any:
@@ -276,20 +295,25 @@ def _expand_one(r: Target, done: list[Target], max_expand: int | None) -> list[T
             cells.append(({name: Slice(Ref(name), tr.slices, i)}, {f"{name}_index": str(i)}))
     elif tr.kind == "combine":
         found: dict[tuple, dict[str, list[str]]] = {}
+        traces: dict[tuple, list[dict[str, str]]] = {}
         for name in tr.names:
             for t in done:
                 if name in t.trace and t.trace[name] == t.name and all(k in t.trace for k in tr.by):
+                    traces.setdefault(tuple(t.trace[k] for k in tr.by), []).append(t.trace)
                     lists = found.setdefault(tuple(t.trace[k] for k in tr.by), {n: [] for n in tr.names})[name]
                     if t.name not in lists:
                         lists.append(t.name)
         for key, lists in found.items():
             if all(lists.values()):
-                cells.append(({n: [Ref(x) for x in v] for n, v in lists.items()}, dict(zip(tr.by, key, strict=True))))
+                first, *others = traces[key]
+                # variables that all have alike go along
+                along = {n: v for n, v in first.items() if n not in tr.names and all(t.get(n) == v for t in others)}
+                cells.append(({n: [Ref(x) for x in v] for n, v in lists.items()}, {**along, **dict(zip(tr.by, key, strict=True))}))
     else:
         old_names = [n for n in tr.names if n not in literal]
         whole = {n: Ref(n) for n in tr.names if n in literal}
         if tr.kind == "map":
-            old = _rows_with(done, old_names) if old_names else None
+            old = [_with_traces(r, done) for r in _old_rows(done, old_names)] if old_names else None
             sizes = [len(v) for _, v in tr.values] + ([len(old)] if old is not None else [])
             n = max(sizes, default=1)
             if any(s == 0 or n % s for s in sizes):
@@ -305,7 +329,9 @@ def _expand_one(r: Target, done: list[Target], max_expand: int | None) -> list[T
                 columns.append([(name, _value(name, s, done)) for s in seen])
             for combo in itertools.product(*reversed(columns)):
                 new = dict(reversed(combo))
-                cells.append(({**new, **whole}, {k: v.target if isinstance(v, Ref) else str(v) for k, v in new.items()}))
+                trace = {k: v.target if isinstance(v, Ref) else str(v) for k, v in new.items()}
+                along = {k: v for n in old_names for k, v in _with_traces({n: trace[n]}, done).items() if k not in trace}
+                cells.append(({**{k: _value(k, v, done) for k, v in along.items()}, **new, **whole}, {**along, **trace}))
     if max_expand is not None and tr.kind != "combine":
         cells = [cells[i - 1] for i in spaced_ordinals(len(cells), max_expand)]
     if tr.target_names is not None and len(tr.target_names) != len(cells):

@@ -25,6 +25,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from rivulet.functions.fingerprint import row_fingerprint, rows_fingerprint
 from rivulet.operators import branching as b
 from rivulet.plans import deps as d
+from rivulet.plans import resources
 from rivulet.plans.plan import Target
 from rivulet.sources import hashing
 from rivulet.sources.scratch import materialise
@@ -301,6 +302,9 @@ class DynamicBuild:
             out["_branch_key"], out["_occurrence"] = identity
             return out[names]
 
+        if profile := resources.profile(self.spark, t.resources):
+            dealt = rows.repartition(*IDENTITY).sortWithinPartitions(*IDENTITY)
+            return dealt.mapInPandas(resources.whole_groups(run, list(IDENTITY)), schema, profile=profile)
         return rows.groupBy(*IDENTITY).applyInPandas(run, schema)
 
     # after the build

@@ -8,8 +8,11 @@ bound to the parameter (or the word in the SQL text) of that name.
 
 from __future__ import annotations
 
+import ast
+import hashlib
 import inspect
 import itertools
+import linecache
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
@@ -156,6 +159,10 @@ class Target:
     priority: float = float("inf")
     memory: str | None = None
     parallel: bool = True
+    #: The scheduler pool of the target's jobs.
+    pool: str | None = None
+    #: What executors and tasks of commands run for each branch ask for; see ``rivulet.plans.resources``.
+    resources: dict[str, Any] = field(default_factory=dict)
     #: Parts that a dynamic target is built and committed in, one after the other.
     ranges: int = 1
     custom: dict[str, Any] = field(default_factory=dict)
@@ -381,15 +388,47 @@ def plan_to_code(plan: Plan, order: list[str] | None = None) -> str:
     return "".join(f"{n} = {command_text(plan[n])}\n" for n in order or plan.targets)
 
 
-def code_to_plan(text: str) -> Plan:
-    """Assignments of SQL strings (``name = "SELECT ..."``), or a script of CREATE VIEW statements, as a plan."""
+def code_to_plan(text: str, names: dict[str, Any] | None = None) -> Plan:
+    """A script as a plan: assignments, or CREATE VIEW statements.
+
+    A string that is assigned is SQL. Any other expression is a command that depends on the
+    targets it names; ``names`` holds the functions and other globals that the script uses, besides those it defines or imports itself.
+    """
     views = re.findall(r"create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?view\s+(\w+)\s+as\s+(.*?)(?:;|\Z)", text, re.I | re.S)
     if views:
         return Plan({n: s.strip() for n, s in views})
-    import ast
-
-    found = {}
-    for node in ast.parse(text).body:
-        if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
-            found[node.targets[0].id] = node.value.value
-    return Plan(found)
+    script = ast.parse(text)
+    found: dict[str, ast.expr] = {}
+    space = dict(names or {})
+    for node in script.body:
+        if isinstance(node, (ast.Import, ast.ImportFrom)):
+            exec(compile(ast.Module([node], []), "<script>", "exec"), space)
+        elif isinstance(node, ast.FunctionDef):
+            space[node.name] = _defined(ast.unparse(node), node.name, space)
+        elif isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
+            if node.targets[0].id in found:
+                raise ValueError(f"assigned twice: {node.targets[0].id}")
+            found[node.targets[0].id] = node.value
+        elif not (isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant)):  # a docstring
+            raise ValueError(f"line {node.lineno} is neither an assignment nor a function")
+    return Plan({n: _assigned(n, e, set(found), space) for n, e in found.items()})
+
+
+def _assigned(name: str, value: ast.expr, targets: set[str], space: dict[str, Any]) -> Callable | str:
+    """The command of an assignment: SQL text, or a function of the targets that the expression names."""
+    if isinstance(value, ast.Constant) and isinstance(value.value, str):
+        return value.value
+    used = dict.fromkeys(n.id for n in ast.walk(value) if isinstance(n, ast.Name) and n.id in targets | {"ctx"})
+    return _defined(f"def {name}({', '.join(used)}):\n    return {ast.unparse(value)}\n", name, space)
+
+
+def _defined(source: str, name: str, space: dict[str, Any]) -> Callable:
+    """The function of this source, which can be read again where code is compared."""
+    file = f"<script {hashlib.md5(source.encode()).hexdigest()}>"
+    linecache.cache[file] = (len(source), None, source.splitlines(keepends=True), file)
+    before = space.get(name)
+    exec(compile(source, file, "exec"), space)
+    made = space.pop(name)
+    if before is not None:
+        space[name] = before
+    return made

@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import lookup, materialise
+from rivulet.llm.common import HOT, lookup, materialise
 
 SYSTEM = "system"
 END = "<|end|>\n"
 #: Turns in a chunk.
 CHUNK = 64
+#: Messages, or points of view, of a dialogue that meet in one task; in small tables fewer.
+BLOCK = 4096
 
 
 def escaped(text: F.Column) -> F.Column:
@@ -28,15 +30,49 @@ def escaped(text: F.Column) -> F.Column:
 
 
 def casts(rows: DataFrame) -> DataFrame:
-    """(dialogue, n, cast) from (dialogue, speaker): the speakers of each dialogue with their names, and its rows.
+    """(dialogue, speaker, n, name, renamed) from (dialogue, speaker): the speakers of each dialogue, their rows and their names.
 
     A name has letters, digits, ``_`` and ``-``. Of several speakers of a dialogue that would have
     the same one, the second and later ones, in code-point order, get ``.2`` and so on.
     """
-    people = rows.groupBy("dialogue", "speaker").agg(F.count("*").alias("rows")).withColumn("safe", F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_"))
+    people = rows.groupBy("dialogue", "speaker").agg(F.count("*").alias("n")).withColumn("safe", safe_name("speaker"))
     k = F.row_number().over(Window.partitionBy("dialogue", "safe").orderBy("speaker"))
-    named = people.select("dialogue", "rows", "speaker", F.when(k == 1, F.col("safe")).otherwise(F.concat_ws(".", "safe", k.cast("string"))).alias("name"))
-    return named.groupBy("dialogue").agg(F.sum("rows").alias("n"), F.collect_list(F.struct("speaker", "name")).alias("cast"))
+    name = F.when(k == 1, F.col("safe")).otherwise(F.concat_ws(".", "safe", k.cast("string")))
+    return people.select("dialogue", "speaker", "n", name.alias("name"), (k > 1).alias("renamed"))
+
+
+def safe_name(speaker: str) -> F.Column:
+    return F.regexp_replace(speaker, "[^A-Za-z0-9_-]", "_")
+
+
+def with_names(rows: DataFrame, people: DataFrame, total: int) -> DataFrame:
+    """``rows`` (dialogue, speaker, ...) with each speaker's name. Only where names are not the speakers' own is anything joined."""
+    if people.where("renamed").isEmpty():
+        return rows.withColumn("name", safe_name("speaker"))
+    who = F.concat_ws(":", F.length("dialogue").cast("string"), "dialogue", "speaker")
+    return lookup(rows.withColumn("who", who), materialise(people.select(who.alias("who"), "name", "n"), "names"), "who", total).drop("who")
+
+
+def with_perspectives(rows: DataFrame, people: DataFrame, total: int, block: int | None = None) -> DataFrame:
+    """Each of ``rows`` (dialogue, turn, speaker, h, ...; ``total`` of them) once for every ``perspective`` of its dialogue.
+
+    The messages of a dialogue are dealt to blocks, and so are its points of view; each block of messages
+    meets each block of views in one task. So neither endless messages nor a cast without end are in one place.
+    """
+    block = block or min(BLOCK, max(32, total // HOT))
+    viewed = F.col("speaker") != SYSTEM
+    views = people.where(viewed).select("dialogue", F.col("speaker").alias("perspective"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("bigint")
+    sizes = people.groupBy("dialogue").agg(F.sum("n").alias("n"), F.count_if(viewed).alias("v")).where("v > 0")
+    sizes = materialise(sizes.withColumns({"_rows": blocks("n"), "_views": blocks("v")}), "casts")
+    if sizes.where("_rows > 1 OR _views > 1").isEmpty():
+        return rows.join(views, "dialogue")
+    n_views = sizes.agg(F.sum("v")).first()[0]
+    own = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    dealt = lookup(rows, sizes.drop("v"), "dialogue", total).select("*", own("_rows", "turn", "speaker", "h").alias("_i"), every("_views").alias("_j")).drop("_rows", "_views")
+    views = lookup(views, sizes.drop("n").withColumnRenamed("v", "n"), "dialogue", n_views).select("dialogue", "perspective", own("_views", "perspective").alias("_j"), every("_rows").alias("_i"))
+    return dealt.join(views, ["dialogue", "_i", "_j"]).drop("_i", "_j")
 
 
 def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -58,9 +94,8 @@ def perspectives(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), speaker.alias("speaker"), text.alias("text"), F.md5(text).alias("h"))
     rows = rows.groupBy("conv_id", "turn", "speaker", "h").agg(F.count("*").alias("copies"), F.min("text").alias("text"))
     rows = materialise(rows.withColumn("dialogue", F.concat_ws(":", F.lit("c"), F.col("conv_id").cast("string"))), "messages")
-    seen = lookup(rows, materialise(casts(rows.select("dialogue", "speaker")), "casts"), "dialogue", rows.count()).drop("dialogue")
-    own_name = F.expr("filter(cast, x -> x.speaker = speaker)[0].name")
-    seen = seen.withColumn("name", own_name).select("*", F.explode(F.expr(f"transform(filter(cast, x -> x.speaker <> '{SYSTEM}'), x -> x.speaker)")).alias("perspective")).drop("cast")
+    people, total = materialise(casts(rows.select("dialogue", "speaker")), "people"), rows.count()
+    seen = with_perspectives(with_names(rows, people, total), people, total).drop("dialogue")
     own = F.col("speaker") == F.col("perspective")
     head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), "name", F.lit("|>\n")))
     seen = seen.withColumns({"segment": F.concat(head, escaped(F.col("text")), F.lit(END)), "head": F.char_length(head).cast("bigint"), "own": own})

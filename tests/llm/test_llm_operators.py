@@ -545,6 +545,24 @@ def test_chat_marks_and_names_cannot_be_forged(spark):
     assert all(text[r["start"] : r["end"]] == r["segment"] for r in mine)
 
 
+def test_chat_with_a_large_cast(spark):
+    """100 speakers, of whom two and two share a name, in a dialogue of 300 messages: each rendering is whole."""
+    who = lambda i: f"s{i // 2}{'!?'[i % 2]}"
+    rows = [(7, t, "system" if t % 50 == 0 else who(t % 100), f"m{t}") for t in range(300)] + [(8, 0, "system", "alone"), (9, 0, "x", "y")]
+    got: dict = {}
+    for r in chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        got.setdefault((r["conv_id"], r["perspective"]), []).append(r)
+    cast = sorted({r[2] for r in rows if r[0] == 7} - {"system"})
+    assert set(got) == {(9, "x"), *((7, c) for c in cast)}
+    names = {s: s[:-1] + "_" + (".2" if s[-1] == "?" and s[:-1] + "!" in cast else "") for s in cast}
+    for c in cast:
+        want = []
+        for _, _, s, text in rows[:300]:
+            head = "<|assistant|>" if s == c else "<|system|>" if s == "system" else f"<|user name={names[s]}|>"
+            want.append(f"{head}\n{text}<|end|>\n")
+        assert [r["segment"] for r in sorted(got[(7, c)], key=lambda r: r["seq"])] == want
+
+
 def test_one_doc_id_in_several_files(spark):
     """Rows of one doc_id stay in the order of their texts wherever files are cut."""
     texts = [f"{'same beginning ' * (k % 2)}text {k * 37 % 101:03d}" for k in range(100)]

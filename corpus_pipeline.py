@@ -8,8 +8,9 @@ columns they were given.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from rivulet.llm.classifier import score
 from rivulet.llm.common import materialise, only_ids, table, without_ids
@@ -31,6 +32,12 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, list]:
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
 
 
+def _ordered(field: StructField) -> Column:
+    """The column, or the JSON of its values where their type has no order."""
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(field.name)) if "map<" in kind or "variant" in kind else F.col(field.name)
+
+
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at the threshold or above.
 
@@ -71,9 +78,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     repeated = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
     kept = without_ids(rows, others, "doc_id")
     if not repeated.isEmpty():
-        more = [c for c in rows.columns if c not in ("doc_id", "text")]
-        once = only_ids(kept, repeated, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", *more)).alias("row"))
-        once = once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.`{c}`").alias(c) for c in rows.columns])
+        order = [_ordered(f) for f in rows.schema.fields if f.name not in ("doc_id", "text")]
+        once = only_ids(kept, repeated, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*rows.columns), F.struct("text", *order)).alias("row"))
+        once = once.select(*[F.col(f"row.`{c}`").alias(c) for c in rows.columns])
         kept = without_ids(kept, repeated, "doc_id").unionByName(once)
     return kept.select(*back)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import zlib
 from collections import Counter
 
 import public_tokenizers
@@ -9,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from rivulet.llm import classifier
 from rivulet.llm.common import materialise
+from rivulet.llm.words import WordHashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +37,26 @@ def test_names_and_columns(stages):
     assert counts[0] >= counts[1] >= counts[2] > counts[3]
 
 
+def test_classifier_stage_like_plain_python(spark):
+    """Rows to learn from and scores, one at a time; the fit itself is tested with the operator."""
+    larger = "/root/testdata/sf0.01"  # among the fewer documents of the smallest tables none is rejected
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    before = docs.collect()
+    learned = [(r["doc_id"], r["text"], labels[r["doc_id"]]) for r in before if labels.get(r["doc_id"]) is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    assert 0 < len(learned) < len(before)
+    weights = classifier.fit(spark.createDataFrame(learned, "doc_id long, text string, label int"))
+    words, shapes = WordHashes(), classifier.WordShapes()
+
+    def score(text):
+        at, x = classifier.features((text or "").encode(), words, shapes)
+        return 1 / (1 + math.exp(-sum(float(weights[k]) * v for k, v in zip(at, x, strict=True))))
+
+    want = Counter((r["doc_id"], r["text"]) for r in before if score(r["text"]) >= 0.3)
+    got = Counter((r["doc_id"], r["text"]) for r in p.classified(spark, docs, larger).collect())
+    assert got == want and 0 < want.total() < len(before)
+
+
 def test_rules_stage(stages):
     kept = {r["doc_id"] for r in stages[2][1]}
     for r in stages[1][1]:
@@ -62,6 +87,62 @@ def test_mixture_stage(stages):
     assert 1.5 * total - 2 * max(map(size, before.values())) <= taken <= 1.5 * total
 
 
+def plain_mixture(rows):
+    """How often each (doc_id, text) is taken: queues in the order of hashes, merged by finish times up to the budget."""
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    queues: dict = {}
+    for r in rows:
+        place = digest(f"42:{'null' if r['doc_id'] is None else r['doc_id']}:{digest(r['text'] or '')}")
+        queue = queues.setdefault(r["source"], Counter())
+        queue[place] += len((r["text"] or "").encode().split())
+    sources = sorted(queues, key=lambda s: (s is None, s or ""))
+    size = {s: sum(queues[s].values()) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    total, full = sum(size.values()), set()
+    while True:  # those that reach twice their size leave the rest to the others
+        level = (3 * total - 2 * sum(2 * size[s] for s in full)) / (2 * sum(weight[s] for s in sources if s not in full))
+        over = {s for s in sources if s not in full and level * weight[s] > 2 * size[s]}
+        if not over:
+            break
+        full |= over
+    target = {s: 2.0 * size[s] if s in full else level * weight[s] for s in sources}
+    entries = []
+    for i, s in enumerate(sources):
+        served = 0
+        for turn in (0, 1):
+            for place in sorted(queues[s]):
+                served += queues[s][place]
+                if queues[s][place]:
+                    entries.append((served / target[s], i, turn, place, queues[s][place]))
+    taken, used = Counter(), 0
+    for _, i, _, place, n in sorted(entries):
+        used += n
+        if used > 1.5 * total:
+            break
+        taken[sources[i], place] += 1
+    out = Counter()
+    for r in rows:
+        place = digest(f"42:{'null' if r['doc_id'] is None else r['doc_id']}:{digest(r['text'] or '')}")
+        out[r["doc_id"], r["text"]] += taken[r["source"], place] if r["text"] and r["text"].encode().split() else 0
+    return +out
+
+
+def test_mixture_stage_like_plain_python(spark, stages):
+    assert Counter((r["doc_id"], r["text"]) for r in stages[4][1]) == plain_mixture(stages[3][1])
+    docs = materialise(spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 7 > 0, F.col("source"))), "with-null-sources")
+    got = Counter((r["doc_id"], r["text"]) for r in p.mixed(spark, docs, SF).collect())
+    assert got == plain_mixture(docs.collect())
+
+
+def test_repeated_rows_with_columns_that_have_no_order(spark):
+    text = "one text of a good many words that is there three times over"
+    rows = [(1, text, "s", {"b": 2}), (1, text, "s", {"a": 1}), (2, text, "s", None), (3, "another text of quite a few words about the sea", "s", {"c": 3})]
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,int>"), "maps")
+    got = p.deduplicated(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["tags"]) for r in got.collect()) == [(1, text, {"a": 1}), (3, rows[3][1], {"c": 3})]
+
+
 def test_encoding_stage(stages):
     import sentencepiece
 

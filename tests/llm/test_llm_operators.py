@@ -670,3 +670,41 @@ def test_samples_do_not_depend_on_how_shingles_are_cut():
     assert all(whole[k] in drawn[:, k] for k in range(len(whole)))
     left = np.isin(drawn, whole).any(axis=1)
     assert (sampler.sample(shingles[left], weights[left]) == whole).all()
+
+
+def test_tries_by_level_like_one_word_after_the_other(monkeypatch):
+    """Counts and pieces of words laid out together, of every width and script, and when the memory is full."""
+    import random
+
+    r = random.Random(6)
+    model = token_counts.UnigramModel.from_sentencepiece(PIECES)
+    parts = ["a", "b", "ab", "é", "梦", "😀", "\x00", "ing", "00", "==", "the", "▁", "́"]
+    words = list({"".join(r.choices(parts, k=k)).encode() for k in (1, 2, 3, 8, 30, 90, 190) for _ in range(120)})
+    monkeypatch.setattr(token_counts, "REMEMBERED", 100)
+    monkeypatch.setattr(token_counts, "CELLS", 1 << 11)
+    counter = token_counts.TrieCounter(model)
+    for part in (words[:300], words[300:], words[:200]):
+        assert counter.totals([b" ".join(part), b"", part[0]]) == [(len(part), sum(counter._insert("▁" + w.decode()) for w in part)), (0, 0), (1, counter._insert("▁" + part[0].decode()))]
+    assert len(counter) <= len(words)
+    want = Counter()
+    for k, w in enumerate(words):
+        pieces, n_bytes = counter.segments(w)
+        for p in pieces:
+            want[p] += k + 1
+        want[""] += n_bytes * (k + 1)
+    assert counter.uses(words, list(range(1, len(words) + 1))) == want
+    again = token_counts.TrieCounter(model)
+    again.totals([b"abcdef abcdeg"])
+    assert again.computed == len("▁abcdef") + 1  # a shared prefix once, also of words that come together
+
+
+def test_pair_table():
+    from rivulet.llm.pair_table import PairTable
+
+    r = np.random.default_rng(2)
+    pairs = np.unique(r.integers(0, 60, (1500, 2)), axis=0)
+    table, known = PairTable(pairs[:, 0], pairs[:, 1], np.arange(len(pairs))), {tuple(p): k for k, p in enumerate(pairs.tolist())}
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(80), np.arange(80)))
+    assert table.get(a, b).tolist() == [known.get(p, -1) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    none = np.empty(0, dtype=np.int64)
+    assert PairTable(none, none, none).get(a, b).max() == -1

@@ -6,6 +6,7 @@ import itertools
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,17 @@ from rivulet.llm.shared_files import open_folder
 from rivulet.llm.tokenfile import Reader, Writer
 
 #: Distinct chunks, and parts of chunks, that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Bytes of text in a file, and the characters by which rows of one doc_id are dealt to files.
 FILE_BYTES, START = 256 << 20, 64
 
 #: Latin letters that stand for themselves in every normal form, then ASCII marks other than the apostrophe.
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The letters that stand for bytes in byte-level vocabularies: printed ones for themselves, others from 256 on; line ends part words.
+_BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED) if b != 10}
+
 
 class ChunkEncoder:
     """Encodes whole texts chunk by chunk with a tokenizers file.
@@ -44,7 +49,9 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.parts: dict[str, bytes] = {}
         probe = "Ab, aB;\u00c9x? \u00e9X!"
+        self.model = self.tokenizer.model
         self.cuts = self._whole(probe) == [i for part in ("ab", ",", "ab", ";", "\u00e9x", "?", "\u00e9x", "!") for i in self._whole(part)]
+        self.direct = self._takes_words()
         cut = "ab  Cd\n e\t1"
         self.by_chunk = by_chunk and self._whole(cut) == [i for part in cut.split() for i in self._whole(part)]
         marks = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
@@ -64,16 +71,40 @@ class ChunkEncoder:
         of letters and then punctuation is looked up as those two parts.
         """
         texts = [c.decode() for c in chunks]
-        cut = [_LETTERS_THEN_MARKS.fullmatch(t) if self.cuts else None for t in texts]
-        parts = [(t,) if m is None else (m[1].lower(), m[2]) if m[2] else (m[1].lower(),) for t, m in zip(texts, cut, strict=True)]
+        cut = map(_LETTERS_THEN_MARKS.fullmatch, texts) if self.cuts else [None] * len(texts)
+        parts = [("", t) if m is None else (m[1].lower(), m[2]) for t, m in zip(texts, cut, strict=True)]
+        if len(self.parts) > REMEMBERED:
+            self.parts = _first_half(self.parts)
         known = self.parts
-        if len(known) > REMEMBERED:
-            self.parts = known = _first_half(known)
-        new = list({p for group in parts for p in group if p not in known})
-        for p, ids in zip(new, self._ids(new), strict=True):
+        known[""] = b""
+        words = [w for w in {w for w, _ in parts} if w not in known]
+        rest = [t for t in {t for _, t in parts} if t not in known]
+        if self.direct:
+            known.update(zip(words, self._words(words), strict=True))
+        else:
+            rest = list({*rest, *words})
+        for p, ids in zip(rest, self._ids(rest), strict=True):
             known[p] = ids.tobytes()  # far smaller than a list
-        for chunk, group in zip(chunks, parts, strict=True):
-            self.seen[chunk] = b"".join([known[p] for p in group])
+        self.seen.update(zip(chunks, [known[w] + known[t] for w, t in parts], strict=True))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of lower-case letters, which the library's model gets without the steps before it."""
+        if not words:
+            return []
+        mapped = "\n".join(words).encode().decode("latin-1").translate(_BYTE_LETTERS).split("\n")
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in mapped]
+
+    def _takes_words(self) -> bool:
+        """Whether the model alone gives the same ids as the tokenizer for all letters of a word, one by one and in words."""
+        if not self.cuts:
+            return False
+        letters = [c.lower() for c in map(chr, range(0x250)) if _LETTERS_THEN_MARKS.fullmatch(c)]
+        probes = [*letters, *("".join(letters[k : k + 9]) for k in range(len(letters))), "the", "internationalisation"]
+        try:
+            return self._words(probes) == [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch(probes, add_special_tokens=False)]
+        except Exception:  # a model without the byte letters
+            return False
 
     def _ids(self, chunks: list[str]) -> list[np.ndarray]:
         """The ids of each chunk, from one call for all of them.
@@ -98,13 +129,19 @@ class ChunkEncoder:
             return
         if len(self.seen) > REMEMBERED:
             self.seen = _first_half(self.seen)
-        seen = self.seen
         split = [t.encode().split() for t in texts]
-        new = [c for c in set(itertools.chain.from_iterable(split)) if c not in seen]
+        chunks = list(itertools.chain.from_iterable(split))
+        found = list(map(self.seen.get, chunks))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new = list({chunks[k] for k in missing})
         for i in range(0, len(new), 16_384):
             self._learn(new[i : i + 16_384])
-        for chunks in split:
-            yield np.frombuffer(b"".join(map(seen.__getitem__, chunks)), dtype=np.uint32)
+        for k in missing:
+            found[k] = self.seen[chunks[k]]
+        at = 0
+        for part in split:
+            yield np.frombuffer(b"".join(found[at : at + len(part)]), dtype=np.uint32)
+            at += len(part)
 
 
 def _first_half(known: dict) -> dict:

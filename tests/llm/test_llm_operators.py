@@ -708,3 +708,19 @@ def test_pair_table():
     assert table.get(a, b).tolist() == [known.get(p, -1) for p in zip(a.tolist(), b.tolist(), strict=True)]
     none = np.empty(0, dtype=np.int64)
     assert PairTable(none, none, none).get(a, b).max() == -1
+
+
+def test_words_go_to_the_model_alone_like_to_the_tokenizer(monkeypatch):
+    """Words of all Latin letters, also when the memory is full; a tokenizer of another kind takes no words alone."""
+    import random
+
+    r = random.Random(8)
+    monkeypatch.setattr(token_output, "REMEMBERED", 200)
+    encoder = token_output.ChunkEncoder(WORDS)
+    assert encoder.direct
+    letters = [c for c in map(chr, range(0x41, 0x260)) if c.isalpha()]
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(1, 12))) + r.choice(["", "", ".", ",,", "'s", "1"]) for _ in range(60)) for _ in range(60)]
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, 60, 20):
+        assert [x.tolist() for x in encoder.encode(texts[at : at + 20])] == whole[at : at + 20]
+    assert not token_output.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")).direct

@@ -13,6 +13,7 @@ word has a pair left.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rivulet.llm.common import map_batches
+from rivulet.llm.pair_table import PairTable
 
 SPACE = "▁"
 NO_PAIR = np.int64(1) << 60
-#: Words that a task remembers before it starts afresh, and how long they may be for that.
-REMEMBERED, LONG = 60_000, 64
+#: Words that a Python worker remembers before it forgets half of them, and how long they may be for that.
+REMEMBERED, LONG = 150_000, 64
 
 
 class BpeModel:
@@ -59,10 +61,7 @@ class BpeModel:
                 a, b = self.pieces.get(piece[:cut]), self.pieces.get(piece[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), whole.append(i)
-        self.size = size
-        keys = np.array(left, dtype=np.int64) * size + np.array(right, dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.merged = keys[order], np.array(whole, dtype=np.int64)[order]
+        self.merged = PairTable(np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(whole, dtype=np.int64))
         # the best rank of any pair that a piece takes part in
         partner = np.full(size, NO_PAIR, dtype=np.int64)
         for side in (left, right):
@@ -73,12 +72,13 @@ class BpeModel:
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two neighbouring symbols make, or -1."""
-        key = np.where((a >= 0) & (b >= 0), a * self.size + b, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], -1)
+        found = np.full(len(a), -1, dtype=np.int64)
+        known = np.flatnonzero((a >= 0) & (b >= 0))
+        found[known] = self.merged.get(a[known], b[known])
+        return found
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as 32-bit numbers, far smaller than a list."""
         if not words:
             return []
         lengths = np.array([len(w) for w in words])
@@ -89,10 +89,13 @@ class BpeModel:
         symbols = np.array([self.pieces.get(chr(c), -1 - int(c)) for c in distinct], dtype=np.int64)[inverse]
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbols, done_words = [], []
+        # what each symbol makes with the next one; after a round only merged symbols and those before them are looked up
+        made, changed = np.full(len(symbols), -1, dtype=np.int64), np.arange(len(symbols))
         while len(symbols):
-            made = np.full(len(symbols), -1, dtype=np.int64)
             same = word[1:] == word[:-1]
-            made[:-1][same] = self.pairs(symbols[:-1][same], symbols[1:][same])
+            made[changed] = -1
+            changed = changed[np.append(same, False)[changed]]
+            made[changed] = self.pairs(symbols[changed], symbols[changed + 1])
             rank = np.where(made >= 0, self.rank[made], NO_PAIR)
             first = np.flatnonzero(np.append(True, ~same))
             best = np.minimum.reduceat(rank, first)
@@ -125,14 +128,19 @@ class BpeModel:
             symbols[take] = made[take]
             alive = np.ones(len(symbols), dtype=bool)
             alive[take + 1] = False
-            symbols, word = symbols[alive], word[alive]
+            marked = np.zeros(len(symbols), dtype=bool)
+            marked[take] = True
+            symbols, word, made, marked = symbols[alive], word[alive], made[alive], marked[alive]
+            marked[:-1] |= marked[1:]
+            changed = np.flatnonzero(marked)
         symbols = np.concatenate([*done_symbols, symbols]) if done_symbols else symbols
         word = np.concatenate([*done_words, word]) if done_words else word
         order = np.argsort(word, kind="stable")
         symbols, word = symbols[order], word[order]
         if (symbols < 0).any():  # characters without a piece become their bytes
             symbols, word = self._as_bytes(symbols, word)
-        return np.split(symbols, np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+        packed, ends = symbols.astype(np.int32).tobytes(), (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _after_a_better(self, symbols: np.ndarray, word: np.ndarray, made: np.ndarray, take: np.ndarray) -> np.ndarray:
         """Merges that come, in their word, after one that makes a pair of a better rank.
@@ -172,12 +180,27 @@ def worker_model(path: str) -> BpeModel:
     return _models[path]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str) -> Encoder:
+    """This Python worker's encoder; what one task learned serves the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
     """Encodes whole texts; remembers a bounded number of short words."""
 
     def __init__(self, path: str):
         self.model, self.seen = worker_model(path), {}
 
+    def forget(self) -> None:
+        """Keeps half of a full memory; what was met first is what is met most often."""
+        if len(self.seen) > REMEMBERED:
+            self.seen = dict(itertools.islice(self.seen.items(), REMEMBERED // 2))
+
     def words(self, text: str) -> list[str]:
         """The text, space marks put in, cut where no merge can cross."""
         if not text:
@@ -203,17 +226,23 @@ class Encoder:
 
     def arrays(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as 32-bit numbers."""
-        seen = self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
+        self.forget()
         split = [self.words(t) for t in texts]
-        new = list({w for words in split for w in words if w not in seen})
-        long = {}
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, ids in zip(part, self.model.encode_words(part), strict=True):
-                (seen if len(w) <= LONG else long)[w] = ids.astype(np.int32).tobytes()  # far smaller than a list
-        return [np.frombuffer(b"".join([seen[w] if w in seen else long[w] for w in words]), dtype=np.int32) for words in split]
+        words = list(itertools.chain.from_iterable(split))
+        found = list(map(self.seen.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new, learned = list({words[k] for k in missing}), {}
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            learned.update(zip(part, self.model.encode_words(part), strict=True))
+        for k in missing:
+            found[k] = learned[words[k]]
+        self.seen.update((w, ids) for w, ids in learned.items() if len(w) <= LONG)
+        out, at = [], 0
+        for part in split:
+            out.append(np.frombuffer(b"".join(found[at : at + len(part)]), dtype=np.int32))
+            at += len(part)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return self.model.library.decode(ids)
@@ -237,7 +266,7 @@ def encode(docs: DataFrame, model: str, ids: str = "ids", decoded: str | None =
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(model)
+            encoder = encoder or worker_encoder(model)
             found = encoder.arrays([t or "" for t in batch.column(keep.index(text)).to_pylist()])
             ends = pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32())
             columns = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))]

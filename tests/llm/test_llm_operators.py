@@ -724,3 +724,20 @@ def test_words_go_to_the_model_alone_like_to_the_tokenizer(monkeypatch):
     for at in range(0, 60, 20):
         assert [x.tolist() for x in encoder.encode(texts[at : at + 20])] == whole[at : at + 20]
     assert not token_output.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json")).direct
+
+
+def test_remembered_words_like_the_library(monkeypatch):
+    """What a worker has met before, forgotten or not, is encoded alike; tasks share one encoder."""
+    import random
+
+    r = random.Random(9)
+    monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", 50)
+    encoder = sentencepiece_bpe.worker_encoder(PIECES)
+    assert encoder is sentencepiece_bpe.worker_encoder(PIECES)
+    parts = ["a", "the", "tion", "é", "梦", "😀", "\x00", "▁", "==", "00"]
+    words = ["".join(r.choices(parts, k=r.randint(1, 30))) for _ in range(300)]
+    for _ in range(6):
+        texts = [r.choice([" ", "\n", "  "]).join(r.choices(words, k=40)) for _ in range(8)] + [""]
+        assert encoder.encode(texts) == [encoder.model.library.encode(t) for t in texts]
+        encoder.forget()
+        assert len(encoder.seen) <= 50 and all(len(w) <= sentencepiece_bpe.LONG for w in encoder.seen)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ def in_slices(function: Callable[[Batches], Batches], rows: int = ROWS_AT_ONCE)
     """
 
     def run(batches: Batches) -> Batches:
+        set_aside()
         try:
             yield from function(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
         finally:
@@ -36,6 +38,20 @@ def in_slices(function: Callable[[Batches], Batches], rows: int = ROWS_AT_ONCE)
     return run
 
 
+_set_aside: list[int] = []
+
+
+def set_aside() -> None:
+    """Once in each process, before it holds any rows: what is loaded by then is not searched for garbage after every task.
+
+    A search through all modules takes longer than a small task.
+    """
+    if _set_aside != [os.getpid()]:
+        gc.collect()
+        gc.freeze()
+        _set_aside[:] = [os.getpid()]
+
+
 def give_back() -> None:
     """Returns what Python and Arrow have freed to the system."""
     gc.collect()

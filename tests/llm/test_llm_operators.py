@@ -741,3 +741,32 @@ def test_remembered_words_like_the_library(monkeypatch):
         assert encoder.encode(texts) == [encoder.model.library.encode(t) for t in texts]
         encoder.forget()
         assert len(encoder.seen) <= 50 and all(len(w) <= sentencepiece_bpe.LONG for w in encoder.seen)
+
+
+def test_loaded_modules_are_not_searched_after_every_task():
+    """Set aside once in a process, before the first batch; garbage made later is still found."""
+    import gc
+    import weakref
+
+    from rivulet.llm import words
+
+    class Node:
+        pass
+
+    def function(batches):
+        node = Node()
+        node.itself = node
+        seen.append(weakref.ref(node))
+        yield from batches
+
+    seen, count = [], []
+    words._set_aside.clear()
+    try:
+        for _ in range(2):
+            list(words.in_slices(function)(iter(())))
+            count.append(gc.get_freeze_count())
+        assert count[0] > 0 and count[1] <= count[0]
+        gc.collect()
+        assert [r() for r in seen] == [None, None]
+    finally:
+        gc.unfreeze()

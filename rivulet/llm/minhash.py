@@ -16,8 +16,9 @@
 5. A neighbourhood too large for a task is cut into chunks. Each chunk is worked
    on like a small neighbourhood; then its texts are compared with the best
    connected texts (hubs) of all chunks, which joins the many variants of one text;
-   then, bucket by bucket, every pair that reaches the share and still lies between two
-   classes is verified in rounds until none is left. Nothing is capped.
+   then the buckets name the texts of every pair that reaches the share and still lies
+   between two classes and two chunks, and those of two chunks meet in one task, which
+   verifies all these pairs. Pairs never become rows. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ _ROW = 1 << 10
 BLOCK, BLOCK_BYTES, HUBS = 512, 4_000_000, 64
 #: A pair is verified if its share of equal samples is at most so far below the similarity (four standard deviations).
 MARGIN = 0.2
-#: Bytes of texts whose shingles a worker keeps while it verifies pairs.
-KEPT_BYTES = 4_000_000
+#: Texts that one is verified against at once, at first and at most.
+FIRST, MOST = 8, 256
 _SLOT = np.uint64(64 - IDF_BITS)
 #: Shingles sampled at once.
 _AT_ONCE = 1024
@@ -278,18 +279,21 @@ class _Verifier:
     def __init__(self, idf: np.ndarray, similarity: float):
         self.idf, self.similarity = idf, similarity
 
-    def links(self, ids: np.ndarray, sigs: np.ndarray, texts: list[bytes], hubs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    def links(self, ids: np.ndarray, sigs: np.ndarray, texts: list[bytes], hubs: np.ndarray, classes: np.ndarray | None = None, sides: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
         """Verified links that join what all links of these texts join, and each text's number of near ones.
 
         Rows marked as ``hubs`` are compared with all; if there are any, others
         are not compared with each other. Best connected texts come first, which
-        joins most of a group at once; pairs already joined are not verified.
+        joins most of a group at once; pairs already joined, here or by ``classes``, are not
+        verified, nor are pairs of one of the ``sides``.
         """
         share = _equal_share(sigs)
         degree = (share >= self.similarity - 0.05).sum(axis=1)
-        near, sets, found = share >= self.similarity - MARGIN, _Sets(ids), []
+        near, sets, found = share >= self.similarity - MARGIN, _Sets(ids if classes is None else classes), []
         if hubs.any():
             near &= hubs[:, None] | hubs
+        if sides is not None:
+            near &= sides[:, None] != sides
         involved = np.flatnonzero((near & (sets.root[:, None] != sets.root)).any(axis=1))
         if not len(involved):
             return found, degree
@@ -298,19 +302,28 @@ class _Verifier:
             shingles[i], weights[i] = weighted_shingles(word_hashes(texts[i]), self.idf)
         known = np.unique(np.concatenate(list(shingles.values())))
         shingles = {i: np.searchsorted(known, s).astype(np.int32) for i, s in shingles.items()}
-        total = {i: w.sum() for i, w in weights.items()}
+        total = np.zeros(len(ids))
+        total[involved] = [weights[i].sum() for i in involved.tolist()]
         own = np.zeros(len(known))
         order = involved[np.argsort(-degree[involved], kind="stable")]
         for i in (order[hubs[order]] if hubs.any() else order).tolist():
             own[shingles[i]] = weights[i]
             todo = np.flatnonzero(near[i] & (sets.root != sets.root[i]))
             near[:, i] = False
-            for j in todo[np.argsort(-share[i, todo], kind="stable")].tolist():
-                if sets.root[j] != sets.root[i]:
-                    shared = np.minimum(own[shingles[j]], weights[j]).sum()
-                    if shared >= self.similarity * (total[i] + total[j] - shared):
+            todo, at_once = todo[np.argsort(-share[i, todo], kind="stable")], FIRST
+            while len(todo):
+                part, todo = todo[:at_once], todo[at_once:]
+                held = [shingles[j] for j in part.tolist()]
+                starts = np.cumsum([0, *map(len, held[:-1])])
+                shared = np.add.reduceat(np.minimum(own[np.concatenate(held)], np.concatenate([weights[j] for j in part.tolist()])), starts)
+                hits = part[shared >= self.similarity * (total[i] + total[part] - shared)]
+                for j in hits.tolist():
+                    if sets.root[j] != sets.root[i]:
                         sets.join(i, j)
                         found.append((int(ids[i]), int(ids[j])))
+                if len(hits):
+                    todo = todo[sets.root[todo] != sets.root[i]]
+                at_once = min(4 * at_once, MOST)
             own[shingles[i]] = 0.0
         return found, degree
 
@@ -356,8 +369,8 @@ def block_links(members: DataFrame, idf: np.ndarray, similarity: float) -> DataF
     return map_batches(rows, linked, "a long, b long, degree long", 512)
 
 
-def neighbour_links(near: DataFrame, reps: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float, repeats: bool) -> tuple[DataFrame, DataFrame]:
-    """Verified (a, b) within neighbourhoods ``near`` (id, component), and the texts (rep, sig) of those cut into chunks."""
+def neighbour_links(near: DataFrame, reps: DataFrame, docs: DataFrame, idf: np.ndarray, similarity: float, repeats: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Verified (a, b) within neighbourhoods ``near`` (id, component), and the texts (component, chunk, rep, sig, text) of those cut into chunks, if any are."""
     placed = near.select(F.col("id").alias("rep"), "component").join(reps, "rep")
     placed = materialise(placed, "neighbours")
     sizes = placed.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
@@ -374,89 +387,86 @@ def neighbour_links(near: DataFrame, reps: DataFrame, docs: DataFrame, idf: np.n
         members = materialise(members, "members")
     found = materialise(block_links(members.withColumn("hub", F.lit(False)), idf, similarity), "links")
     links = found.where("degree IS NULL").select("a", "b")
-    cut = placed.where("chunks > 1")
+    cut = None
     if large:
         best = Window.partitionBy("component").orderBy(F.desc("degree"), "rep")
         hubs = found.where("degree > 1").select(F.col("a").alias("component"), F.col("b").alias("rep"), "degree").distinct()
         hubs = hubs.join(sizes.where("chunks > 1").select("component"), "component", "left_semi").withColumn("k", F.row_number().over(best)).where(F.col("k") <= HUBS).select("rep")
         hubs = materialise(hubs, "hubs")
-        cut_members = members.where("chunks > 1").select("component", "chunk", "chunks", "rep", "sig", "text")
-        everywhere = cut_members.join(hubs, "rep", "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        both = cut_members.join(hubs, "rep", "left_anti").withColumn("hub", F.lit(False)).unionByName(everywhere.withColumn("hub", F.lit(True)))
+        cut = members.where("chunks > 1").select("component", "chunk", "chunks", "rep", "sig", "text")
+        everywhere = cut.join(hubs, "rep", "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        both = cut.join(hubs, "rep", "left_anti").withColumn("hub", F.lit(False)).unionByName(everywhere.withColumn("hub", F.lit(True)))
         more = materialise(block_links(both, idf, similarity).where("degree IS NULL").select("a", "b"), "hub-links")
         links = links.unionByName(more)
-    return links, cut.select("rep", "sig")
+    return links, cut
 
 
 # what large neighbourhoods leave
 
 
+def _apart(hit: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, chunk) for each row of ``hit`` and each chunk of its columns in which it is true anywhere."""
+    order = np.argsort(chunks, kind="stable")
+    found, starts = np.unique(chunks[order], return_index=True)
+    rows, at = np.nonzero(np.logical_or.reduceat(hit[:, order], starts, axis=1))
+    return rows, found[at]
+
+
 def _unjoined(low: float):
     def unjoined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All pairs of a text of ``few`` and one of another class that reach the share."""
+        """Texts of all pairs of a text of ``few`` and one of another class and chunk that reach the share, once for each two chunks."""
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 few, many = ([e for e in row["members"] if e["few"] == side] for side in (True, False))
                 if not few or not many:
                     continue
-                (own, of), (ids, classes) = ([np.array([e[name] for e in part], dtype=np.int64) for name in ("rep", "class")] for part in (few, many))
+                one, other = ({name: np.array([e[name] for e in part], dtype=np.int64) for name in ("component", "chunk", "rep", "class")} for part in (few, many))
                 share = _equal_share(_sigs([e["sig"] for e in few]), _sigs([e["sig"] for e in many]))
-                i, j = np.nonzero((share >= low) & (of[:, None] != classes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[i], ids[j])), pa.array(np.maximum(own[i], ids[j])), pa.array(share[i, j])], names=["a", "b", "share"])
+                hit = (share >= low) & (one["class"][:, None] != other["class"]) & (one["chunk"][:, None] != other["chunk"])
+                for part, reached, chunks in ((one, hit, other["chunk"]), (other, hit.T, one["chunk"])):
+                    i, chunk = _apart(reached, chunks)
+                    cells = np.minimum(part["chunk"][i], chunk) << 31 | np.maximum(part["chunk"][i], chunk)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part["component"][i], cells, part["rep"][i], part["class"][i])], names=["component", "cell", "rep", "class"])
 
     return unjoined
 
 
-def unjoined_pairs(placed: DataFrame, cut: DataFrame, classes: DataFrame, low: float) -> DataFrame:
-    """Distinct (a, b, share) of texts of ``cut`` that share a bucket and a share of ``low`` but no class.
+def unjoined_texts(placed: DataFrame, cut: DataFrame, classes: DataFrame, low: float) -> DataFrame:
+    """(component, cell, rep, class) of texts of ``cut`` that share a bucket and a share of ``low`` with one of another class and chunk.
 
-    The texts outside a bucket's largest class are dealt to blocks, and each
-    block is compared with each block of the whole bucket.
+    A cell is two chunks; whatever was in one chunk has been compared. The texts outside
+    a bucket's largest class are dealt to blocks, and each block is compared with
+    each block of the whole bucket.
     """
-    rows = placed.select("rep", "key").join(cut, "rep").join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    rows = rows.select("key", "rep", "sig", F.coalesce("component", "rep").alias("class"))
+    rows = placed.select("rep", "key").join(cut.select("component", "chunk", "rep", "sig"), "rep").join(classes.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left")
+    rows = rows.select("key", "component", "chunk", "rep", "sig", F.coalesce("c", "rep").alias("class"))
+    rows = materialise(rows, "unjoined-buckets")
     by_class = rows.groupBy("key", "class").agg(F.count("*").alias("n"))
     sizes = by_class.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("k")).where("k > 1")
     sizes = sizes.select("key", "n", F.col("top.class").alias("largest"), F.ceil((F.col("n") - F.col("top.n")) / (2 * BLOCK)).cast("bigint").alias("fews"), F.ceil(F.col("n") / (8 * BLOCK)).cast("bigint").alias("manys"))
-    rows = materialise(rows, "unjoined-buckets")
     rows = lookup(rows, materialise(sizes, "unjoined-sizes"), "key", rows.count())
     many = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fews") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), "manys").alias("j"), F.lit(False).alias("few"))
     few = rows.where(F.col("class") != F.col("largest")).select("*", F.pmod(F.xxhash64("rep", F.lit(1)), "fews").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("manys") - 1)).alias("j"), F.lit(True).alias("few"))
-    blocks = few.unionByName(many).groupBy("key", "i", "j").agg(F.collect_list(F.struct("rep", "sig", "class", "few")).alias("members"))
-    return map_batches(blocks.select("members"), _unjoined(low), "a long, b long, share float", 1).where("a <> b").groupBy("a", "b").agg(F.max("share").alias("share"))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """(a, b, similarity) of the pairs that reach it; ``texts`` is (rep, text)."""
-    sent = pairs.sparkSession.sparkContext.broadcast(idf)
-    joined = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text")), "b")
+    blocks = few.unionByName(many).groupBy("key", "i", "j").agg(F.collect_list(F.struct("component", "chunk", "rep", "sig", "class", "few")).alias("members"))
+    return map_batches(blocks.select("members"), _unjoined(low), "component long, cell long, rep long, class long", 1).distinct()
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = OrderedDict(), 0
 
-        def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-            nonlocal held
-            if text not in known:
-                known[text] = weighted_shingles(word_hashes(text), sent.value)
-                held += len(text)
-                while held > KEPT_BYTES and len(known) > 2:
-                    held -= len(known.popitem(last=False)[0])
-            return known[text]
-
-        for batch in batches:
-            s = [weighted_jaccard(shingles(t), shingles(u)) for t, u in zip(texts_of(batch.column(2)), texts_of(batch.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
-
-    return map_batches(joined.select("a", "b", "a_text", "b_text"), compared, "a long, b long, similarity double", 32).where(F.col("similarity") >= similarity)
+def cell_links(texts: DataFrame, cut: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Verified (a, b) of different classes and chunks among ``texts`` (component, cell, rep, class), each cell in one task."""
+    sent = texts.sparkSession.sparkContext.broadcast(idf)
 
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verifier = _Verifier(sent.value, similarity)
+        for _, group in _groups(batches):
+            ids, classes, sides = (group.column(name).to_numpy() for name in ("rep", "class", "chunk"))
+            held = texts_of(group.column("text").combine_chunks())
+            pairs, _ = verifier.links(ids, _sigs(group.column("sig").to_pylist()), held, np.zeros(len(ids), dtype=bool), classes, sides)
+            yield pa.RecordBatch.from_arrays([pa.array([x[end] for x in pairs], pa.int64()) for end in (0, 1)], names=["a", "b"])
 
-def between_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, share) of two classes, with the class of b."""
-    of = classes.select("id", "component")
-    for end in ("a", "b"):
-        pairs = pairs.join(of.select(F.col("id").alias(end), F.col("component").alias("c")), end, "left").withColumn(f"{end}_class", F.coalesce("c", end)).drop("c")
-    return pairs.where("a_class <> b_class").select("a", "b", "share", "b_class")
+    rows = texts.join(cut.select("rep", "chunk", "sig", "text"), "rep").select("component", "cell", "rep", "class", "chunk", "sig", "text")
+    rows = rows.repartition("component", "cell").sortWithinPartitions("component", "cell", "rep")
+    return map_batches(rows, linked, "a long, b long", 512)
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -486,18 +496,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = 0.8) -> DataFram
     near = neighbourhoods(placed, reps, low)
     links, cut = neighbour_links(near, reps, docs, idf, similarity, repeats)
     joined = components(links.unionByName(copies))
-    if not cut.isEmpty():
-        left = materialise(unjoined_pairs(placed, cut, joined, low), "unjoined")
-        most = 4
-        while not left.isEmpty():
-            at_once = Window.partitionBy("a", "b_class").orderBy(F.desc("share"), "b")
-            left = materialise(between_classes(left, joined).withColumn("k", F.row_number().over(at_once)), "ranked")
-            pairs = left.where(F.col("k") <= most).select("a", "b")
-            involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "involved")
-            texts = only_ids(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), involved, "rep")
-            links = links.unionByName(materialise(verified(pairs, texts, idf, similarity).select("a", "b").distinct(), "verified"))
-            joined = components(links.unionByName(copies))
-            left = materialise(between_classes(left.where(F.col("k") > most), joined).select("a", "b", "share"), "unjoined")
-            most *= 8
+    if cut is not None:
+        left = materialise(unjoined_texts(placed, cut, joined, low), "unjoined")
+        more = materialise(cell_links(left, cut, idf, similarity), "cell-links")
+        joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     return rows.join(joined, rows["doc_id"] == joined["id"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))

@@ -343,6 +343,25 @@ def test_pairs_in_a_bucket_of_many_blocks(spark, monkeypatch):
     assert got == {k: k // 2 * 2 for k in range(200)}
 
 
+def test_pairs_of_a_crowd_never_become_rows(spark, monkeypatch):
+    """Nearly all 44,850 pairs of these texts are alike to 0.74; no table has more rows than texts times bands."""
+    written, materialise = {}, minhash.materialise
+
+    def counted(df, name):
+        out = materialise(df, name)
+        written[name] = max(out.count(), written.get(name, 0))
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", counted)
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    passage = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*passage, *(f"p{k // 2}x{j}" for j in range(8)), *(f"t{k}x{j}" for j in range(12))]) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs).collect()}
+    assert got == {k: k // 2 * 2 for k in range(300)}
+    assert max(written.values()) <= 300 * minhash.BANDS, written
+
+
 def test_samples_agree_like_weighted_jaccard():
     r = np.random.default_rng(0)
     keys = r.integers(0, 1 << 63, 400, dtype=np.uint64)

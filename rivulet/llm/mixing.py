@@ -81,7 +81,8 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", seed: int = 42, weights: t
     sources = materialise(source_targets(queues.select("source", "size"), weights, share), "sources")
     n_sources, total = sources.agg(F.count("*"), F.sum("source_size")).first()
     entries = _finish_times(queues, _small(sources, n_sources))
-    taken = _within_budget(entries, F.lit(total or 0) * share[0] / share[1])
+    budget = (total or 0) * share[0] / share[1]  # in Python: a literal below 2^31 is an int, whose product may overflow
+    taken = _within_budget(entries, F.lit(budget))
     last = taken.groupBy("_rank").agg(*[F.max(F.when(F.col("round") == r, F.col("_h"))).alias(f"_last{r}") for r in (0, 1)])
     ends = sources.join(last, sources["rank"] == last["_rank"], "left").select(F.col("source").alias("_source"), "source_size", "target", "_last0", "_last1")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("source").alias("_of"), place.alias("_h"), count.alias("_n"))

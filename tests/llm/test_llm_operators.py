@@ -224,6 +224,36 @@ def test_targets_and_mixture(spark, documents, no_documents):
     assert {r["taken"] for r in mixing.mix_sources(documents.withColumn("text", F.lit(None).cast("string"))).collect()} == {0}
 
 
+@pytest.mark.parametrize("least", [10**7, 2**31 // 3 // 40, 2**31 // 40, 10**9])
+def test_mixture_of_billions_of_words(spark, least):
+    """Totals below and above 2^31, and below it with a budget above."""
+    rows = [(i, f"s{i % 3}", least + 1009 * i) for i in range(40)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long"), size="size", finish=True).collect()
+    sizes = Counter()
+    for _, source, n in rows:
+        sizes[source] += n
+    total, weight = sum(sizes.values()), {"s0": 5, "s1": 2, "s2": 1}
+    left = 3 * total / 2 - 2 * sizes["s0"]  # s0 stops at twice its size, what is over goes to the others
+    target = {"s0": 2 * sizes["s0"], "s1": left * 2 / 3, "s2": left / 3}
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(target)
+    entries = []
+    for s in sizes:
+        served = 0
+        for turn in (0, 1):
+            for place, i, n in sorted((hashlib.md5(f"42:{i}:".encode()).hexdigest(), i, n) for i, source, n in rows if source == s):
+                served += n
+                entries.append((served / target[s], s, turn, i, n))
+    copies, used = Counter(), 0
+    for _, _, _, i, n in sorted(entries):
+        used += n
+        if used > 1.5 * total:
+            break
+        copies[i] += 1
+    assert {r["doc_id"]: (r["copies"], r["taken"]) for r in got} == {i: (copies[i], copies[i] * n) for i, _, n in rows}
+    finish = {i: f for f, _, turn, i, _ in entries if turn == 0}
+    assert {r["doc_id"]: r["finish"] for r in got} == pytest.approx(finish)
+
+
 # 5
 
 

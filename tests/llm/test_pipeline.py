@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from rivulet.llm import classifier
+from rivulet.llm import classifier, mixing
 from rivulet.llm.common import materialise
 from rivulet.llm.words import WordHashes
 
@@ -134,6 +134,16 @@ def test_mixture_stage_like_plain_python(spark, stages):
     assert got == plain_mixture(docs.collect())
 
 
+def test_mixture_stage_of_a_billion_words(spark, stages, monkeypatch):
+    """Texts that count a great many times give the same mixture; their total fits an int, the budget does not."""
+    before, docs = stages[3][1], spark.createDataFrame(stages[3][1], "doc_id long, text string, lang string, source string, n_chars long")
+    times = 10**9 // sum(len((r["text"] or "").encode().split()) for r in before)
+    count = mixing.word_count
+    monkeypatch.setattr(mixing, "word_count", lambda text="text": f"{count(text)} * {times}L")
+    got = Counter((r["doc_id"], r["text"]) for r in p.mixed(spark, docs, SF).collect())
+    assert got == plain_mixture(before)
+
+
 def test_repeated_rows_with_columns_that_have_no_order(spark):
     text = "one text of a good many words that is there three times over"
     rows = [(1, text, "s", {"b": 2}), (1, text, "s", {"a": 1}), (2, text, "s", None), (3, "another text of quite a few words about the sea", "s", {"c": 3})]
